@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegrain.operators import asof, late, rolling, units
+from tidegrain.operators import asof, late, rolling, spikes, units
 from tidegrain.sources.tables import table
 
 #: What makes a redelivered mention row: the same content under another id.
@@ -62,6 +62,41 @@ def p2_amounts(spark: SparkSession, root: str) -> DataFrame:
     return p2_amounts_full(spark, root).select("quote_id", "unit_currency", "unit_scale", F.round("unit_posterior", 6).alias("unit_posterior"), "unit_uncertain", "native_amount", "usd_amount")
 
 
+def readings(spark: SparkSession, root: str) -> DataFrame:
+    """Readings of both price tables in whole native units (``value``) and at a fixed dollar rate (``common``)."""
+    snapshots, quotes, fx = (table(spark, root, n) for n in ("price_snapshot", "price_quote", "fx_rate"))
+    usual = F.broadcast(units.mean_rates(fx))  # one row per currency
+    s = snapshots.select(F.lit("price_snapshot").alias("record_table"), F.col("row_id").alias("record_id"), *SERIES, "as_of", "observed_at", "supersedes", F.col("amount").cast("double").alias("value"), F.col("currency").alias("_sign"))
+    q = units.amount_units(quotes.select("quote_id", "card_uid", "source", "as_of", "observed_at", "body"), snapshots, fx)
+    none = F.lit(None)
+    q = q.select(
+        F.lit("price_quote").alias("record_table"), F.col("quote_id").alias("record_id"), "card_uid", "source", *[none.cast("string").alias(c) for c in SERIES[2:]],
+        "as_of", "observed_at", none.cast("bigint").alias("supersedes"), F.col("native_amount").alias("value"), F.col("unit_currency").alias("_sign"),
+    )
+    both = s.unionByName(q).join(usual, "_sign", "left")
+    return both.withColumn("common", F.col("value") * F.pow(F.lit(10.0), F.coalesce("usd_log", F.lit(0.0)))).drop("_sign", "usd_log")
+
+
+def flagged_readings(spark: SparkSession, root: str) -> DataFrame:
+    series = ("record_table", *SERIES)
+    none = F.lit(None).cast("string")
+    s = table(spark, root, "price_snapshot").select(F.lit("price_snapshot").alias("record_table"), *SERIES)
+    q = table(spark, root, "price_quote").select(F.lit("price_quote").alias("record_table"), "card_uid", "source", *[none.alias(c) for c in SERIES[2:]])
+    hot = spikes.hot_series(s.unionByName(q), series)
+    return spikes.flag_readings(readings(spark, root), series=series, as_of="as_of", observed="observed_at", row_id="record_id", value="value", common="common", correction="supersedes", hot=hot)
+
+
+def p4_found(spark: SparkSession, root: str) -> DataFrame:
+    """Readings that cannot be real."""
+    return flagged_readings(spark, root).where("impossible OR stuck OR spike").select("record_table", "record_id")
+
+
+def p4_readings(spark: SparkSession, root: str) -> DataFrame:
+    """Flagged readings with the reason and the detail coefficient in robust scales."""
+    got = flagged_readings(spark, root).where("impossible OR stuck OR spike")
+    return got.select("record_table", "record_id", "impossible", "stuck", "spike", F.round("detail", 3).alias("detail"))
+
+
 def p5_found(spark: SparkSession, root: str) -> DataFrame:
     """Per alert the price row that was known and in force when it fired."""
     return asof.known_as_of(table(spark, root, "alert_ledger"), table(spark, root, "price_snapshot"), event_id="alert_id", at="fired_at", series=SERIES)
@@ -90,6 +125,8 @@ QUERIES = {
     "p2_found": p2_found,
     "p2_rates": p2_rates,
     "p2_amounts": p2_amounts,
+    "p4_found": p4_found,
+    "p4_readings": p4_readings,
     "p5_found": p5_found,
     "p7_found": p7_found,
     "p7_published": p7_published,
