@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegrain.llm import vocabulary
+from tidegrain.llm import encoding, vocabulary
 from tidegrain.sources.tables import table
 
 
@@ -20,7 +20,19 @@ def p6_found(spark: SparkSession, root: str) -> DataFrame:
     return _rarities(spark, root).select(F.col("id").alias("target_id"), F.col("entry_id").cast("int").alias("rarity_id"))
 
 
+def p10_found(spark: SparkSession, root: str) -> DataFrame:
+    """Documents that were damaged by a wrong decoding."""
+    return encoding.find_damage(table(spark, root, "documents")).where("damaged").select("doc_id")
+
+
+def p10_restored(spark: SparkSession, root: str) -> DataFrame:
+    """Damaged documents with the encodings involved and the text as far as it can be restored."""
+    return encoding.find_damage(table(spark, root, "documents")).where("damaged").select("doc_id", "states", "restored", "lossless")
+
+
 QUERIES = {
     "p6_found": p6_found,
+    "p10_found": p10_found,
+    "p10_restored": p10_restored,
 }
 ORACLES: dict = {}
