@@ -5,10 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegrain.llm import encoding, vocabulary
+from tidegrain.llm import encoding, linkage, vocabulary
 from tidegrain.sources.tables import table
 
 
+def p3_links(spark: SparkSession, root: str) -> DataFrame:
+    """Every target that lists a catalogued card, with the confidence of the match."""
+    return linkage.link(table(spark, root, "targets"), table(spark, root, "cards"))
+
+
+def p3_found(spark: SparkSession, root: str) -> DataFrame:
+    """Every target with the card it lists."""
+    return p3_links(spark, root).select("target_id", "card_uid")
+
+
 def _rarities(spark: SparkSession, root: str) -> DataFrame:
     rows = table(spark, root, "targets").where("game = 'pkmn'").select(F.col("target_id").alias("id"), F.col("rarity").alias("value"))
     vocab = table(spark, root, "rarity_vocabulary").where("game = 'pokemon'").select(F.col("rarity_id").alias("entry_id"), F.col("rarity").alias("entry"))
@@ -31,6 +41,8 @@ def p10_restored(spark: SparkSession, root: str) -> DataFrame:
 
 
 QUERIES = {
+    "p3_found": p3_found,
+    "p3_links": p3_links,
     "p6_found": p6_found,
     "p10_found": p10_found,
     "p10_restored": p10_restored,
