@@ -2,10 +2,11 @@
 
 Each row is in force from ``observed`` until it is replaced, or until a row of the same series that
 wins over it and is never replaced becomes known; after that it can never be the answer. Both ends
-together give short half-open intervals. They are decomposed into dyadic nodes, (level, index) pairs
-covering the interval, at most two per level. An event carries the one node per level that encloses
-it, so the join is an equi-join on (series, level, index); an exact half-open test and a mergeable
-maximum in the order of precedence follow. No range join, no sort of a whole series.
+together give short half-open intervals. They are decomposed into dyadic nodes, (level, index) pairs:
+the one or two neighbours, at the level of the interval's own length, that cover it. An event carries
+the one node of every level that encloses it, so the join is an equi-join on (series, level, index);
+an exact half-open test and a mergeable maximum in the order of precedence follow. No range join, no
+sort of a whole series. A series travels as 96 bits of hashes of its columns, nulls included.
 
 Defined cases: null series columns equal null; events or rows without a time never match; events
 without a match are left out; ties end with the highest row id; repeated rows are alternatives with
@@ -20,7 +21,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidegrain.operators.corrections import with_replaced_at
+from tidegrain.operators.corrections import replaced_at
 
 #: Levels of the dyadic tree; the leaves are LEAF_SECONDS wide and the tree spans ORIGIN + 2**LEVELS leaves.
 LEVELS = 22
@@ -36,17 +37,13 @@ def leaf(ts: Column) -> Column:
 
 
 def cover(lo: Column, hi: Column) -> Column:
-    """The dyadic nodes whose union is the leaves ``lo .. hi - 1``: an array of (level, index)."""
+    """The dyadic nodes that cover the leaves ``lo .. hi - 1``: one or two of (level, index).
 
-    def at(level: Column) -> Column:
-        up = F.ceil(lo / F.pow(F.lit(2.0), level)).cast("bigint")
-        down = F.floor(hi / F.pow(F.lit(2.0), level)).cast("bigint")
-        left = F.when((up < down) & (up % 2 == 1), F.struct(level.cast("int").alias("level"), up.alias("index")))
-        right = F.when((up < down) & (down % 2 == 1), F.struct(level.cast("int").alias("level"), (down - 1).alias("index")))
-        return F.array(left, right)
-
-    nodes = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(LEVELS)), at))
-    return F.filter(nodes, lambda n: n.isNotNull())
+    The level is the lowest whose nodes are as long as the interval, so two neighbours suffice.
+    """
+    level = F.least(F.ceil(F.log2(F.greatest(hi - lo, F.lit(1)))), F.lit(LEVELS)).cast("int")
+    node = lambda at: F.struct(level.alias("level"), F.floor(at / F.pow(F.lit(2.0), level)).cast("bigint").alias("index"))
+    return F.array_distinct(F.array(node(lo), node(hi - 1)))
 
 
 def enclosing(at: Column) -> Column:
@@ -54,31 +51,32 @@ def enclosing(at: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(LEVELS)), lambda level: F.struct(level.cast("int").alias("level"), F.floor(at / F.pow(F.lit(2.0), level)).cast("bigint").alias("index")))
 
 
+def series_key(series: Sequence[str]) -> list[Column]:
+    """Two hashes, 64 and 32 bits, of the columns and of which of them are null."""
+    parts = [x for c in series for x in (F.col(c).isNull(), F.col(c))]
+    return [F.xxhash64(*parts).alias("_k1"), F.hash(*parts).alias("_k2")]
+
+
 def reigns(log: DataFrame, series: Sequence[str], *, as_of: str = "as_of", observed: str = "observed_at", row_id: str = "row_id", supersedes: str = "supersedes") -> DataFrame:
-    """``series``, ``_as_of, _observed, _row_id`` and the half-open ``[_from, _until)``; ``_until`` null is open.
+    """``_k1, _k2, _as_of, _row_id`` and the half-open ``[_from, _until)``; ``_until`` null is open.
 
     ``_until`` is the replacement or the first time a never-replaced row of higher precedence was known.
     That running minimum is taken within (series, month of as_of) and carried over by one row per month,
     so no series is sorted whole.
     """
-    rows = with_replaced_at(log.select(*series, as_of, observed, row_id, supersedes), row_id, supersedes, observed).where(F.col(observed).isNotNull() & F.col(as_of).isNotNull())
-    rows = rows.select(
-        *[F.col(c).alias(f"_s{i}") for i, c in enumerate(series)],
-        F.col(as_of).alias("_as_of"), F.col(observed).alias("_observed"), F.col(row_id).alias("_row_id"), "replaced_at",
-        F.when(F.col("replaced_at").isNull(), F.col(observed)).alias("_firm"), F.date_trunc("month", F.col(as_of).cast("timestamp")).alias("_month"),
-    )
-    keys = [f"_s{i}" for i in range(len(series))]
-    month = rows.groupBy(*keys, "_month").agg(F.min("_firm").alias("_month_firm"))
-    later = Window.partitionBy(*keys).orderBy(F.desc("_month")).rowsBetween(Window.unboundedPreceding, -1)
-    month = month.select(*[F.col(k).alias(f"m{k}") for k in keys], F.col("_month").alias("m_month"), F.min("_month_firm").over(later).alias("_later_firm"))
-    inside = Window.partitionBy(*keys, "_month").orderBy(F.desc("_as_of"), F.desc("_observed"), F.desc("_row_id")).rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("_inside_firm", F.min("_firm").over(inside))
-    cond = rows["_month"] == month["m_month"]
-    for k in keys:
-        cond = cond & rows[k].eqNullSafe(month[f"m{k}"])
-    rows = rows.join(month, cond, "left")
+    rows = log.select(*series_key(series), F.col(as_of).alias("_as_of"), F.col(observed).alias("_from"), F.col(row_id).alias("_row_id"))
+    rows = rows.where(F.col("_from").isNotNull() & F.col("_as_of").isNotNull())
+    gone = replaced_at(log, supersedes, observed)
+    rows = rows.join(gone, rows["_row_id"] == gone["replaced_id"], "left").drop("replaced_id")
+    firm = F.when(F.col("replaced_at").isNull(), F.col("_from"))
+    rows = rows.withColumn("_month", (F.year("_as_of") * 12 + F.month("_as_of")).cast("int"))
+    month = rows.groupBy("_k1", "_k2", "_month").agg(F.min(firm).alias("_month_firm"))
+    later = Window.partitionBy("_k1", "_k2").orderBy(F.desc("_month")).rowsBetween(Window.unboundedPreceding, -1)
+    month = month.select("_k1", "_k2", "_month", F.min("_month_firm").over(later).alias("_later_firm"))
+    inside = Window.partitionBy("_k1", "_k2", "_month").orderBy(F.desc("_as_of"), F.desc("_from"), F.desc("_row_id")).rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("_inside_firm", F.min(firm).over(inside)).join(month, ["_k1", "_k2", "_month"], "left")
     until = F.least("replaced_at", "_inside_firm", "_later_firm")  # least skips nulls
-    return rows.select(*keys, "_as_of", "_observed", "_row_id", F.col("_observed").alias("_from"), until.alias("_until")).where(F.col("_until").isNull() | (F.col("_from") < F.col("_until")))
+    return rows.select("_k1", "_k2", "_as_of", "_row_id", "_from", until.alias("_until")).where(F.col("_until").isNull() | (F.col("_from") < F.col("_until")))
 
 
 def known_as_of(events: DataFrame, log: DataFrame, *, event_id: str, at: str, series: Sequence[str], as_of: str = "as_of", observed: str = "observed_at", row_id: str = "row_id", supersedes: str = "supersedes") -> DataFrame:
@@ -86,16 +84,11 @@ def known_as_of(events: DataFrame, log: DataFrame, *, event_id: str, at: str, se
 
     Of several the latest ``as_of``, then the latest ``observed``, then the highest ``row_id``.
     """
-    keys = [f"_s{i}" for i in range(len(series))]
     rows = reigns(log, series, as_of=as_of, observed=observed, row_id=row_id, supersedes=supersedes)
     end = F.coalesce(leaf(F.col("_until")) + 1, F.lit(2**LEVELS))
-    nodes = rows.withColumn("_n", F.explode(cover(leaf(F.col("_from")), end))).select(*keys, "_as_of", "_observed", "_row_id", "_from", "_until", F.col("_n.level").alias("_level"), F.col("_n.index").alias("_index"))
-    asked = events.where(F.col(at).isNotNull()).select(
-        F.col(event_id).alias("_event"), F.col(at).alias("_at"), *[F.col(c).alias(f"e{k}") for c, k in zip(series, keys)], F.explode(enclosing(leaf(F.col(at)))).alias("_e")
-    ).select("_event", "_at", *[f"e{k}" for k in keys], F.col("_e.level").alias("e_level"), F.col("_e.index").alias("e_index"))
-    cond = (asked["e_level"] == nodes["_level"]) & (asked["e_index"] == nodes["_index"])
-    for k in keys:
-        cond = cond & asked[f"e{k}"].eqNullSafe(nodes[k])
-    hit = asked.join(nodes, cond).where((F.col("_from") <= F.col("_at")) & (F.col("_until").isNull() | (F.col("_at") < F.col("_until"))))
-    best = hit.groupBy("_event").agg(F.max(F.struct("_as_of", "_observed", "_row_id")).alias("_best"))
+    nodes = rows.withColumn("_n", F.explode(cover(leaf(F.col("_from")), end))).select("_k1", "_k2", F.col("_n.level").alias("_level"), F.col("_n.index").alias("_index"), "_as_of", "_row_id", "_from", "_until")
+    asked = events.where(F.col(at).isNotNull()).select(F.col(event_id).alias("_event"), F.col(at).alias("_at"), *series_key(series), F.explode(enclosing(leaf(F.col(at)))).alias("_e"))
+    asked = asked.select("_event", "_at", "_k1", "_k2", F.col("_e.level").alias("_level"), F.col("_e.index").alias("_index"))
+    hit = asked.join(nodes, ["_k1", "_k2", "_level", "_index"]).where((F.col("_from") <= F.col("_at")) & (F.col("_until").isNull() | (F.col("_at") < F.col("_until"))))
+    best = hit.groupBy("_event").agg(F.max(F.struct("_as_of", "_from", "_row_id")).alias("_best"))
     return best.select(F.col("_event").alias(event_id), F.col("_best._row_id").alias(row_id))
