@@ -7,8 +7,8 @@ All windows run over at most one row per entity and day, so an entity with any s
 costs no more than its days; the log itself only meets partial aggregates.
 
 Defined cases: rows without entity or day have no place on the calendar and are left out; a null
-amount counts as 0 but keeps its day; an empty log gives an empty state; repeated rows are the
-caller's to fold (:func:`current_daily` does for logs); extra columns are ignored, and columns
+amount counts as 0 but keeps its day; an empty log gives an empty state; repeated rows are folded
+by content (:func:`arrivals`); extra columns are ignored, and columns
 named like those of the state do not clash, as only the named ones are read.
 """
 
@@ -19,19 +19,42 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidegrain.operators.corrections import first_deliveries, never_replaced
+from tidegrain.operators.corrections import with_replaced_at
+from tidegrain.session import cut
 
 PERIODS = (7, 30)
 
 
-def current_daily(log: DataFrame, *, entity: str, as_of: str, amount: str, content: Sequence[str], row_id: str = "row_id", supersedes: str = "supersedes", observed: str = "observed_at") -> DataFrame:
-    """``(entity, day, amount, n_rows)`` of the current rows: never superseded, redeliveries once."""
-    rows = never_replaced(log.where(F.col(entity).isNotNull() & F.col(as_of).isNotNull()), row_id, supersedes)
-    rows = rows.select(*dict.fromkeys([*content, entity, as_of, amount, observed, row_id]))
-    once = first_deliveries(rows, list(dict.fromkeys([*content, entity, as_of])), [amount] if amount not in content else [], row_id, observed)
-    return once.groupBy(F.col(entity).alias("entity"), F.to_date(as_of).alias("day")).agg(
-        F.coalesce(F.sum(amount), F.lit(0)).cast("bigint").alias("amount"), F.count(F.lit(1)).alias("n_rows")
-    )
+def arrivals(log: DataFrame, *, entity: str, as_of: str, amount: str, content: Sequence[str], row_id: str = "row_id", supersedes: str = "supersedes", observed: str = "observed_at") -> DataFrame:
+    """``(entity, day, at, amount, n_rows)``: signed changes of an entity's days and when they became known.
+
+    A content counts once, from its first delivery on; it is withdrawn when the last of its
+    deliveries has been superseded.
+    """
+    need = dict.fromkeys([*content, entity, as_of, amount, row_id, supersedes, observed])
+    rows = with_replaced_at(log.select(*need), row_id, supersedes, observed)
+    rows = rows.where(F.col(entity).isNotNull() & F.col(as_of).isNotNull())
+    group = list(dict.fromkeys([*content, entity, as_of, amount]))
+    life = rows.groupBy(*group).agg(F.min(observed).alias("_born"), F.max("replaced_at").alias("_died"), F.count(F.lit(1)).alias("_n"), F.count("replaced_at").alias("_gone"))
+    value = F.coalesce(F.col(amount), F.lit(0)).cast("bigint")
+    enter = F.struct(F.col("_born").alias("at"), value.alias("amount"), F.lit(1).cast("bigint").alias("n_rows"))
+    leave = F.when(F.col("_gone") == F.col("_n"), F.struct(F.greatest("_died", "_born").alias("at"), (-value).alias("amount"), F.lit(-1).cast("bigint").alias("n_rows")))
+    step = F.explode(F.filter(F.array(enter, leave), lambda s: s.isNotNull()))
+    return life.select(F.col(entity).alias("entity"), F.to_date(as_of).alias("day"), step.alias("_s")).select("entity", "day", "_s.at", "_s.amount", "_s.n_rows")
+
+
+def by_version(arrived: DataFrame, known_at: Sequence[str]) -> DataFrame:
+    """``(entity, day, version, amount, n_rows)``: net change per day and version; version 1 closes at ``known_at[0]``."""
+    version = F.lit(1)
+    for t in known_at:
+        version = version + F.coalesce(F.col("at") >= F.lit(t).cast("timestamp_ntz"), F.lit(False)).cast("int")
+    return arrived.groupBy("entity", "day", version.alias("version")).agg(F.sum("amount").alias("amount"), F.sum("n_rows").alias("n_rows"))
+
+
+def daily_at(staged: DataFrame, version: int) -> DataFrame:
+    """``(entity, day, amount, n_rows)`` after ``version``; only days that have a current row."""
+    got = staged.where(F.col("version") <= version).groupBy("entity", "day").agg(F.sum("amount").alias("amount"), F.sum("n_rows").alias("n_rows"))
+    return got.where("n_rows > 0")
 
 
 def _flows(daily: DataFrame, periods: Sequence[int]) -> DataFrame:
@@ -70,17 +93,6 @@ def initial_state(daily: DataFrame, periods: Sequence[int] = PERIODS, version: i
     return _run(_flows(daily, periods), _span(daily), periods, version)
 
 
-def changes(old: DataFrame, new: DataFrame) -> DataFrame:
-    """``(entity, day, amount, n_rows)`` by which two daily tables differ; only days that differ."""
-    a = old.select("entity", "day", (-F.col("amount")).alias("amount"), (-F.col("n_rows")).alias("n_rows"))
-    return (
-        a.unionByName(new.select("entity", "day", "amount", "n_rows"))
-        .groupBy("entity", "day")
-        .agg(F.sum("amount").alias("amount"), F.sum("n_rows").alias("n_rows"))
-        .where("amount != 0 OR n_rows != 0")
-    )
-
-
 def advance(state: DataFrame, change: DataFrame, daily: DataFrame, periods: Sequence[int] = PERIODS, version: int = 2) -> DataFrame:
     """The rows of the next version: every day whose totals a change can touch.
 
@@ -116,15 +128,17 @@ def rolling_totals(log: DataFrame, *, entity: str, as_of: str, amount: str, cont
     """The state over the whole log, built as a first version and one further version per stage.
 
     ``known_at``: instants at which a version closes; version 1 holds what was observed before the
-    first of them, the last version everything. Without any, the state is built in one run.
+    first of them, the last version everything. Without any, the state is built in one run. The
+    changes per day and version, and each version, are written to the checkpoint folder: they are
+    far smaller than the log, which is read once.
     """
-    named = dict(entity=entity, as_of=as_of, amount=amount, content=content, row_id=row_id, supersedes=supersedes, observed=observed)
-    stages = [log.where(F.col(observed) < F.lit(t).cast("timestamp_ntz")) for t in known_at] + [log]
-    daily = current_daily(stages[0], **named)
-    versions = initial_state(daily, periods, 1)
-    for v, stage in enumerate(stages[1:], 2):
-        after = current_daily(stage, **named)
-        current = latest(versions, daily) if v > 2 else versions
-        versions = versions.unionByName(advance(current, changes(daily, after), after, periods, v))
-        daily = after
-    return latest(versions, daily) if known_at else versions
+    staged = by_version(arrivals(log, entity=entity, as_of=as_of, amount=amount, content=content, row_id=row_id, supersedes=supersedes, observed=observed), known_at)
+    if not known_at:
+        return initial_state(daily_at(staged, 1), periods, 1)
+    staged = cut(staged)
+    versions = cut(initial_state(daily_at(staged, 1), periods, 1))
+    for v in range(2, len(known_at) + 2):
+        current = latest(versions, daily_at(staged, v - 1)) if v > 2 else versions
+        change = staged.where(F.col("version") == v)
+        versions = cut(versions.unionByName(advance(current, change, daily_at(staged, v), periods, v)))
+    return latest(versions, daily_at(staged, len(known_at) + 1))
