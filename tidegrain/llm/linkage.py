@@ -31,8 +31,8 @@ from tidegrain.session import cut
 
 #: Rounds of the solver, rounds between two lineage cuts, and its penalty.
 ROUNDS, CUT_EVERY, PENALTY = 8, 4, 1.0
-#: Truth value from which a record is matched.
-ACCEPT = 0.5
+#: Truth value from which a record is matched; pairs that their own rules leave under ``HOPELESS`` are no candidates.
+ACCEPT, HOPELESS = 0.5, 0.3
 
 #: Language names and codes as sources write them.
 LANGUAGES = {"en": "EN", "eng": "EN", "english": "EN", "jp": "JP", "ja": "JP", "jpn": "JP", "japanese": "JP", "zh-hans": "CN-S", "cn-s": "CN-S", "zh-cn": "CN-S", "zh-hant": "CN-T", "cn-t": "CN-T", "zh-tw": "CN-T"}
@@ -47,7 +47,7 @@ SELLER_NOTES = r"(?i)(\(see scan\)|\*[^*]*\*|\btcg single\b|\b1x\b|\bNM\b|\bpack
 NAMED_ONLY = ("parallel", "manga_rare")
 
 #: Rule weights: pull up on agreement, pull down on disagreement.
-WEIGHTS = {"prior": (0.0, 0.35), "number": (1.0, 4.0), "set": (1.0, 4.0), "total": (0.4, 2.0), "name": (1.2, 1.5), "rarity": (0.3, 0.15), "language": (0.1, 6.0), "variant": (0.3, 8.0)}
+WEIGHTS = {"prior": (0.0, 0.35), "number": (1.0, 4.0), "set": (0.6, 4.0), "total": (0.4, 2.0), "name": (1.2, 1.5), "name_alone": (2.0, 5.0), "rarity": (0.3, 0.15), "language": (0.1, 6.0), "variant": (0.3, 8.0)}
 TRANSITIVITY = 0.3
 
 
@@ -206,11 +206,11 @@ def name_similarity() -> Column:
     same = lambda side: F.when(F.col("nm.kana") == F.col(f"{side}.kana"), _alike(F.col("nm.plain"), F.col(f"{side}.plain")))
     heard = F.array_union(F.coalesce("en.sounds", F.array()), F.coalesce("jp.sounds", F.array()))
     sound = F.when((F.size("nm.sounds") > 0) & (F.size(heard) > 0), F.when(F.arrays_overlap("nm.sounds", heard), F.lit(0.9)).otherwise(F.lit(0.1)))
-    return F.greatest(same("en"), same("jp"), sound)
+    return F.coalesce(F.greatest(same("en"), same("jp")), sound)
 
 
 def rules(pairs: DataFrame) -> DataFrame:
-    """``pairs`` with ``up`` and ``down``: arrays of (level, weight) of the hinge losses of each pair."""
+    """``pairs`` with ``up`` and ``down``, arrays of (level, weight) of their hinge losses, and where these pull ``z``."""
     agree = {
         "number": F.when(F.col("index").isNotNull() & F.col("c_index").isNotNull(), (F.col("index") == F.col("c_index")) & F.coalesce(F.col("star_told") == F.col("c_star"), F.lit(True))),
         "set": F.col("set") == F.col("c_set"),
@@ -223,24 +223,25 @@ def rules(pairs: DataFrame) -> DataFrame:
     up = [F.when(agree[k], F.struct(F.lit(1.0).alias("level"), F.lit(WEIGHTS[k][0]).alias("weight"))) for k in agree]
     down = [F.when(~agree[k], F.struct(F.lit(0.0).alias("level"), F.lit(WEIGHTS[k][1]).alias("weight"))) for k in agree]
     sim = name_similarity()
-    up.append(F.when(sim.isNotNull(), F.struct(sim.alias("level"), F.lit(WEIGHTS["name"][0]).alias("weight"))))
-    down.append(F.when(sim.isNotNull(), F.struct(sim.alias("level"), F.lit(WEIGHTS["name"][1]).alias("weight"))))
+    for side, k in ((up, 0), (down, 1)):  # without a number the name carries the match
+        weight = F.when(F.coalesce(agree["number"], F.lit(False)), WEIGHTS["name"][k]).otherwise(WEIGHTS["name_alone"][k])
+        side.append(F.when(sim.isNotNull(), F.struct(sim.alias("level"), weight.alias("weight"))))
     down.append(F.struct(F.lit(0.0).alias("level"), F.lit(WEIGHTS["prior"][1]).alias("weight")))
     keep = lambda a: F.filter(F.array(*a), lambda s: s.isNotNull())
-    return pairs.withColumn("up", keep(up)).withColumn("down", keep(down))
+    pairs = pairs.withColumn("up", keep(up)).withColumn("down", keep(down))
+    weigh = lambda f: F.aggregate(F.concat("up", "down"), F.lit(0.0), lambda acc, p: acc + f(p))
+    return pairs.withColumn("z", weigh(lambda p: p["weight"] * p["level"]) / weigh(lambda p: p["weight"])).where(F.col("z") >= HOPELESS)
 
 
 def solve(pairs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """``(rid, card_uid, hub, truth)`` after ``rounds`` of alternating directions.
 
-    ``pairs (rid, card_uid, hub, up, down)``. Per pair: ``z`` the consensus, one scaled dual per copy.
+    ``pairs (rid, card_uid, hub, up, down, z)``. Per pair: ``z`` the consensus, one scaled dual per copy.
     """
     rho, w = PENALTY, TRANSITIVITY
     copies = F.size("up") + F.size("down") + F.lit(2)
     zeros = lambda c: F.transform(c, lambda s: F.lit(0.0))
-    weigh = lambda f: F.aggregate(F.concat("up", "down"), F.lit(0.0), lambda acc, p: acc + f(p))
-    start = weigh(lambda p: p["weight"] * p["level"]) / weigh(lambda p: p["weight"])  # where every rule pulls
-    s = pairs.select("rid", "card_uid", "hub", "up", "down", start.alias("z"), zeros(F.col("up")).alias("uu"), zeros(F.col("down")).alias("ud"), F.lit(0.0).alias("ue"), F.lit(0.0).alias("uh"))
+    s = pairs.select("rid", "card_uid", "hub", "up", "down", "z", zeros(F.col("up")).alias("uu"), zeros(F.col("down")).alias("ud"), F.lit(0.0).alias("ue"), F.lit(0.0).alias("uh"))
     for i in range(1, rounds + 1):
         z = F.col("z")
         lift = lambda p, u: F.when(z - u < p["level"], (2 * p["weight"] * p["level"] + rho * (z - u)) / (2 * p["weight"] + rho)).otherwise(z - u)
@@ -270,7 +271,7 @@ def link(records: DataFrame, entities: DataFrame, key: str = "target_id") -> Dat
     r = cut(prepare_records(records))
     c = cut(prepare_entities(entities))
     pairs = candidates(r, c).join(r, "rid").join(c, "card_uid")
-    pairs = cut(rules(pairs).select("rid", "card_uid", "hub", "up", "down"))
+    pairs = cut(rules(pairs).select("rid", "card_uid", "hub", "up", "down", "z"))
     truth = solve(pairs)
     first = Window.partitionBy("rid").orderBy(F.desc("truth"), "card_uid")
     best = truth.where(F.col("truth") >= ACCEPT).withColumn("_n", F.row_number().over(first)).where("_n = 1")
