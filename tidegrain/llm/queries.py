@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegrain.llm import encoding, linkage, vocabulary
+from tidegrain.llm import encoding, linkage, mixing, packing, tokens, vocabulary
 from tidegrain.sources.tables import table
 
 
@@ -30,6 +30,38 @@ def p6_found(spark: SparkSession, root: str) -> DataFrame:
     return _rarities(spark, root).select(F.col("id").alias("target_id"), F.col("entry_id").cast("int").alias("rarity_id"))
 
 
+def _sizes(spark: SparkSession, root: str, *keep: str) -> DataFrame:
+    return mixing.prepared(tokens.with_sizes(table(spark, root, "documents"), ["doc_id", *keep]))
+
+
+def p8_pack(spark: SparkSession, root: str) -> DataFrame:
+    """Every document, or piece of one longer than a container, with its container."""
+    packed = packing.pack(_sizes(spark, root), "doc_id", "tokens")
+    return packed.select("doc_id", "piece", F.col("size").alias("tokens"), "container")
+
+
+def p8_containers(spark: SparkSession, root: str) -> DataFrame:
+    """Containers by how full they are, in tenths, with the share of their capacity used."""
+    one = p8_pack(spark, root).groupBy("container").agg(F.sum("tokens").alias("used"), F.count(F.lit(1)).alias("pieces"))
+    by = one.groupBy(F.ceil(F.col("used") * 10 / packing.CAPACITY).alias("tenths"))
+    return by.agg(F.count(F.lit(1)).alias("containers"), F.sum("pieces").alias("pieces"), F.sum("used").alias("tokens"))
+
+
+def _mixed(spark: SparkSession, root: str) -> DataFrame:
+    sizes = _sizes(spark, root, "source").select(F.col("doc_id").alias("key"), "source", "tokens")
+    return mixing.mix(sizes, table(spark, root, "source_weights"))
+
+
+def p9_mix(spark: SparkSession, root: str) -> DataFrame:
+    """The documents of the mix in order of their slots."""
+    return _mixed(spark, root).select("slot", "source", F.col("key").alias("doc_id"), "repeat", "tokens")
+
+
+def p9_shares(spark: SparkSession, root: str) -> DataFrame:
+    """Target and actual share of every listed source."""
+    return mixing.shares(_mixed(spark, root), table(spark, root, "source_weights"))
+
+
 def p10_found(spark: SparkSession, root: str) -> DataFrame:
     """Documents that were damaged by a wrong decoding."""
     return encoding.find_damage(table(spark, root, "documents")).where("damaged").select("doc_id")
@@ -44,6 +76,10 @@ QUERIES = {
     "p3_found": p3_found,
     "p3_links": p3_links,
     "p6_found": p6_found,
+    "p8_pack": p8_pack,
+    "p8_containers": p8_containers,
+    "p9_mix": p9_mix,
+    "p9_shares": p9_shares,
     "p10_found": p10_found,
     "p10_restored": p10_restored,
 }
