@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegrain.operators.corrections import never_replaced
+from tidegrain.session import cut
 
 #: Posterior from which a unit counts as settled.
 SURE = 0.95
@@ -152,14 +153,14 @@ def _signed(text: Column) -> Column:
 
 
 def parse_amounts(quotes: DataFrame, *, body: str = "body") -> DataFrame:
-    """``quotes`` with ``_text, _plain, _value, _label, _iso, _sign, _said``: what the payload itself says.
+    """``quotes``, its body replaced by ``_text, _plain, _value, _label, _iso, _sign, _said``: what the payload itself says.
 
     ``_said`` is the log10 of whole units per recorded unit as far as the payload tells, else null.
     """
-    text = F.get_json_object(F.col(body), "$.data.marketPrice")
-    label = F.get_json_object(F.col(body), "$.data.currency")
-    unit = F.coalesce(F.get_json_object(F.col(body), "$.data.unit"), F.get_json_object(F.col(body), "$.data.priceUnit"))
-    q = quotes.withColumn("_text", F.trim(text)).withColumn("_label", F.trim(label)).withColumn("_unit", F.trim(unit))
+    fields = F.from_json(F.col(body), "struct<data: struct<marketPrice: string, currency: string, unit: string, priceUnit: string>>")
+    q = quotes.withColumn("_data", fields["data"]).drop(body)
+    q = q.withColumn("_text", F.trim("_data.marketPrice")).withColumn("_label", F.trim("_data.currency"))
+    q = q.withColumn("_unit", F.trim(F.coalesce("_data.unit", "_data.priceUnit"))).drop("_data")
     q = q.withColumn("_text", F.when(F.col("_text") != "", F.col("_text")))
     q = q.withColumn("_plain", F.col("_text").rlike(r"^-?[0-9]+(\.[0-9]+)?([eE][+-]?[0-9]+)?$"))
     q = q.withColumn("_value", F.when(F.col("_plain"), F.col("_text").try_cast("double")).otherwise(_signed(F.col("_text"))))
@@ -245,7 +246,7 @@ def amount_units(quotes: DataFrame, snapshots: DataFrame, fx: DataFrame, *, body
     ``unit_uncertain``, ``native_amount`` (whole units of that currency), ``usd_amount`` decimal(18,2),
     and ``restated``: not null, and not a plain number in whole units of the ISO currency named.
     """
-    q = parse_amounts(quotes, body=body)
+    q = cut(parse_amounts(quotes, body=body))  # parsed once, then read for levels, weights and amounts
     usual = mean_rates(fx, quote)
     level = levels(q, snapshots, usual)
     q = q.join(level, "card_uid", "left").join(F.broadcast(usual), "_sign", "left")
