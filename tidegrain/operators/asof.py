@@ -61,7 +61,7 @@ def reigns(log: DataFrame, series: Sequence[str], *, as_of: str = "as_of", obser
     """``_k1, _k2, _as_of, _row_id`` and the half-open ``[_from, _until)``; ``_until`` null is open.
 
     ``_until`` is the replacement or the first time a never-replaced row of higher precedence was known.
-    That running minimum is taken within (series, month of as_of) and carried over by one row per month,
+    That running minimum is taken within (series, quarter of as_of) and carried over by one row per quarter,
     so no series is sorted whole.
     """
     rows = log.select(*series_key(series), F.col(as_of).alias("_as_of"), F.col(observed).alias("_from"), F.col(row_id).alias("_row_id"))
@@ -69,12 +69,13 @@ def reigns(log: DataFrame, series: Sequence[str], *, as_of: str = "as_of", obser
     gone = replaced_at(log, supersedes, observed)
     rows = rows.join(gone, rows["_row_id"] == gone["replaced_id"], "left").drop("replaced_id")
     firm = F.when(F.col("replaced_at").isNull(), F.col("_from"))
-    rows = rows.withColumn("_month", (F.year("_as_of") * 12 + F.month("_as_of")).cast("int"))
-    month = rows.groupBy("_k1", "_k2", "_month").agg(F.min(firm).alias("_month_firm"))
-    later = Window.partitionBy("_k1", "_k2").orderBy(F.desc("_month")).rowsBetween(Window.unboundedPreceding, -1)
-    month = month.select("_k1", "_k2", "_month", F.min("_month_firm").over(later).alias("_later_firm"))
-    inside = Window.partitionBy("_k1", "_k2", "_month").orderBy(F.desc("_as_of"), F.desc("_from"), F.desc("_row_id")).rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("_inside_firm", F.min(firm).over(inside)).join(month, ["_k1", "_k2", "_month"], "left")
+    block = ["_k1", "_k2", "_quarter"]
+    rows = rows.withColumn("_quarter", (F.year("_as_of") * 4 + F.quarter("_as_of")).cast("int")).repartition(*block)  # serves the window and the aggregate
+    quarter = rows.groupBy(*block).agg(F.min(firm).alias("_quarter_firm"))
+    later = Window.partitionBy("_k1", "_k2").orderBy(F.desc("_quarter")).rowsBetween(Window.unboundedPreceding, -1)
+    quarter = quarter.select(*block, F.min("_quarter_firm").over(later).alias("_later_firm"))
+    inside = Window.partitionBy(*block).orderBy(F.desc("_as_of"), F.desc("_from"), F.desc("_row_id")).rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("_inside_firm", F.min(firm).over(inside)).join(quarter, block, "left")
     until = F.least("replaced_at", "_inside_firm", "_later_firm")  # least skips nulls
     return rows.select("_k1", "_k2", "_as_of", "_row_id", "_from", until.alias("_until")).where(F.col("_until").isNull() | (F.col("_from") < F.col("_until")))
 
