@@ -86,14 +86,14 @@ def rate_units(rows: DataFrame, fx: DataFrame, *, rate: str = "fx_rate_used", cu
     Rows without a rate keep nulls. The reference table is joined on (currency, day).
     """
     ref = reference_rates(fx, quote)
-    edge = ref.groupBy("currency").agg(F.min("day").alias("lo"), F.max("day").alias("hi")).select(F.col("currency").alias("e_currency"), "lo", "hi")
+    edge = ref.groupBy(F.col("currency").alias("_u_cur")).agg(F.min("day").alias("_u_lo"), F.max("day").alias("_u_hi"))
     day = F.to_date(F.coalesce(F.col(at), F.col(fallback_at)))
-    got = rows.join(edge, F.col(currency) == F.col("e_currency"), "left")
-    got = got.withColumn("_day", F.least(F.greatest(day, F.col("lo")), F.col("hi"))).drop("e_currency", "lo", "hi")
-    ref = ref.select(F.col("currency").alias("r_currency"), F.col("day").alias("r_day"), "usd")
-    got = got.join(ref, (F.col(currency) == F.col("r_currency")) & (F.col("_day") == F.col("r_day")), "left").drop("r_currency", "r_day", "_day")
-    lr, lu = F.log10(F.when(F.col(rate) > 0, F.col(rate).cast("double"))), F.log10("usd")
-    got = got.withColumn("_d", lr - lu).withColumn("_i", lr + lu).drop("usd")
+    got = rows.join(edge, F.col(currency) == F.col("_u_cur"), "left")
+    got = got.withColumn("_u_day", F.least(F.greatest(day, F.col("_u_lo")), F.col("_u_hi"))).drop("_u_cur", "_u_lo", "_u_hi")
+    ref = ref.select(F.col("currency").alias("_u_cur"), F.col("day").alias("_u_rday"), F.col("usd").alias("_u_usd"))
+    got = got.join(ref, (F.col(currency) == F.col("_u_cur")) & (F.col("_u_day") == F.col("_u_rday")), "left").drop("_u_cur", "_u_rday", "_u_day")
+    lr, lu = F.log10(F.when(F.col(rate) > 0, F.col(rate).cast("double"))), F.log10("_u_usd")
+    got = got.withColumn("_d", lr - lu).withColumn("_i", lr + lu).drop("_u_usd")
     hist = got.where("_d IS NOT NULL").groupBy(F.round(F.col("_d") / bin_width).alias("d"), F.round(F.col("_i") / bin_width).alias("i")).count().toPandas()  # bounded by the bins in use
     x = np.stack([(hist.d.to_numpy(float) if s > 0 else hist.i.to_numpy(float)) * bin_width - e for _, s, e in RATE_UNITS], 1) if len(hist) else np.zeros((0, len(RATE_UNITS)))
     w, spread = fit_offsets(x, hist["count"].to_numpy(float) if len(hist) else np.zeros(0))
@@ -141,6 +141,8 @@ TEXT_UNITS = ((r"¢|仙|\dp$|(?i:cents?\b|pence\b)", -2), (r"千|(?i:\dk$)", 3),
 SCALES = (0, -2, 3)
 LEVEL_BIN = 0.05
 WINDOW_DAYS = 4
+#: Share of a source's readings under which a unit is not taken for one of its units.
+SPARSE = 0.02
 OUTLIER = 0.02
 
 
@@ -183,17 +185,17 @@ def parse_amounts(quotes: DataFrame, *, body: str = "body") -> DataFrame:
 
 
 def levels(quotes: DataFrame, snapshots: DataFrame, usd: DataFrame) -> DataFrame:
-    """``(card_uid, level)``: median log10 of dollars per card over ungraded snapshots and payloads that tell their unit."""
+    """``(card_uid, _level)``: median log10 of dollars per card over ungraded snapshots and payloads that tell their unit."""
     s = snapshots.where("amount > 0 AND grade = 'raw'").select("card_uid", F.col("currency").alias("_sign"), F.log10(F.col("amount").cast("double")).alias("x"))
     q = quotes.where("_said IS NOT NULL AND _value > 0").select("card_uid", "_sign", (F.log10("_value") + F.col("_said")).alias("x"))
-    both = s.unionByName(q).join(F.broadcast(usd), "_sign").select("card_uid", (F.col("x") + F.col("usd_log")).alias("x"))
-    return both.groupBy("card_uid").agg(F.percentile_approx("x", 0.5, 200).alias("level"))
+    both = s.unionByName(q).join(F.broadcast(usd), "_sign").select("card_uid", (F.col("x") + F.col("_usd_log")).alias("x"))
+    return both.groupBy("card_uid").agg(F.percentile_approx("x", 0.5, 200).alias("_level"))
 
 
 def mean_rates(fx: DataFrame, quote: str = "USD") -> DataFrame:
-    """``(_sign, usd_log)``: mean log10 dollars per unit; one row per currency, so it may be broadcast."""
-    ref = reference_rates(fx, quote).groupBy(F.col("currency").alias("_sign")).agg(F.avg(F.log10("usd")).alias("usd_log"))
-    return ref.unionByName(fx.sparkSession.createDataFrame([(quote, 0.0)], "_sign string, usd_log double"))
+    """``(_sign, _usd_log)``: mean log10 dollars per unit; one row per currency, so it may be broadcast."""
+    ref = reference_rates(fx, quote).groupBy(F.col("currency").alias("_sign")).agg(F.avg(F.log10("usd")).alias("_usd_log"))
+    return ref.unionByName(fx.sparkSession.createDataFrame([(quote, 0.0)], "_sign string, _usd_log double"))
 
 
 def _fit_channel(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -228,8 +230,10 @@ def _fit_channel(pdf: pd.DataFrame) -> pd.DataFrame:
         total = np.vstack([np.zeros((1, k)), np.cumsum(per_day, 0)])
         lo, hi = np.searchsorted(days, days - WINDOW_DAYS, "left"), np.searchsorted(days, days + WINDOW_DAYS, "right")
         near = total[hi] - total[lo] + 0.02 * per_day.sum(0) / max(per_day.sum(), 1)
+        # A sparse prior: what a reading or two suggest is no unit of the source.
+        near = np.maximum(near - 1.5 - SPARSE * near.sum(1, keepdims=True), 0.0)
+        near = np.where(near.sum(1, keepdims=True) > 0, near, 1e-2 * per_day.sum(0) / max(per_day.sum(), 1))  # too few readings near: the channel's
         w = (near + 1e-4) / (near.sum(1, keepdims=True) + 1e-4 * k)
-    # A change of unit falls between two days: on each day the side whose own readings fit decides.
     out = {"day_no": days, "mu": mu, "sd": sd}
     for j in range(k):
         out[f"w{j}"] = w[:, j]
@@ -250,21 +254,21 @@ def amount_units(quotes: DataFrame, snapshots: DataFrame, fx: DataFrame, *, body
     usual = mean_rates(fx, quote)
     level = levels(q, snapshots, usual)
     q = q.join(level, "card_uid", "left").join(F.broadcast(usual), "_sign", "left")
-    x = F.when(F.col("_value") > 0, F.log10("_value") + F.col("usd_log") - F.col("level"))
+    x = F.when(F.col("_value") > 0, F.log10("_value") + F.col("_usd_log") - F.col("_level"))
     q = q.withColumn("_x", x).withColumn("_day_no", F.datediff(F.to_date("as_of"), F.lit("1970-01-01").cast("date")))
     q = q.withColumn("_integral", F.col("_value") == F.floor("_value"))
     silent = q.where("_value IS NOT NULL AND _said IS NULL")
     counts = silent.groupBy("source", "_sign", F.col("_day_no").alias("day_no"), F.round(F.greatest(F.least("_x", F.lit(9.0)), F.lit(-9.0)) / LEVEL_BIN).alias("bin"), F.col("_integral").alias("integral")).agg(F.count(F.lit(1)).alias("n"))
     counts = counts.where("source IS NOT NULL AND day_no IS NOT NULL")
     fitted = counts.groupBy("source", "_sign").applyInPandas(_fit_channel, "source string, _sign string, day_no int, mu double, sd double, w0 double, w1 double, w2 double")
-    fitted = fitted.select(F.col("source").alias("f_source"), F.col("_sign").alias("f_sign"), "day_no", "mu", "sd", "w0", "w1", "w2")
-    q = q.join(fitted, (q["source"] == fitted["f_source"]) & q["_sign"].eqNullSafe(fitted["f_sign"]) & (q["_day_no"] == fitted["day_no"]), "left").drop("f_source", "f_sign", "day_no")
+    fitted = fitted.select(F.col("source").alias("_f_source"), F.col("_sign").alias("_f_sign"), F.col("day_no").alias("_f_day"), *[F.col(c).alias(f"_{c}") for c in ("mu", "sd", "w0", "w1", "w2")])
+    q = q.join(fitted, (q["source"] == fitted["_f_source"]) & q["_sign"].eqNullSafe(fitted["_f_sign"]) & (q["_day_no"] == fitted["_f_day"]), "left").drop("_f_source", "_f_sign", "_f_day")
     form = [F.when(F.col("_integral"), 0.3).otherwise(0.7), F.when(F.col("_integral"), 0.999).otherwise(0.001), F.when(F.col("_integral"), 0.1).otherwise(0.9)]
     dens = []
     for j, s in enumerate(SCALES):
-        r = (F.col("_x") - F.col("mu") + F.lit(float(s))) / F.col("sd")
-        lik = F.when(F.col("_x").isNotNull(), (1 - OUTLIER) * F.exp(-0.5 * r * r) / (F.col("sd") * 2.5066) + OUTLIER / 8).otherwise(F.lit(1.0))
-        dens.append(F.coalesce(F.col(f"w{j}"), F.lit([0.98, 0.01, 0.01][j])) * lik * form[j])
+        r = (F.col("_x") - F.col("_mu") + F.lit(float(s))) / F.col("_sd")
+        lik = F.when(F.col("_x").isNotNull(), (1 - OUTLIER) * F.exp(-0.5 * r * r) / (F.col("_sd") * 2.5066) + OUTLIER / 8).otherwise(F.lit(1.0))
+        dens.append(F.coalesce(F.col(f"_w{j}"), F.lit([0.98, 0.01, 0.01][j])) * lik * form[j])
     q = q.withColumn("_p", F.array(*dens))
     total = F.aggregate("_p", F.lit(0.0), lambda a, v: a + v)
     pick = F.element_at(F.array(*[F.lit(s) for s in SCALES]), F.array_position("_p", F.array_max("_p")).cast("int"))
@@ -274,14 +278,14 @@ def amount_units(quotes: DataFrame, snapshots: DataFrame, fx: DataFrame, *, body
     q = q.withColumn("unit_currency", F.when(has, F.col("_sign")))
     q = q.withColumn("unit_uncertain", F.col("_text").isNotNull() & (F.coalesce(F.col("unit_posterior"), F.lit(0.0)) < SURE))
     q = q.withColumn("native_amount", F.round(F.col("_value") * F.pow(F.lit(10.0), F.col("unit_scale")), 4))
-    ref = reference_rates(fx, quote).select(F.col("currency").alias("r_currency"), F.col("day").alias("r_day"), F.col("usd").alias("r_usd"))
-    edge = ref.groupBy(F.col("r_currency").alias("e_currency")).agg(F.min("r_day").alias("lo"), F.max("r_day").alias("hi"))
-    q = q.join(F.broadcast(edge), F.col("unit_currency") == F.col("e_currency"), "left")
-    q = q.withColumn("_day", F.least(F.greatest(F.to_date("as_of"), F.col("lo")), F.col("hi"))).drop("e_currency", "lo", "hi")
-    q = q.join(ref, (F.col("unit_currency") == F.col("r_currency")) & (F.col("_day") == F.col("r_day")), "left")
-    rate = F.when(F.col("unit_currency") == quote, F.lit(1.0)).otherwise(F.col("r_usd"))
+    ref = reference_rates(fx, quote).select(F.col("currency").alias("_r_cur"), F.col("day").alias("_r_day"), F.col("usd").alias("_r_usd"))
+    edge = ref.groupBy(F.col("_r_cur").alias("_e_cur")).agg(F.min("_r_day").alias("_lo"), F.max("_r_day").alias("_hi"))
+    q = q.join(F.broadcast(edge), F.col("unit_currency") == F.col("_e_cur"), "left")
+    q = q.withColumn("_day", F.least(F.greatest(F.to_date("as_of"), F.col("_lo")), F.col("_hi"))).drop("_e_cur", "_lo", "_hi")
+    q = q.join(ref, (F.col("unit_currency") == F.col("_r_cur")) & (F.col("_day") == F.col("_r_day")), "left")
+    rate = F.when(F.col("unit_currency") == quote, F.lit(1.0)).otherwise(F.col("_r_usd"))
     q = q.withColumn("usd_amount", F.round(F.col("native_amount") * rate, 2).try_cast("decimal(18,2)"))
     whole = F.col("_plain") & F.col("_iso").isNotNull() & (F.col("unit_scale") == 0) & (F.col("_sign") == F.col("_iso"))
     q = q.withColumn("restated", F.col("_text").isNotNull() & ~F.coalesce(whole, F.lit(False)))
-    drop = ["_text", "_label", "_plain", "_value", "_said", "_iso", "_sign", "_x", "_day_no", "_integral", "_p", "level", "usd_log", "mu", "sd", "w0", "w1", "w2", "r_currency", "r_day", "r_usd", "_day"]
+    drop = ["_text", "_label", "_plain", "_value", "_said", "_iso", "_sign", "_x", "_day_no", "_integral", "_p", "_level", "_usd_log", "_mu", "_sd", "_w0", "_w1", "_w2", "_r_cur", "_r_day", "_r_usd", "_day"]
     return q.drop(*drop)

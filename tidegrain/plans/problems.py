@@ -74,7 +74,7 @@ def readings(spark: SparkSession, root: str) -> DataFrame:
         "as_of", "observed_at", none.cast("bigint").alias("supersedes"), F.col("native_amount").alias("value"), F.col("unit_currency").alias("_sign"),
     )
     both = s.unionByName(q).join(usual, "_sign", "left")
-    return both.withColumn("common", F.col("value") * F.pow(F.lit(10.0), F.coalesce("usd_log", F.lit(0.0)))).drop("_sign", "usd_log")
+    return both.withColumn("common", F.col("value") * F.pow(F.lit(10.0), F.coalesce("_usd_log", F.lit(0.0)))).drop("_sign", "_usd_log")
 
 
 def flagged_readings(spark: SparkSession, root: str) -> DataFrame:

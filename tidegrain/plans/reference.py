@@ -97,14 +97,7 @@ def pit_day_coverage(spark, root):
     return d.select("card_uid", day("first_day"), day("last_day"), F.col("present").cast("bigint").alias("present"), "consecutive", F.col("missing").cast("bigint").alias("missing"))
 
 
-PRICE_RULES = {
-    "observed_before_as_of": F.col("observed_at") >= F.col("as_of"),
-    "negative_amount": F.col("amount") >= 0,
-    "rate_without_date": F.col("fx_rate_used").isNull() == F.col("fx_as_of").isNull(),
-    "raw_with_grader": (F.col("grade") == "raw") == F.col("grader").isNull(),
-    "graded_condition": (F.col("grade") == "raw") | (F.col("condition") == "graded"),
-    "negative_sample": F.col("sample_size") >= 0,
-}
+#: The row rules of the price log as SQL conditions that both engines read; a null passes.
 _PRICE_SQL = {
     "observed_before_as_of": "observed_at >= as_of", "negative_amount": "amount >= 0", "rate_without_date": "(fx_rate_used IS NULL) = (fx_as_of IS NULL)",
     "raw_with_grader": "(grade = 'raw') = (grader IS NULL)", "graded_condition": "grade = 'raw' OR condition = 'graded'", "negative_sample": "sample_size >= 0",
@@ -114,14 +107,14 @@ _PRICE_SQL = {
 @query(" UNION ALL ".join(f"SELECT '{n}' AS rule, count(*) AS violations FROM price_snapshot WHERE NOT coalesce({c}, true)" for n, c in _PRICE_SQL.items()))
 def pit_invariant_violations(spark, root):
     """How many price rows break each row rule."""
-    return pit.violations(table(spark, root, "price_snapshot"), PRICE_RULES)
+    return pit.violations(table(spark, root, "price_snapshot"), {n: F.expr(c) for n, c in _PRICE_SQL.items()})
 
 
 @query("""SELECT currency, count(*) AS rows, count(*) FILTER (WHERE ok) AS accepted FROM (SELECT currency, """ + " AND ".join(f"coalesce({c}, true)" for c in _PRICE_SQL.values()) + """ AS ok
   FROM price_snapshot) GROUP BY currency""")
 def pit_append_gate(spark, root):
     """Rows accepted and quarantined by the append gate per currency."""
-    g = pit.gate(table(spark, root, "price_snapshot"), PRICE_RULES)
+    g = pit.gate(table(spark, root, "price_snapshot"), {n: F.expr(c) for n, c in _PRICE_SQL.items()})
     return g.groupBy("currency").agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.size("broken") == 0).alias("accepted"))
 
 
