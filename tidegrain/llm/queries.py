@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegrain.llm import encoding, linkage, mixing, packing, tokens, vocabulary
+from tidegrain.llm.oracles import ORACLES  # noqa: F401
 from tidegrain.sources.tables import table
 
 
@@ -83,4 +84,3 @@ QUERIES = {
     "p10_found": p10_found,
     "p10_restored": p10_restored,
 }
-ORACLES: dict = {}
