@@ -69,3 +69,16 @@ def test_last_rate(spark):
     facts = spark.createDataFrame([(1, "p", t("2025-01-03")), (2, "p", t("2024-12-31")), (3, "q", t("2025-01-03"))], "id int, pair string, as_of timestamp_ntz")
     rates = spark.createDataFrame([("p", Decimal("1.5"), t("2025-01-01")), ("p", Decimal("2.5"), t("2025-01-04"))], "fx string, rate decimal(8,2), at timestamp_ntz")
     assert [(r[0], r[1]) for r in rows(pit.last_rate(facts, rates, ("pair", "fx"), ("as_of", "at"), "rate").select("id", F.col("rate").cast("double")))] == [(1, 1.5), (2, None), (3, None)]
+
+
+def test_distributed_quartiles_equal_sorted_ones(spark):
+    import random
+
+    r = random.Random(4)
+    data = [(k, r.choice([r.gauss(0, 3), 1.5, 1.5, 2.0]) if k != "few" else 7.0) for k in ["a"] * 501 + ["b"] * 200 + ["few"] + ["two"] * 2] + [("a", None)]
+    df = spark.createDataFrame(data, "k string, v double")
+    arrays = df.where("v IS NOT NULL").groupBy("k").agg(F.array_sort(F.collect_list("v")).alias("a"), F.median("v").alias("m"))
+    want = {x["k"]: (x["m"], x["q1"], x["q3"]) for x in arrays.select("k", "m", stats.exclusive_quantile(F.col("a"), 0.25).alias("q1"), stats.exclusive_quantile(F.col("a"), 0.75).alias("q3")).collect()}
+    got = {x["k"]: (x["median"], x["q1"], x["q3"]) for x in stats.quartiles(df, ["k"], "v").collect()}
+    near = lambda a, b: (a is None and b is None) or abs(a - b) < 1e-9
+    assert got.keys() == want.keys() and all(near(x, y) for k in want for x, y in zip(want[k], got[k]))

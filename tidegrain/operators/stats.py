@@ -18,12 +18,49 @@ def exclusive_quantile(values: Column, p: float) -> Column:
     return F.when(n >= 2, lo + (h - j) * (hi - lo))
 
 
+def order_statistics(rows: DataFrame, bucket: Sequence[str], value: str, ranks: Column) -> DataFrame:
+    """``(bucket, rank, value)``: exact order statistics of every bucket without sorting or collecting one.
+
+    ``ranks`` is an array of 1-based ranks over the columns of ``bucket`` and ``n``, the bucket's count.
+    Values are counted per bin of a monotone transform, prefix counts over the bins tell which bin holds
+    a rank, and only the distinct values of those bins are ranked. Null values are left out.
+    """
+    keys = list(bucket)
+    binned = rows.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v")).withColumn("_bin", F.floor(F.asinh(F.col("_v") * 1000) * 100))
+    counts = binned.groupBy(*keys, "_bin").agg(F.count(F.lit(1)).alias("_c"))
+    run = Window.partitionBy(*keys).orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0)
+    whole = Window.partitionBy(*keys)
+    counts = counts.withColumn("_upto", F.sum("_c").over(run)).withColumn("n", F.sum("_c").over(whole))
+    asked = counts.withColumn("rank", F.explode(ranks)).where((F.col("rank") <= F.col("_upto")) & (F.col("rank") > F.col("_upto") - F.col("_c")))
+    asked = asked.select(*keys, "_bin", "rank", (F.col("rank") - F.col("_upto") + F.col("_c")).alias("_local"))
+    need = asked.select(*keys, "_bin").distinct()
+    distinct = binned.join(need, [*keys, "_bin"], "left_semi").groupBy(*keys, "_bin", "_v").agg(F.count(F.lit(1)).alias("_m"))
+    inside = Window.partitionBy(*keys, "_bin").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    distinct = distinct.withColumn("_to", F.sum("_m").over(inside))
+    hit = asked.join(distinct, [*keys, "_bin"]).where((F.col("_local") <= F.col("_to")) & (F.col("_local") > F.col("_to") - F.col("_m")))
+    return hit.select(*keys, "rank", F.col("_v").alias("value")).distinct()
+
+
+def quartiles(rows: DataFrame, bucket: Sequence[str], value: str) -> DataFrame:
+    """``(bucket, n, median, q1, q3)``, exact; quartiles at rank (n + 1) p, null under two values."""
+    n = F.col("n")
+    j = {p: F.greatest(F.lit(1), F.least(n - 1, F.floor((n + 1) * p))) for p in (0.25, 0.75)}
+    mid = (F.floor((n + 1) / 2), F.ceil((n + 1) / 2))
+    ranks = F.array_distinct(F.array(*mid, j[0.25], j[0.25] + 1, j[0.75], j[0.75] + 1))
+    stat = order_statistics(rows, bucket, value, ranks)
+    count = rows.where(F.col(value).isNotNull()).groupBy(*bucket).agg(F.count(F.lit(1)).alias("n"))
+    at = stat.groupBy(*bucket).agg(F.map_from_entries(F.collect_list(F.struct("rank", "value"))).alias("_at"))  # six ranks at most
+    got = count.join(at, list(bucket))
+    pick = lambda r: F.try_element_at("_at", r.cast("bigint"))
+    exclusive = lambda p: F.when(n >= 2, pick(j[p]) + ((n + 1) * F.lit(p) - j[p]) * (pick(j[p] + 1) - pick(j[p])))
+    return got.select(*bucket, "n", ((pick(mid[0]) + pick(mid[1])) / 2).alias("median"), exclusive(0.25).alias("q1"), exclusive(0.75).alias("q3"))
+
+
 def paired_ratios(rows: DataFrame, *, unit: Sequence[str], role: str, base: str, value: str, bucket: Sequence[str], member: str, least_pairs: int, least_members: int) -> DataFrame:
     """Per bucket and role the median ratio to the base role within a unit, published from a least sample on.
 
     ``unit`` columns identify what is compared (equal currency included); per unit and role the median
-    value counts. Base values of 0 or less and missing partners are skipped. Ratios are collected per
-    bucket for exact quartiles, one number per unit.
+    value counts. Base values of 0 or less and missing partners are skipped. Quartiles are exact.
     """
     m = rows.groupBy(*unit, *[b for b in bucket if b not in unit], role).agg(F.median(value).alias("_v"))
     b = m.where((F.col(role) == base) & (F.col("_v") > 0)).select(*[F.col(c).alias(f"b_{c}") for c in unit], F.col("_v").alias("_base"))
@@ -31,10 +68,13 @@ def paired_ratios(rows: DataFrame, *, unit: Sequence[str], role: str, base: str,
     for c in unit:
         cond = cond & (m[c] == b[f"b_{c}"])
     pairs = m.where(F.col(role) != base).join(b, cond).withColumn("_ratio", F.col("_v") / F.col("_base"))
-    out = pairs.groupBy(*bucket, role).agg(F.count(F.lit(1)).alias("pairs"), F.count_distinct(member).alias("members"), F.median("_ratio").alias("_m"), F.array_sort(F.collect_list("_ratio")).alias("_all"))
+    keys = [*bucket, role]
+    out = pairs.groupBy(*keys).agg(F.count(F.lit(1)).alias("pairs"), F.count_distinct(member).alias("members"))
+    q = quartiles(pairs, keys, "_ratio").drop("n")
     enough = (F.col("pairs") >= least_pairs) & (F.col("members") >= least_members)
     shown = lambda c: F.when(enough, F.round(c, 4))
-    return out.select(*bucket, role, "pairs", "members", shown(F.col("_m")).alias("ratio"), shown(exclusive_quantile(F.col("_all"), 0.25)).alias("q1"), shown(exclusive_quantile(F.col("_all"), 0.75)).alias("q3"), F.when(~enough, F.lit("sample_below_minimum")).alias("refused"))
+    out = out.join(q, keys)
+    return out.select(*keys, "pairs", "members", shown(F.col("median")).alias("ratio"), shown(F.col("q1")).alias("q1"), shown(F.col("q3")).alias("q3"), F.when(~enough, F.lit("sample_below_minimum")).alias("refused"))
 
 
 def trailing_z(daily: DataFrame, key: Sequence[str], day: str, value: str, days: int, least: int = 2) -> DataFrame:
