@@ -33,14 +33,14 @@ def test_rates_in_every_convention(spark, fx):
                 r = (usd if s > 0 else 1 / usd) * 10**e * (1 + (k - 6) / 20000)
                 data.append((len(data), cur, Decimal(f"{r:.8f}"), at, at, 1, 2))
                 want[len(data) - 1] = name
-    data += [(900, "EUR", None, at, at, 1, 2), (901, None, Decimal("1.1"), at, at, 1, 2), (902, "XYZ", Decimal("1.1"), None, at, 1, 2), (903, "EUR", Decimal("0"), at, at, 1, 2)]
+    data += [(900, "EUR", None, at, at, 1, 2), (901, None, Decimal("1.1"), at, at, 1, 2), (902, "XYZ", Decimal("1.1"), None, at, 1, 2), (903, "EUR", Decimal("0"), at, at, 1, 2), (904, "USD", Decimal("1"), at, at, 1, 2)]
     df = spark.createDataFrame(data, "row_id bigint, currency string, fx_rate_used decimal(18,8), fx_as_of timestamp_ntz, as_of timestamp_ntz, lo int, usd int")
     got = {r["row_id"]: r for r in units.rate_units(df, fx).collect()}
     assert len(got) == len(data)
     for i, name in want.items():
         if name != "direct_per100" or got[i]["currency"] != "JPY":  # eight decimals leave too few digits there
             assert got[i]["rate_unit"] == name, (i, got[i])
-    assert abs(got[0]["rate_usd"] - 1.069) < 1e-3
+    assert abs(got[0]["rate_usd"] - 1.069) < 1e-3 and got[904]["rate_unit"] == "direct"
     assert all(got[i]["rate_unit"] is None for i in (900, 901, 902, 903)) and got[901]["rate_uncertain"] and not got[900]["rate_uncertain"]
 
 

@@ -92,7 +92,7 @@ def rate_units(rows: DataFrame, fx: DataFrame, *, rate: str = "fx_rate_used", cu
     got = got.withColumn("_u_day", F.least(F.greatest(day, F.col("_u_lo")), F.col("_u_hi"))).drop("_u_cur", "_u_lo", "_u_hi")
     ref = ref.select(F.col("currency").alias("_u_cur"), F.col("day").alias("_u_rday"), F.col("usd").alias("_u_usd"))
     got = got.join(ref, (F.col(currency) == F.col("_u_cur")) & (F.col("_u_day") == F.col("_u_rday")), "left").drop("_u_cur", "_u_rday", "_u_day")
-    lr, lu = F.log10(F.when(F.col(rate) > 0, F.col(rate).cast("double"))), F.log10("_u_usd")
+    lr, lu = F.log10(F.when(F.col(rate) > 0, F.col(rate).cast("double"))), F.coalesce(F.log10("_u_usd"), F.when(F.col(currency) == quote, 0.0))
     got = got.withColumn("_d", lr - lu).withColumn("_i", lr + lu).drop("_u_usd")
     hist = got.where("_d IS NOT NULL").groupBy(F.round(F.col("_d") / bin_width).alias("d"), F.round(F.col("_i") / bin_width).alias("i")).count().toPandas()  # bounded by the bins in use
     x = np.stack([(hist.d.to_numpy(float) if s > 0 else hist.i.to_numpy(float)) * bin_width - e for _, s, e in RATE_UNITS], 1) if len(hist) else np.zeros((0, len(RATE_UNITS)))

@@ -35,7 +35,7 @@ def p1_rolling(spark: SparkSession, root: str) -> DataFrame:
 
 def p2_found(spark: SparkSession, root: str) -> DataFrame:
     """Rates and quoted prices recorded in another unit than the common one."""
-    rates = p2_rates_full(spark, root).where("fx_rate_used IS NOT NULL AND coalesce(rate_unit, '') != 'direct'")
+    rates = p2_rates_full(spark, root).where("rate_unit != 'direct'")
     amounts = p2_amounts_full(spark, root).where("restated")
     return rates.select(F.lit("price_snapshot").alias("record_table"), F.col("row_id").alias("record_id")).unionByName(
         amounts.select(F.lit("price_quote").alias("record_table"), F.col("quote_id").alias("record_id"))

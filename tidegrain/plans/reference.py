@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tidegrain.functions import text as X
 from tidegrain.operators import pit, stats
 from tidegrain.operators.corrections import never_replaced
+from tidegrain.sources import store
 from tidegrain.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -572,3 +573,52 @@ def cube_revenue(spark, root):
     """Revenue by return flag and line status with all subtotals (an extension)."""
     li = table(spark, root, "lineitem").cube(F.col("l_returnflag").alias("returnflag"), F.col("l_linestatus").alias("linestatus"))
     return li.agg(F.count(F.lit(1)).alias("lines"), F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"))
+
+
+# --- sources --------------------------------------------------------------------------------------
+
+
+@query("""SELECT row_id, CASE WHEN source = 'manual' AND currency = 'USD' THEN 3 WHEN source = 'manual' THEN 2 WHEN currency = 'JPY' THEN 4 ELSE 1 END AS rule FROM price_snapshot""")
+def rule_match(spark, root):
+    """Every price row with the most specific rule of a table of rules that may leave fields open."""
+    rules = spark.createDataFrame([(1, None, None), (2, "manual", None), (3, "manual", "USD"), (4, None, "JPY")], "rule int, source string, currency string")
+    return store.most_specific(table(spark, root, "price_snapshot").select("row_id", "source", "currency"), rules, ["source", "currency"], "row_id")
+
+
+_DAY_OF = "(SELECT card_uid, source, mentions FROM sentiment WHERE CAST(as_of AS DATE) = DATE '{}')"
+
+
+@query(f"""WITH today AS {_DAY_OF.format('2026-06-01')}, before AS {_DAY_OF.format('2026-05-31')}
+  SELECT card_uid, count(*) AS rows, CAST(sum(mentions) AS BIGINT) AS mentions, false AS preserved FROM today GROUP BY 1
+  UNION ALL SELECT card_uid, count(*), CAST(sum(mentions) AS BIGINT), true FROM before WHERE card_uid NOT IN (SELECT card_uid FROM today) GROUP BY 1""")
+def preserve_empty_runs(spark, root):
+    """A day's rows, with the day before standing in for the cards that brought none."""
+    s = table(spark, root, "sentiment").select("card_uid", "source", "mentions", F.to_date("as_of").alias("day"))
+    one = lambda d: s.where(F.col("day") == F.lit(d).cast("date")).drop("day")
+    kept = store.preserve(one("2026-06-01"), one("2026-05-31"), "card_uid")
+    return kept.groupBy("card_uid", "preserved").agg(F.count(F.lit(1)).alias("rows"), F.sum("mentions").alias("mentions"))
+
+
+@query(f"""WITH {_CASC}, p AS (SELECT lower(trim(a.name)) AS x, lower(trim(b.name_en)) AS y FROM casc JOIN targets a USING (target_id) JOIN cards b ON b.card_uid = casc.card_uid WHERE resolved_by = 'exact')
+  SELECT CASE WHEN coalesce(length(x), 0) = 0 OR coalesce(length(y), 0) = 0 THEN 'UNKNOWN' WHEN contains(x, y) OR contains(y, x) THEN 'AGREE' ELSE 'DISAGREE' END AS verdict, count(*) AS n FROM p GROUP BY 1""")
+def names_three_valued(spark, root):
+    """Whether the names of exactly linked pairs agree, disagree or cannot be compared."""
+    e = _cascade(spark, root).where("resolved_by = 'exact'").select("target_id", "card_uid")
+    both = e.join(table(spark, root, "targets").select("target_id", "name"), "target_id").join(table(spark, root, "cards").select("card_uid", "name_en"), "card_uid")
+    return both.groupBy(X.three_valued(F.col("name"), F.col("name_en")).alias("verdict")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""WITH {_CASC}, e2 AS (SELECT target_id, card_uid FROM casc WHERE resolved_by = 'exact'), g AS (SELECT t.target_id, c.card_uid, row_number() OVER (PARTITION BY t.target_id ORDER BY levenshtein(t.name, c.name), c.card_uid) AS rn
+    FROM t JOIN e2 USING (target_id) JOIN c ON t.game = c.game AND t.s = c.s AND left(t.name, 3) = left(c.name, 3))
+  SELECT count(*) AS used, count(*) FILTER (WHERE g.card_uid = e2.card_uid) AS correct, round(count(*) FILTER (WHERE g.card_uid = e2.card_uid) / count(*), 6) AS precision,
+    round(count(*) FILTER (WHERE g.card_uid = e2.card_uid) / (SELECT count(*) FROM e2), 6) AS recall, round(pow(0.05, 1.0 / count(*)), 6) AS bound_if_perfect FROM g JOIN e2 USING (target_id) WHERE rn = 1""")
+def resolve_precision(spark, root):
+    """Precision and recall of names alone on pairs whose number links them, with the bound a perfect score would have."""
+    e = _cascade(spark, root).where("resolved_by = 'exact'").select("target_id", F.col("card_uid").alias("truth"))
+    t = table(spark, root, "targets").select("target_id", "game", F.lower("set_code").alias("set"), F.lower("name").alias("name"))
+    c = table(spark, root, "cards").where("variant NOT IN ('parallel', 'manga_rare')").select("card_uid", F.col("game").alias("cg"), F.lower("set_code").alias("cs"), F.lower("name_en").alias("cname"))
+    pairs = t.join(e, "target_id").join(c, (t["game"] == c["cg"]) & (t["set"] == c["cs"]) & (F.substring("name", 1, 3) == F.substring("cname", 1, 3)))
+    best = pairs.groupBy("target_id", "truth").agg(F.min(F.struct(F.levenshtein("name", "cname").alias("d"), "card_uid")).alias("b"))
+    used = best.agg(F.count(F.lit(1)).alias("used"), F.count_if(F.col("b.card_uid") == F.col("truth")).alias("correct"))
+    should = e.agg(F.count(F.lit(1)).alias("should"))  # one row each
+    return used.join(F.broadcast(should)).select("used", "correct", F.round(F.col("correct") / F.col("used"), 6).alias("precision"), F.round(F.col("correct") / F.col("should"), 6).alias("recall"), F.round(F.pow(F.lit(0.05), 1 / F.col("used")), 6).alias("bound_if_perfect"))
