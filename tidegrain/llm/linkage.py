@@ -5,8 +5,8 @@ rules on agreement of number, set, total, name, rarity, language and variant pul
 squared hinge losses; exclusivity allows a record one entity in sum; transitivity ties the values of
 records that describe the same printing. The sum is convex and is minimised by the alternating
 direction method of multipliers: each rule has its own copy of the value, copies agree by averaging.
-Rules on one pair are solved in place, exclusivity needs the sum per record, transitivity the mean per
-hub (the printing the records share): two mergeable aggregates per round, joined back.
+Rules on one pair are solved in place, exclusivity needs the sum over a record's candidates, transitivity
+the mean per hub (the printing the records share), a mergeable aggregate that is joined back.
 
 Candidates come from equality joins on normal forms (set and index; index and total; set and name
 grams where the number is missing). Records equal in every descriptive field are solved once. The
@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 from tidegrain.session import cut
 
 #: Rounds of the solver, rounds between two lineage cuts, and its penalty.
-ROUNDS, CUT_EVERY, PENALTY = 8, 4, 1.0
+ROUNDS, CUT_EVERY, PENALTY = 8, 2, 1.0
 #: Truth value from which a record is matched; pairs that their own rules leave under ``HOPELESS`` are no candidates.
 ACCEPT, HOPELESS = 0.5, 0.3
 
@@ -247,8 +247,8 @@ def solve(pairs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
         lift = lambda p, u: F.when(z - u < p["level"], (2 * p["weight"] * p["level"] + rho * (z - u)) / (2 * p["weight"] + rho)).otherwise(z - u)
         press = lambda p, u: F.when(z - u > p["level"], (2 * p["weight"] * p["level"] + rho * (z - u)) / (2 * p["weight"] + rho)).otherwise(z - u)
         hubs = s.groupBy("hub", "card_uid").agg(F.avg("z").alias("h"))
-        spent = s.groupBy("rid").agg(F.sum(F.col("z") - F.col("ue")).alias("spent"), F.count(F.lit(1)).alias("n"))
-        s = s.join(hubs, ["hub", "card_uid"]).join(spent, "rid")
+        own = Window.partitionBy("rid")  # the candidates of one record
+        s = s.join(hubs, ["hub", "card_uid"]).withColumn("spent", F.sum(F.col("z") - F.col("ue")).over(own)).withColumn("n", F.count(F.lit(1)).over(own))
         v = z - F.col("uh")
         s = s.select(
             "rid", "card_uid", "hub", "up", "down", "z", "uu", "ud", "ue", "uh",
