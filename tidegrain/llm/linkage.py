@@ -223,8 +223,11 @@ def rules(pairs: DataFrame) -> DataFrame:
     up = [F.when(agree[k], F.struct(F.lit(1.0).alias("level"), F.lit(WEIGHTS[k][0]).alias("weight"))) for k in agree]
     down = [F.when(~agree[k], F.struct(F.lit(0.0).alias("level"), F.lit(WEIGHTS[k][1]).alias("weight"))) for k in agree]
     sim = name_similarity()
+    numbered = F.coalesce(agree["number"], F.lit(False))
+    # Without a number, alike in most letters is no support yet: names share titles and endings.
+    sim = F.when(numbered | sim.isNull(), sim).otherwise(F.least(F.greatest((sim - 0.7) / 0.25, F.lit(0.0)), F.lit(1.0)))
     for side, k in ((up, 0), (down, 1)):  # without a number the name carries the match
-        weight = F.when(F.coalesce(agree["number"], F.lit(False)), WEIGHTS["name"][k]).otherwise(WEIGHTS["name_alone"][k])
+        weight = F.when(numbered, WEIGHTS["name"][k]).otherwise(WEIGHTS["name_alone"][k])
         side.append(F.when(sim.isNotNull(), F.struct(sim.alias("level"), weight.alias("weight"))))
     down.append(F.struct(F.lit(0.0).alias("level"), F.lit(WEIGHTS["prior"][1]).alias("weight")))
     keep = lambda a: F.filter(F.array(*a), lambda s: s.isNotNull())
