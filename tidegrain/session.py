@@ -34,3 +34,12 @@ def cut(df: DataFrame) -> DataFrame:
         shared = sc.getConf().get("spark.checkpoint.dir")
         sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="tidegrain-checkpoint-"))
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over at least as many partitions as there are cores, for costly passes over few large splits.
+
+    Only inputs of fewer splits than cores are exchanged; others, as any large table, stay as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
