@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidegrain.session import spread
+
 #: Vocabulary file: one base64 token and its rank per line.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the pre-tokenizer pattern of byte-level vocabularies.
@@ -34,6 +36,6 @@ def with_sizes(documents: DataFrame, keep: list[str], text: str = "text", path:
             sizes = [len(enc.encode_ordinary(t)) if t else 0 for t in f["_text"]]
             yield f.drop(columns="_text").assign(tokens=sizes)
 
-    rows = documents.select(*keep, F.col(text).alias("_text"))
+    rows = spread(documents.select(*keep, F.col(text).alias("_text")))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "_text")
     return rows.mapInPandas(run, f"{schema}, tokens bigint")
