@@ -402,13 +402,16 @@ def candidates_quota(spark, root):
     return table(spark, root, "cards").select("game", "language", "card_uid", F.row_number().over(w).alias("place")).where("place <= 20")
 
 
-def _cascade(spark, root):
-    """Targets with an exact link by set and number, else the best name within the set."""
+def _cascade(spark, root, prefix=True):
+    """Targets with an exact link by set and number, else the best name within the set.
+
+    With ``prefix`` only names with the same first three letters are compared, as the SQL of ``resolve_cascade`` does.
+    """
     t = table(spark, root, "targets").select("target_id", "game", F.lower("set_code").alias("set"), X.normal_number(F.col("number")).alias("number"), F.lower("name").alias("name"))
     c = table(spark, root, "cards").where("variant NOT IN ('parallel', 'manga_rare')").select("card_uid", F.col("game").alias("cg"), F.lower("set_code").alias("cs"), X.normal_number(F.col("number")).alias("cn"), F.lower("name_en").alias("cname"))
     exact = t.join(c, (t["game"] == c["cg"]) & (t["set"] == c["cs"]) & (t["number"] == c["cn"])).groupBy("target_id").agg(F.min("card_uid").alias("card_uid")).withColumn("confidence", F.lit(1.0)).withColumn("resolved_by", F.lit("exact"))
     rest = t.join(exact.select("target_id"), "target_id", "left_anti").where("name IS NOT NULL")
-    fuzzy = rest.join(c.where("cname IS NOT NULL"), (rest["game"] == c["cg"]) & (rest["set"] == c["cs"]) & (F.substring("name", 1, 3) == F.substring("cname", 1, 3)))
+    fuzzy = rest.join(c.where("cname IS NOT NULL"), (rest["game"] == c["cg"]) & (rest["set"] == c["cs"]) & ((F.substring("name", 1, 3) == F.substring("cname", 1, 3)) if prefix else F.lit(True)))
     words = lambda x: F.array_distinct(F.split(x, " "))
     jaccard = F.size(F.array_intersect(words("name"), words("cname"))) / F.size(F.array_union(words("name"), words("cname")))
     edit = 1 - F.levenshtein("name", "cname") / F.greatest(F.length("name"), F.length("cname"))
@@ -432,10 +435,19 @@ _CASC = f"""t AS (SELECT target_id, game, lower(set_code) AS s, {_NN} AS n, lowe
 
 @query(f"WITH {_CASC} SELECT target_id, card_uid, confidence, resolved_by FROM casc")
 def resolve_cascade(spark, root):
-    """Exact links first, then fuzzy ones within the set, refused when weak or ambiguous."""
+    """Exact links first, then fuzzy ones within the set, refused when weak or ambiguous.
+
+    Like its SQL it compares only names with the same first three letters; ``resolve_whole`` compares all of the set.
+    """
     return _cascade(spark, root)
 
 
+@query()
+def resolve_whole(spark, root):
+    """The cascade over every name of the set: typos at the start find their card, all runner-ups count."""
+    return _cascade(spark, root, prefix=False)
+
+
 @query(f"WITH {_CASC} SELECT resolved_by, count(*) AS n, count(*) FILTER (WHERE resolved_by = 'exact' OR (resolved_by = 'fuzzy' AND confidence >= 0.9)) AS usable FROM casc GROUP BY 1")
 def resolve_usability(spark, root):
     """Links per kind and how many may be used."""
