@@ -64,3 +64,12 @@ def test_null_short_and_empty(spark):
     assert flags(spark, []) == {"impossible": [], "stuck": [], "spike": []}
     assert flags(spark, [5.0]) == {"impossible": [], "stuck": [], "spike": []}
     assert flags(spark, [None, 0.0, float("nan"), None])["impossible"][0] == 1
+
+
+def test_a_cut_series_keeps_its_own_scale(spark):
+    r = random.Random(3)
+    v = [round(100 * (1 + r.gauss(0, 0.005 if i < 100 else 0.08)), 2) for i in range(200)]
+    v[50], v[60], v[150] = 120.0, 108.0, 160.0
+    whole = flags(spark, v)
+    assert whole["spike"] and flags(spark, v, block=25) == whole
+    assert flags(spark, v, block=90) == whole

@@ -13,8 +13,8 @@ A position is a distinct event time of a series; redelivered and correcting rows
 of the first delivered original, whose reading stands for it, and are judged by their own reading.
 
 Work is partitioned by series. A series with more than ``BLOCK`` rows is cut by day into blocks; each
-block also gets the days around it that its windows reach into, so results do not depend on the cut.
-(The robust scale is then that of the block.)
+block also gets the days around it that its windows reach into. The robust scale of a cut series is the exact
+median over all its blocks, by counts of bins; so results do not depend on the cut.
 
 Defined cases: rows without a reading or event time are never flagged and left out; null series
 columns form a series of their own; zero, negative and oversized readings are impossible whatever the
@@ -30,6 +30,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidegrain.operators import stats
+from tidegrain.session import cut
+
 REACH = 5
 LIMIT = 5.0
 STUCK = 6
@@ -85,7 +88,11 @@ def flag_readings(rows: DataFrame, *, series: Sequence[str], as_of: str, observe
     fix = F.col(correction).isNotNull() if correction else F.lit(False)
     rows = rows.where(F.col(value).isNotNull() & F.col(as_of).isNotNull() & F.col(common).isNotNull())
     rows = rows.select(*series, F.col(row_id).alias("_id"), F.col(as_of).alias("_as_of"), F.col(observed).alias("_observed"), F.col(value).cast("double").alias("_v"), F.col(common).cast("double").alias("_c"), fix.alias("_fix"))
+    hot = None if hot is None or hot.isEmpty() else hot
     rows = with_blocks(rows, series, F.to_date("_as_of"), hot, block)
+    if hot is not None:  # at most rows / block of them
+        ids = hot.select(*[F.col(k).alias(f"h_{k}") for k in series], F.row_number().over(Window.orderBy(*series)).alias("_hot"))
+        rows = rows.join(F.broadcast(ids), [rows[k].eqNullSafe(ids[f"h_{k}"]) for k in series], "left").drop(*[f"h_{k}" for k in series])
     part = [*series, "_block"]
     order = Window.partitionBy(*part).orderBy("_as_of", "_fix", "_observed", "_id")
     rows = rows.withColumn("_first", ~F.coalesce(F.lag("_as_of").over(order) == F.col("_as_of"), F.lit(False)))
@@ -106,7 +113,14 @@ def flag_readings(rows: DataFrame, *, series: Sequence[str], as_of: str, observe
     middle = F.abs(F.col("_x") - F.coalesce((F.col("_before") + F.col("_after")) / 2, "_before", "_after"))
     whole = Window.partitionBy(*part)
     rows = rows.withColumn("_detail", detail).withColumn("_mid", F.when(F.col("_first"), middle))
-    rows = rows.withColumn("_scale", F.greatest(1.4826 * F.percentile_approx("_mid", 0.5, 1000).over(whole), F.lit(LEAST_SCALE)))
+    usual = F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY _mid)").over(whole)
+    if hot is not None:
+        mids = cut(rows.where("_core AND _hot IS NOT NULL AND _mid IS NOT NULL").select("_hot", "_mid"))
+        middle_rank = F.array(F.ceil(F.col("n") / 2))
+        of_all = stats.order_statistics(mids, ["_hot"], "_mid", middle_rank).select("_hot", F.col("value").alias("_usual"))
+        rows = rows.join(F.broadcast(of_all), "_hot", "left")
+        usual = F.when(F.col("_hot").isNull(), usual).otherwise(F.col("_usual"))
+    rows = rows.withColumn("_scale", F.greatest(1.4826 * usual, F.lit(LEAST_SCALE)))
     run = 1 + _leading_equal(F.col("_vb"), F.col("_v")) + _leading_equal(F.col("_va"), F.col("_v"))
     return rows.where("_core").select(
         *series, F.col("_id").alias(row_id), F.col("_as_of").alias(as_of), F.col("_v").alias("value"),
