@@ -1,7 +1,7 @@
 import random
 from collections import defaultdict
 
-from tidegrain.llm import mixing
+from tidegrain.llm import mixing, queries
 
 SIZES = "key bigint, source string, tokens bigint, h int, rank int"
 WEIGHTS = "source string, target_share double, max_repeats int, tokens int"
@@ -64,3 +64,12 @@ def test_nulls_and_empty_tables(spark):
         s, w = frames(spark, sizes, weights)
         assert mixing.mix(s, w).count() == 0
         assert all(r["actual_share"] == 0 for r in mixing.shares(mixing.mix(s, w), w).collect())
+
+
+def test_a_small_source_neither_ends_nor_empties_the_mix(spark, tmp_path):
+    documents = [(i, "a" if i % 3 else "b", "card price sold today " * 400) for i in range(600)] + [(999, "tiny", "ten words here")]
+    spark.createDataFrame(documents, "doc_id bigint, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([("a", 0.6, 1), ("b", 0.38, 2), ("tiny", 0.02, 5)], "source string, target_share double, max_repeats int").write.parquet(f"{tmp_path}/source_weights.parquet")
+    by = {r["source"]: r for r in queries.p9_shares(spark, str(tmp_path)).collect()}
+    assert abs(by["a"]["actual_share"] - 0.6 / 0.98) < 0.05 and abs(by["b"]["actual_share"] - 0.38 / 0.98) < 0.05
+    assert by["a"]["documents"] > 300 and by["tiny"]["repeats"] == 5 and by["tiny"]["short_by"] > 0.01

@@ -7,7 +7,8 @@ rank r takes block r; after its last document a source starts again, at most ``m
 all. A document belongs to the block in which it begins and is never split.
 
 The total is, unless given, the largest at which every source that has documents still reaches its
-share within its repeats; given a larger one, sources run out and their later slots stay empty.
+share within its repeats; given a larger one, sources run out and their later slots stay empty. The
+queries give ``corpus_total``, so that no scarce source decides how much of the others is used.
 
 No source is summed or ranked in one task: prefix sums and ranks are taken within buckets of bounded
 size and offset by one row per source and bucket. The table of weights is a setting, one row per
@@ -35,6 +36,12 @@ BUCKET = 50_000
 GOLDEN = (math.sqrt(5) - 1) / 2
 
 
+def corpus_total(sizes: DataFrame, weights: DataFrame) -> int:
+    """The size of all documents whose source is listed with a share and repeats."""
+    listed = weights.where("target_share > 0 AND max_repeats > 0").select("source")
+    return sizes.where("tokens > 0").join(listed, "source", "left_semi").agg(F.sum("tokens")).first()[0] or 0
+
+
 def plan(sizes: DataFrame, weights: DataFrame, total: int | None = None, block: int = BLOCK_TOKENS) -> dict:
     """Per source with documents and a weight: its size, cumulative share and repeats; and the number of slots."""
     listed = weights.limit(MOST_SOURCES + 1).collect()
@@ -48,7 +55,7 @@ def plan(sizes: DataFrame, weights: DataFrame, total: int | None = None, block:
     if not use:
         return {"sources": [], "slots": 0}
     reach = min(found[r["source"]]["size"] * r["max_repeats"] * share / r["target_share"] for r in use)
-    slots = int((reach if total is None else total) // block)
+    slots = int(reach // block) if total is None else math.ceil(total / block)
     acc, out = 0.0, []
     for r in sorted(use, key=lambda r: r["source"]):
         acc += r["target_share"] / share
@@ -104,12 +111,13 @@ def mix(sizes: DataFrame, weights: DataFrame, total: int | None = None, block: i
 
 
 def shares(mixed: DataFrame, weights: DataFrame) -> DataFrame:
-    """Per listed source its target, the share reached, its size in the mix and the most repeats used."""
+    """Per listed source its target, the share reached and what it falls short by, its size in the mix and the most repeats used."""
     got = mixed.groupBy("source").agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("documents"), F.max(F.col("repeat") + 1).alias("repeats"))
     all_tokens = got.agg(F.sum("tokens").alias("all"))  # one row
     out = weights.select("source", "target_share", "max_repeats").join(got, "source", "left").join(F.broadcast(all_tokens))
+    actual = F.coalesce(F.round(F.col("tokens") / F.col("all"), 6), F.lit(0.0))
     return out.select(
-        "source", "target_share", F.coalesce(F.round(F.col("tokens") / F.col("all"), 6), F.lit(0.0)).alias("actual_share"), F.coalesce("tokens", F.lit(0)).alias("tokens"),
+        "source", "target_share", actual.alias("actual_share"), F.greatest(F.round(F.col("target_share") - actual, 6), F.lit(0.0)).alias("short_by"), F.coalesce("tokens", F.lit(0)).alias("tokens"),
         F.coalesce("documents", F.lit(0)).alias("documents"), F.coalesce("repeats", F.lit(0)).alias("repeats"), "max_repeats",
     )
 

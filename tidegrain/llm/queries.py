@@ -50,7 +50,8 @@ def p8_containers(spark: SparkSession, root: str) -> DataFrame:
 
 def _mixed(spark: SparkSession, root: str) -> DataFrame:
     sizes = _sizes(spark, root, "source").select(F.col("doc_id").alias("key"), "source", "tokens")
-    return mixing.mix(sizes, table(spark, root, "source_weights"))
+    weights = table(spark, root, "source_weights")
+    return mixing.mix(sizes, weights, total=mixing.corpus_total(sizes, weights))
 
 
 def p9_mix(spark: SparkSession, root: str) -> DataFrame:
