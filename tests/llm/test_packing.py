@@ -50,3 +50,15 @@ def test_search_raises_the_sum_of_squares():
 
 def test_best_fit_prefers_the_fullest_bin():
     assert packing.best_fit([60, 50, 40, 50], 100) == [[0, 2], [1, 3]]
+
+
+def test_bins_of_many_items_exchange_two_for_one():
+    sizes = [40, 50, 30, 30, *[2] * 11]
+    bins = packing.improve([[0, 1], list(range(2, 15))], sizes, 100, sweeps=1)
+    assert [30, 30, 40] in [sorted(sizes[i] for i in b) for b in bins]
+
+
+def test_an_exchange_behind_many_that_do_not_help_is_found():
+    sizes = [60, 34, 10] + [35, 61] * 9
+    bins = packing.improve([[0], [1, 2], *[[i, i + 1] for i in range(3, 21, 2)]], sizes, 100, sweeps=1)
+    assert sum(sizes[i] for i in next(b for b in bins if 0 in b)) == 94

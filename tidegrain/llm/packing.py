@@ -15,9 +15,10 @@ result; only named columns are read.
 
 from __future__ import annotations
 
-import bisect
+import heapq
 import math
-from itertools import combinations
+from collections import Counter
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -52,52 +53,100 @@ def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
 
 
 def improve(bins: list[list[int]], sizes: list[int], capacity: int, sweeps: int = SWEEPS) -> list[list[int]]:
-    """Local search on the underfull bins; the sum of squared fills never falls."""
-    fill = [sum(sizes[i] for i in b) for b in bins]
-
-    def offers(under: list[int]) -> list[tuple[int, int, tuple[int, ...]]]:
-        out = [(sizes[i], b, (i,)) for b in under for i in bins[b]]
-        out += [(sizes[i] + sizes[j], b, (i, j)) for b in under if len(bins[b]) <= 12 for i, j in combinations(bins[b], 2)]
-        return sorted(out)
+    """Local search on the underfull bins; the sum of squared fills never falls.
 
+    Every bin gets the exchange that fills it most, found exactly: one heap of bins, emptiest first, per
+    size of an item and per sum of two, and bit masks of the sizes that exist.
+    """
+    fill = [sum(sizes[i] for i in b) for b in bins]
+    version = [0] * len(bins)
+    heaps = [[[] for _ in range(capacity + 1)] for _ in range(2)]  # (fill, bin, version) by weight: of one item, of two
+    live = [0, 0]  # bit w: the heap of weight w isn't empty
+
+    def held(b: int) -> tuple[int, int]:
+        """Masks of the sizes in a bin and of the sums of two."""
+        counts = Counter(sizes[i] for i in bins[b])
+        one = sum(1 << s for s in counts)
+        two = 0
+        for s, n in counts.items():
+            two |= (one if n > 1 else one ^ (1 << s)) << s
+        return one, two
+
+    def offer(b: int) -> None:
+        version[b] += 1
+        if not bins[b] or fill[b] == capacity:
+            return
+        for m, mask in enumerate(held(b)):
+            live[m] |= mask
+            for w in _bits(mask):
+                heapq.heappush(heaps[m][w], (fill[b], b, version[b]))
+
+    def emptiest(m: int, w: int, a: int) -> int | None:
+        """The emptiest bin but ``a`` that offers weight ``w``."""
+        heap, own = heaps[m][w], None
+        while heap and (heap[0][2] != version[heap[0][1]] or heap[0][1] == a):
+            top = heapq.heappop(heap)
+            own = top if top[1] == a and top[2] == version[a] else own
+        found = heap[0][1] if heap else None
+        if own:
+            heapq.heappush(heap, own)
+        if not heap:
+            live[m] &= ~(1 << w)
+        return found
+
+    def best(a: int) -> tuple[int, int, int, int] | None:
+        """(gain, bin, weight taken, items taken) of the exchange that fills ``a`` most."""
+        one, two = held(a)
+        for gain in range(capacity - fill[a], 0, -1):
+            for m, given in ((0, 1 | one | two), (1, 1 | one)):  # two for two is left out
+                for w in _bits((given << gain) & live[m]):
+                    b = emptiest(m, w, a)
+                    if b is not None and fill[b] < fill[a] + gain:
+                        return gain, b, w, m + 1
+        return None
+
+    def pick(b: int, weight: int, most: int) -> list[int]:
+        """At most ``most`` items of a bin that weigh ``weight`` together."""
+        if not weight:
+            return []
+        at: dict[int, int] = {}
+        for i in bins[b]:
+            if sizes[i] == weight:
+                return [i]
+        for i in bins[b] if most > 1 else []:
+            if weight - sizes[i] in at:
+                return [at[weight - sizes[i]], i]
+            at[sizes[i]] = i
+        raise ValueError("not in the bin")
+
+    for b in range(len(bins)):
+        offer(b)
     for _ in range(sweeps):
-        under = [b for b in range(len(bins)) if bins[b] and fill[b] < capacity]
-        given = offers(under)
-        weights = [o[0] for o in given]
         done = 0
-        for a in sorted(under, key=lambda b: -fill[b]):
-            gap = capacity - fill[a]
-            if not gap or not bins[a]:
-                continue
-            best = None
-            back = [(0, ())] + [(sizes[i], (i,)) for i in bins[a]] + [(sizes[i] + sizes[j], (i, j)) for i, j in combinations(bins[a], 2) if len(bins[a]) <= 12]
-            for lost, out in back:
-                k = bisect.bisect_right(weights, lost + gap) - 1
-                tries = 0
-                while k >= 0 and weights[k] > lost and tries < 8:
-                    gain, b, items = weights[k] - lost, given[k][1], given[k][2]
-                    if best and gain <= best[0]:
-                        break
-                    # two for two is left out; the items must still be where they were offered
-                    if b != a and len(items) + len(out) <= 3 and fill[a] + gain > fill[b] and all(i in bins[b] for i in items):
-                        best = (gain, b, items, out)
-                        break
-                    k -= 1
-                    tries += 1
-                if best and best[0] == gap:
-                    break
-            if best:
-                gain, b, items, out = best
-                bins[a] = [i for i in bins[a] if i not in out] + list(items)
-                bins[b] = [i for i in bins[b] if i not in items] + list(out)
+        for a in sorted((b for b in range(len(bins)) if bins[b] and fill[b] < capacity), key=lambda b: -fill[b]):
+            found = best(a) if bins[a] and fill[a] < capacity else None
+            if found:
+                gain, b, weight, most = found
+                items, out = pick(b, weight, most), pick(a, weight - gain, 3 - most)
+                bins[a] = [i for i in bins[a] if i not in out] + items
+                bins[b] = [i for i in bins[b] if i not in items] + out
                 fill[a] += gain
                 fill[b] -= gain
+                offer(a)
+                offer(b)
                 done += 1
         if not done:
             break
     return [b for b in bins if b]
 
 
+def _bits(mask: int) -> Iterator[int]:
+    while mask:
+        low = mask & -mask
+        yield low.bit_length() - 1
+        mask ^= low
+
+
 def _pack_shard(capacity: int, sweeps: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["size", "key", "piece"], kind="stable").reset_index(drop=True)
