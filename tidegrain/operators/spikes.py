@@ -1,13 +1,15 @@
 """Implausible readings in series of measurements: impossible values, stuck runs, spikes.
 
-Each series is decomposed with an undecimated lifting wavelet on the log scale: at every position the
-approximations on both sides are the medians of up to ``REACH`` positions before and after, the
-detail coefficient is the part of the reading that neither side explains: the smaller of the two
-differences if both have the same sign, else 0. Runs of up to three odd readings leave the medians in
-place, so the detail holds the scales of one to three readings at once; a lasting step has a side that
-explains it and a detail near 0. A detail over ``LIMIT`` times the robust scale (1.4826 times the
-median absolute detail of the series) is a spike. Six or more positions without any detail, that is
-with equal readings, are stuck; bounds decide on impossible values.
+Each series is filtered on the log scale, Hampel-like: at every position the levels on both sides are
+the medians of up to ``REACH`` positions before and after, the detail is the part of the reading that
+neither side explains: the smaller of the two differences if both have the same sign, else 0. Runs of
+up to three odd readings leave the medians in place, so the detail holds one to three readings at once;
+a lasting step has a side that explains it and a detail near 0. A detail over ``LIMIT`` times the robust
+scale (1.4826 times the median distance of the series' readings to the mean of both medians) is a spike.
+Six or more equal readings in a row are stuck; bounds decide on impossible values.
+
+This stands in place of an undecimated lifting wavelet, of which it has no split, update or coarser level.
+The README says why.
 
 A position is a distinct event time of a series; redelivered and correcting rows share the position
 of the first delivered original, whose reading stands for it, and are judged by their own reading.
