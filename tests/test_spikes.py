@@ -5,15 +5,14 @@ from helpers import t
 
 from tidegrain.operators import spikes
 
-SCHEMA = "row_id bigint, s string, as_of timestamp_ntz, observed_at timestamp_ntz, v double, fix bigint, _block int, spike int"
+SCHEMA = "row_id bigint, s string, as_of timestamp_ntz, observed_at timestamp_ntz, v double, fix bigint, _block int, spike int, _u string"
 
 
 def flags(spark, values, block=spikes.BLOCK, extra=()):
     base = t("2025-01-01")
-    data = [(i, "a", base + dt.timedelta(days=i), base + dt.timedelta(days=i), v, None, 0, 0) for i, v in enumerate(values)] + [(*e, 0, 0) for e in extra]
+    data = [(i, "a", base + dt.timedelta(days=i), base + dt.timedelta(days=i), v, None, 0, 0, None) for i, v in enumerate(values)] + [(*e, 0, 0, None) for e in extra]
     df = spark.createDataFrame(data, SCHEMA)
-    hot = spikes.hot_series(df, ["s"], block)
-    got = spikes.flag_readings(df, series=["s"], as_of="as_of", observed="observed_at", row_id="row_id", value="v", common="v", correction="fix", hot=hot, block=block).collect()
+    got = spikes.flag_readings(df, series=["s"], as_of="as_of", observed="observed_at", row_id="row_id", value="v", common="v", correction="fix", block=block).collect()
     return {k: sorted(r["row_id"] for r in got if r[k]) for k in ("impossible", "stuck", "spike")}
 
 
@@ -73,3 +72,49 @@ def test_a_cut_series_keeps_its_own_scale(spark):
     whole = flags(spark, v)
     assert whole["spike"] and flags(spark, v, block=25) == whole
     assert flags(spark, v, block=90) == whole
+
+
+def test_four_readings_in_a_row_are_a_level(spark):
+    v = noisy(60)
+    v[20:24] = [300.0, 301.0, 302.0, 303.0]
+    assert flags(spark, v)["spike"] == []
+
+
+def test_ends_of_a_series(spark):
+    v = noisy(40)
+    v[0], v[38], v[39] = 300.0, 20.0, 21.0
+    assert flags(spark, v)["spike"] == [0, 38, 39]
+    v = noisy(40)
+    v[1:4] = [300.0, 310.0, 305.0]  # the first reading is sound though its next three are not
+    assert flags(spark, v)["spike"] == [1, 2, 3]
+
+
+def test_details_add_up_to_the_reading(spark):
+    """reading = approximation + details: what the levels take off is what flag_readings judges."""
+    from pyspark.sql import functions as F
+
+    v = noisy(50)
+    v[25] = 500.0
+    rows = spark.createDataFrame([(i, float(x)) for i, x in enumerate(v)], "i bigint, v double")
+    day = F.expr("timestamp_ntz '2025-01-01 00:00:00' + make_dt_interval(cast(i as int))")
+    rows = rows.select(F.lit("s").alias("_s"), F.struct("i").alias("_keep"), F.col("i").alias("_id"), day.alias("_as_of"), day.alias("_observed"), F.col("v").alias("_v"), F.lit(False).alias("_fix"), F.lit(False).alias("_bad"), F.log("v").alias("_x"))
+    got = {r["_id"]: r["_detail"] for r in spikes.transform(spikes.positions(rows)).select("_id", "_detail").collect()}
+
+    import math
+
+    y = [math.log(x) for x in v]
+    head, tail = sorted(y[:8]), sorted(y[-8:])
+    head, tail = (head[3] + head[4]) / 2, (tail[3] + tail[4]) / 2
+    for j in range(spikes.LEVELS):
+        near = lambda i, k: head if i + k < 0 else tail if i + k >= len(y) else y[i + k]  # noqa: E731, B023
+        y = [max(min(near(i, -(2**j)), near(i, 2**j)), min(max(near(i, -(2**j)), near(i, 2**j)), y[i])) for i in range(len(y))]
+    assert all(abs(got[i] - (math.log(v[i]) - y[i])) < 1e-9 for i in range(len(v)))
+
+
+def test_any_block_gives_the_same_rows_on_whole_tables(spark, sf):
+    from tidegrain.plans import problems
+
+    r = problems.readings(spark, sf)
+    named = dict(series=("record_table", *problems.SERIES), as_of="as_of", observed="observed_at", row_id="record_id", value="value", common="common", correction="supersedes", keep=["record_table"])
+    bad = lambda b: {(x[0], x[1]) for x in spikes.flag_readings(r, block=b, **named).where("impossible OR stuck OR spike").select("record_table", "record_id").collect()}
+    assert bad(3) == bad(40) == bad(spikes.BLOCK) != set()

@@ -1,28 +1,32 @@
 """Implausible readings in series of measurements: impossible values, stuck runs, spikes.
 
-Each series is filtered on the log scale, Hampel-like: at every position the levels on both sides are
-the medians of up to ``REACH`` positions before and after, the detail is the part of the reading that
-neither side explains: the smaller of the two differences if both have the same sign, else 0. Runs of
-up to three odd readings leave the medians in place, so the detail holds one to three readings at once;
-a lasting step has a side that explains it and a detail near 0. A detail over ``LIMIT`` times the robust
-scale (1.4826 times the median distance of the series' readings to the mean of both medians) is a spike.
-Six or more equal readings in a row are stuck; bounds decide on impossible values.
-
-This stands in place of an undecimated lifting wavelet, of which it has no split, update or coarser level.
-The README says why.
-
-A position is a distinct event time of a series; redelivered and correcting rows share the position
-of the first delivered original, whose reading stands for it, and are judged by their own reading.
-
-Work is partitioned by series. A series with more than ``BLOCK`` rows is cut by day into blocks; each
-block also gets the days around it that its windows reach into. The robust scale of a cut series is the exact
-median over all its blocks, by counts of bins; so results do not depend on the cut.
-
-Defined cases: rows without a reading or event time are never flagged and left out; null series
-columns form a series of their own; zero, negative and oversized readings are impossible whatever the
-series; a side without usable readings explains nothing and the other one decides; a series too short
-for any neighbour has no spikes; ties in event time share a position; empty input gives an empty
-result; only named columns are read.
+Each series goes through an undecimated lifting wavelet on the log scale. Level j works with the
+neighbours 2**j positions before and after. Its predict step takes the reading's place between them: a
+reading outside the hull of its two neighbours is predicted by the nearer end, one inside by itself, so a
+lasting step, which one side explains, leaves no detail where a linear prediction would leave two. Its
+update step takes the detail off the reading, which gives the approximation the next level works on;
+reading = approximation + details of all levels. ``LEVELS`` levels hold one to three odd readings in a row.
+Beyond its ends a series continues at the median of its first or last ``EDGE`` readings.
+
+The detail of a reading is thresholded at ``LIMIT`` robust scales. A level's scale is 1.4826 times the
+median distance of the approximation to the middle of its two neighbours; the largest of the levels counts.
+Four or more neighbouring readings with a detail of the same size are a level of their own, no spike.
+Runs of zero first differences, the details of the shortest (Haar) wavelet of the recorded values, are stuck
+from ``STUCK`` equal readings on. Bounds decide on impossible readings, which take no part in the transform.
+
+A position is a distinct event time of a series. Redelivered and correcting rows share the position of the
+first delivered usable original, whose reading stands for it, and are judged by their own reading
+against the same neighbours.
+
+No series is held or sorted in one task: positions are counted per (series, day) and offset by prefix
+sums, the transform runs in blocks of ``block`` positions that also see the ``HALO`` positions around them,
+and scales are medians of bin counts, which merge. The block size changes no row.
+
+Defined cases: rows without a reading, a reading in common units or an event time are left out; null
+series columns form a series of their own; zero, negative and oversized readings are impossible whatever
+the series and are not judged further; a series of one usable reading has no spikes; ties in event time
+share a position; repeated rows are judged alike; empty input gives an empty result; only named columns
+are read, so extra or clashing ones do not matter.
 """
 
 from __future__ import annotations
@@ -32,100 +36,135 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidegrain.operators import stats
-from tidegrain.session import cut
-
-REACH = 5
+LEVELS = 3
+EDGE = 8
 LIMIT = 5.0
 STUCK = 6
-#: Smallest scale of a series, in natural logarithms.
-LEAST_SCALE = 0.005
-#: Rows of a series up to which one task takes it whole.
-BLOCK = 200_000
-
-
-def hot_series(rows: DataFrame, series: Sequence[str], block: int = BLOCK) -> DataFrame:
-    """The series with more than ``block`` rows; at most rows / block of them."""
-    return rows.groupBy(*series).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > block).drop("_n")
-
-
-def with_blocks(rows: DataFrame, key: Sequence[str], day: Column, hot: DataFrame | None, block: int = BLOCK) -> DataFrame:
-    """``rows`` with ``_block`` and ``_core``; days near a cut appear in both blocks, core in one of them."""
-    if hot is None or hot.isEmpty():
-        return rows.withColumn("_block", F.lit(0)).withColumn("_core", F.lit(True))
-    rows = rows.withColumn("_day", day)
-    marked = rows.join(hot, [rows[k].eqNullSafe(hot[k]) for k in key], "left_semi").groupBy(*key, "_day").agg(F.count(F.lit(1)).alias("_n"))
-    by = Window.partitionBy(*key).orderBy("_day")
-    before = F.sum("_n").over(by.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")
-    marked = marked.withColumn("_own", F.floor(before / block).cast("int"))
-    reach = by.rowsBetween(-2 * STUCK, 2 * STUCK)  # every day has a position at least
-    marked = marked.withColumn("_in", F.sequence(F.min("_own").over(reach), F.max("_own").over(reach)))
-    marked = marked.select(*[F.col(k).alias(f"m_{k}") for k in key], F.col("_day").alias("m_day"), "_own", "_in")
-    cond = rows["_day"].eqNullSafe(marked["m_day"])
-    for k in key:
-        cond = cond & rows[k].eqNullSafe(marked[f"m_{k}"])
-    got = rows.join(marked, cond, "left").withColumn("_block", F.explode(F.coalesce("_in", F.array(F.lit(0)))))
-    return got.withColumn("_core", F.col("_block") == F.coalesce("_own", F.lit(0))).drop("_day", "_own", "_in", "m_day", *[f"m_{k}" for k in key])
-
-
-def _median(values: Column) -> Column:
-    v = F.array_sort(values)
-    n = F.size(v)
-    mid = F.floor(n / 2).cast("int")
-    return F.when(n == 0, None).when(n % 2 == 1, F.get(v, mid)).otherwise((F.get(v, mid - 1) + F.get(v, mid)) / 2)
+#: Most readings in a row that are one spike.
+LONGEST = 3
+#: Smallest scale of a series, in natural logarithms, and bins per e-fold in which scales are counted.
+LEAST_SCALE, SCALE_BINS = 0.005, 50
+#: Positions that one task transforms at a time; no result depends on it.
+BLOCK = 50_000
+#: Positions a core position's result can depend on: all levels' reach, the ends' medians, runs.
+HALO = 2**LEVELS - 1 + EDGE + STUCK
 
 
-def _leading_equal(values: Column, to: Column) -> Column:
-    """How many leading elements of ``values`` equal ``to``."""
-    other = F.filter(F.transform(values, lambda v, i: F.when(v != to, i)), lambda i: i.isNotNull())
-    return F.coalesce(F.get(other, F.lit(0)), F.size(values))
+def series_key(series: Sequence[str]) -> Column:
+    """One string per series, different for different values: each part with its length, null apart from empty."""
+    part = lambda c: F.coalesce(F.concat(F.length(F.col(c).cast("string")).cast("string"), F.lit(":"), F.col(c).cast("string")), F.lit("-"))
+    return F.concat(*[part(c) for c in series])
 
 
-def flag_readings(rows: DataFrame, *, series: Sequence[str], as_of: str, observed: str, row_id: str, value: str, common: str, correction: str | None = None, hot: DataFrame | None = None, upper: float = 500_000.0, block: int = BLOCK) -> DataFrame:
-    """``series, row_id, as_of, value, impossible, stuck, spike, detail`` for every row with a reading.
+def positions(rows: DataFrame) -> DataFrame:
+    """``rows (_s, _as_of, _bad, _fix, _observed, _id)`` with their place in the series.
 
-    ``value`` is compared for equality (stuck runs), ``common`` is the same reading in common units
-    (level and bounds); ``correction`` is null for originals.
+    Adds ``_pos`` (distinct times so far), ``_u`` (those with a usable reading), ``_n`` (usable ones of the
+    series) and ``_member`` (0 for the row that stands for a position, else 1).
+    """
+    part = ["_s", "_day"]
+    rows = rows.withColumn("_day", F.to_date("_as_of"))
+    order = Window.partitionBy(*part).orderBy("_as_of", "_bad", "_fix", "_observed", "_id")
+    rows = rows.withColumn("_at", ~F.coalesce(F.lag("_as_of").over(order) == F.col("_as_of"), F.lit(False)))
+    stands = F.col("_at") & ~F.col("_bad")
+    count = lambda c: F.sum(c.cast("bigint"))
+    days = rows.groupBy(*part).agg(count(F.col("_at")).alias("_p"), count(stands).alias("_q"))
+    so_far = order.rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("_pos", count(F.col("_at")).over(so_far)).withColumn("_u", count(stands).over(so_far)).withColumn("_member", F.when(stands, 0).otherwise(1))
+    before = Window.partitionBy("_s").orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)  # one row per series and day
+    days = days.select(*part, F.coalesce(F.sum("_p").over(before), F.lit(0)).alias("_p"), F.coalesce(F.sum("_q").over(before), F.lit(0)).alias("_q"), F.sum("_q").over(Window.partitionBy("_s")).alias("_n"))
+    placed = rows.join(days, part).withColumn("_pos", F.col("_pos") + F.col("_p")).withColumn("_u", F.col("_u") + F.col("_q"))
+    return placed.drop("_p", "_q", "_day", "_at")
+
+
+def _near(column: str, steps: int) -> Column:
+    """``column`` of the position ``steps`` after (before, if negative) the row's; members of positions hold null."""
+    f = "lead" if steps > 0 else "lag"
+    return F.expr(f"{f}({column}, {abs(steps)}) IGNORE NULLS OVER (PARTITION BY _s, _block ORDER BY _u, _member)")
+
+
+def _median(values: list[Column]) -> Column:
+    v = F.array_sort(F.array_compact(F.array(*values)))
+    n = F.size(v)
+    return (F.get(v, F.floor((n - 1) / 2).cast("int")) + F.get(v, F.floor(n / 2).cast("int"))) / 2
+
+
+def transform(rows: DataFrame, block: int = BLOCK) -> DataFrame:
+    """The wavelet over usable rows: ``_detail, _r0.._r2`` (distances that make the scales), ``_run`` and ``_long``."""
+    place = lambda u: F.floor(u / block)
+    lowest, highest = F.greatest(F.col("_u") - 1 - HALO, F.lit(0)), F.least(F.col("_u") - 1 + HALO, F.col("_n") - 1)
+    rows = rows.withColumn("_block", F.explode(F.sequence(place(lowest), place(highest)))).withColumn("_core", F.col("_block") == place(F.col("_u") - 1))
+    rows = rows.withColumn("_y0", F.when(F.col("_member") == 0, F.col("_x")))
+    head = F.when((F.col("_u") == 1) & (F.col("_member") == 0), _median([F.col("_y0"), *[_near("_y0", k) for k in range(1, EDGE)]]))
+    tail = F.when((F.col("_u") == F.col("_n")) & (F.col("_member") == 0), _median([F.col("_y0"), *[_near("_y0", -k) for k in range(1, EDGE)]]))
+    by = Window.partitionBy("_s", "_block").orderBy("_u", "_member")
+    changed = F.when((F.col("_member") == 0) & ~((_near("_v0", -1) == F.col("_v")) & (_near("_p0", -1) == F.col("_pos") - 1)).eqNullSafe(F.lit(True)), F.col("_u"))
+    rows = rows.withColumn("_v0", F.when(F.col("_member") == 0, F.col("_v"))).withColumn("_p0", F.when(F.col("_member") == 0, F.col("_pos")))
+    rows = rows.select("*", head.alias("_head"), tail.alias("_tail"), changed.alias("_turn"))
+    whole = Window.partitionBy("_s", "_block")
+    rows = rows.withColumn("_head", F.max("_head").over(whole)).withColumn("_tail", F.max("_tail").over(whole))
+    for j in range(LEVELS):
+        step, y = 2**j, F.col(f"_y{j}")
+        rows = rows.select("*", F.coalesce(_near(f"_y{j}", -step), "_head", y).alias("_l"), F.coalesce(_near(f"_y{j}", step), "_tail", y).alias("_r"))
+        low, high = F.least("_l", "_r"), F.greatest("_l", "_r")
+        rows = rows.select(
+            *[c for c in rows.columns if c not in ("_l", "_r")], F.when(F.col("_member") == 0, low).alias(f"_lo{j}"), F.when(F.col("_member") == 0, high).alias(f"_hi{j}"),
+            F.when(y.isNotNull(), F.abs(y - (F.col("_l") + F.col("_r")) / 2)).alias(f"_r{j}"), F.when(y.isNotNull(), F.greatest(low, F.least(high, y))).alias(f"_y{j + 1}"),
+        )
+    rows = rows.withColumn("_d", F.col("_y0") - F.col(f"_y{LEVELS}"))
+    alike = {k: F.coalesce(_near("_d", k) / F.col("_d") >= 0.5, F.lit(False)) for k in range(-LONGEST, LONGEST + 1) if k}
+    windows = [[k for k in range(a, a + LONGEST + 1) if k] for a in range(-LONGEST, 1)]
+    longer = F.lit(False)
+    for w in windows:
+        every = F.lit(True)
+        for k in w:
+            every = every & alike[k]
+        longer = longer | every
+    run_start = F.max("_turn").over(by.rowsBetween(Window.unboundedPreceding, 0))
+    run_end = F.min("_turn").over(Window.partitionBy("_s", "_block").orderBy("_u").rangeBetween(1, STUCK - 1))
+    rows = rows.select("*", F.when(F.col("_d") != 0, longer).alias("_long"), (F.coalesce(run_end, F.least(F.col("_n") + 1, F.col("_u") + STUCK)) - F.coalesce(run_start, F.col("_u") - STUCK)).alias("_run"))
+    # Members are judged against the neighbours of their position, whose row comes first.
+    at = Window.partitionBy("_s", "_block", "_u").orderBy("_member").rowsBetween(Window.unboundedPreceding, 0)
+    own = lambda c: F.first(c).over(at).alias(c)
+    rows = rows.where("_core").select("_s", "_block", "_u", "_member", "_x", "_v", *[f"_r{j}" for j in range(LEVELS)], *[own(f"_{e}{j}") for j in range(LEVELS) for e in ("lo", "hi")], own("_run"), own("_v0"), own("_long"), "_keep", "_id", "_n")
+    left = F.col("_x")
+    for j in range(LEVELS):
+        left = F.greatest(F.col(f"_lo{j}"), F.least(F.col(f"_hi{j}"), left))
+    return rows.select("_s", "_block", "_n", "_keep", "_id", "_v", *[f"_r{j}" for j in range(LEVELS)], (F.col("_x") - left).alias("_detail"), ((F.col("_run") >= STUCK) & (F.col("_v") == F.col("_v0"))).alias("_stuck"), F.coalesce("_long", F.lit(False)).alias("_long"))
+
+
+def scales(transformed: DataFrame, block: int = BLOCK) -> DataFrame:
+    """``(_s, _block, _scale)``: the largest level's robust scale of a series, once per block it has.
+
+    Medians of bin numbers: the buffer holds a count per bin in use, merges before the shuffle, and does
+    not depend on how a series was cut.
+    """
+    bin_of = lambda c: F.round(F.log(F.greatest(F.col(c), F.lit(LEAST_SCALE / 2))) * SCALE_BINS)
+    middle = [F.percentile(bin_of(f"_r{j}"), F.lit(0.5)) for j in range(LEVELS)]
+    got = transformed.groupBy("_s").agg(F.max("_n").alias("_n"), F.greatest(*middle).alias("_bin"))
+    scale = F.greatest(1.4826 * F.exp(F.col("_bin") / SCALE_BINS), F.lit(LEAST_SCALE))
+    return got.select("_s", scale.alias("_scale"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("_n") - 1) / block))).alias("_block"))
+
+
+def flag_readings(rows: DataFrame, *, series: Sequence[str], as_of: str, observed: str, row_id: str, value: str, common: str, correction: str | None = None, keep: Sequence[str] = (), upper: float = 500_000.0, block: int = BLOCK) -> DataFrame:
+    """``keep, row_id, value, impossible, stuck, spike, detail`` for every row with a reading.
+
+    ``value`` is compared for equality (stuck runs), ``common`` is the same reading in common units (level
+    and bounds); ``correction`` is null for originals; ``detail`` is in robust scales, null for impossible ones.
     """
     fix = F.col(correction).isNotNull() if correction else F.lit(False)
+    c = F.col(common).cast("double")
     rows = rows.where(F.col(value).isNotNull() & F.col(as_of).isNotNull() & F.col(common).isNotNull())
-    rows = rows.select(*series, F.col(row_id).alias("_id"), F.col(as_of).alias("_as_of"), F.col(observed).alias("_observed"), F.col(value).cast("double").alias("_v"), F.col(common).cast("double").alias("_c"), fix.alias("_fix"))
-    hot = None if hot is None or hot.isEmpty() else hot
-    rows = with_blocks(rows, series, F.to_date("_as_of"), hot, block)
-    if hot is not None:  # at most rows / block of them
-        ids = hot.select(*[F.col(k).alias(f"h_{k}") for k in series], F.row_number().over(Window.orderBy(*series)).alias("_hot"))
-        rows = rows.join(F.broadcast(ids), [rows[k].eqNullSafe(ids[f"h_{k}"]) for k in series], "left").drop(*[f"h_{k}" for k in series])
-    part = [*series, "_block"]
-    order = Window.partitionBy(*part).orderBy("_as_of", "_fix", "_observed", "_id")
-    rows = rows.withColumn("_first", ~F.coalesce(F.lag("_as_of").over(order) == F.col("_as_of"), F.lit(False)))
-    rows = rows.withColumn("_pos", F.sum(F.col("_first").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    impossible = (F.col("_c") <= 0) | (F.col("_c") >= upper)
-    rows = rows.withColumn("_x", F.when(~impossible, F.log("_c")))
-    # Only a position's own reading is seen by its neighbours; nulls leave the collected lists.
-    rows = rows.withColumn("_px", F.when(F.col("_first"), F.col("_x"))).withColumn("_pv", F.when(F.col("_first"), F.col("_v")))
-    near = Window.partitionBy(*part).orderBy("_pos")
-    back, ahead = near.rangeBetween(-REACH, -1), near.rangeBetween(1, REACH)
     rows = rows.select(
-        "*",
-        _median(F.collect_list("_px").over(back)).alias("_before"), _median(F.collect_list("_px").over(ahead)).alias("_after"),
-        F.reverse(F.collect_list("_pv").over(back)).alias("_vb"), F.collect_list("_pv").over(ahead).alias("_va"),
-    )
-    rb, ra = F.col("_x") - F.col("_before"), F.col("_x") - F.col("_after")
-    detail = F.when(rb.isNull(), ra).when(ra.isNull(), rb).when(F.signum(rb) == F.signum(ra), F.when(F.abs(rb) < F.abs(ra), rb).otherwise(ra)).when(rb.isNotNull(), F.lit(0.0))
-    middle = F.abs(F.col("_x") - F.coalesce((F.col("_before") + F.col("_after")) / 2, "_before", "_after"))
-    whole = Window.partitionBy(*part)
-    rows = rows.withColumn("_detail", detail).withColumn("_mid", F.when(F.col("_first"), middle))
-    usual = F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY _mid)").over(whole)
-    if hot is not None:
-        mids = cut(rows.where("_core AND _hot IS NOT NULL AND _mid IS NOT NULL").select("_hot", "_mid"))
-        middle_rank = F.array(F.ceil(F.col("n") / 2))
-        of_all = stats.order_statistics(mids, ["_hot"], "_mid", middle_rank).select("_hot", F.col("value").alias("_usual"))
-        rows = rows.join(F.broadcast(of_all), "_hot", "left")
-        usual = F.when(F.col("_hot").isNull(), usual).otherwise(F.col("_usual"))
-    rows = rows.withColumn("_scale", F.greatest(1.4826 * usual, F.lit(LEAST_SCALE)))
-    run = 1 + _leading_equal(F.col("_vb"), F.col("_v")) + _leading_equal(F.col("_va"), F.col("_v"))
-    return rows.where("_core").select(
-        *series, F.col("_id").alias(row_id), F.col("_as_of").alias(as_of), F.col("_v").alias("value"),
-        impossible.alias("impossible"), (run >= STUCK).alias("stuck"),
-        F.coalesce(F.abs("_detail") > LIMIT * F.col("_scale"), F.lit(False)).alias("spike"), (F.col("_detail") / F.col("_scale")).alias("detail"),
+        series_key(series).alias("_s"), F.struct(F.lit(0).alias("_"), *keep).alias("_keep"), F.col(row_id).alias("_id"), F.col(as_of).alias("_as_of"), F.col(observed).alias("_observed"),
+        F.col(value).cast("double").alias("_v"), fix.alias("_fix"), ((c <= 0) | (c >= upper)).alias("_bad"), F.when((c > 0) & (c < upper), F.log(c)).alias("_x"),
     )
+    # ln gives null for what is no number; such readings are impossible too.
+    rows = rows.withColumn("_bad", F.col("_bad") | F.col("_x").isNull())
+    yes, no = F.lit(True), F.lit(False)
+    impossible = rows.where("_bad").select("_keep", "_id", "_v", yes.alias("impossible"), no.alias("stuck"), no.alias("spike"), F.lit(None).cast("double").alias("detail"))
+    done = transform(positions(rows).where("NOT _bad"), block)
+    judged = done.join(scales(done, block), ["_s", "_block"])
+    spike = (F.abs("_detail") > LIMIT * F.col("_scale")) & ~F.col("_long")
+    judged = judged.select("_keep", "_id", "_v", no.alias("impossible"), F.col("_stuck").alias("stuck"), spike.alias("spike"), (F.col("_detail") / F.col("_scale")).alias("detail"))
+    return impossible.unionByName(judged).select(*[F.col(f"_keep.{k}").alias(k) for k in keep], F.col("_id").alias(row_id), F.col("_v").alias("value"), "impossible", "stuck", "spike", "detail")

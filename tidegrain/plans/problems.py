@@ -78,12 +78,9 @@ def readings(spark: SparkSession, root: str) -> DataFrame:
 
 
 def flagged_readings(spark: SparkSession, root: str) -> DataFrame:
-    series = ("record_table", *SERIES)
-    none = F.lit(None).cast("string")
-    s = table(spark, root, "price_snapshot").select(F.lit("price_snapshot").alias("record_table"), *SERIES)
-    q = table(spark, root, "price_quote").select(F.lit("price_quote").alias("record_table"), "card_uid", "source", *[none.alias(c) for c in SERIES[2:]])
-    hot = spikes.hot_series(s.unionByName(q), series)
-    return spikes.flag_readings(readings(spark, root), series=series, as_of="as_of", observed="observed_at", row_id="record_id", value="value", common="common", correction="supersedes", hot=hot)
+    return spikes.flag_readings(
+        readings(spark, root), series=("record_table", *SERIES), as_of="as_of", observed="observed_at", row_id="record_id", value="value", common="common", correction="supersedes", keep=["record_table"]
+    )
 
 
 def p4_found(spark: SparkSession, root: str) -> DataFrame:
