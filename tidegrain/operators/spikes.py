@@ -36,6 +36,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidegrain.session import written
+
 LEVELS = 3
 EDGE = 8
 LIMIT = 5.0
@@ -83,10 +85,10 @@ def _near(column: str, steps: int) -> Column:
     return F.expr(f"{f}({column}, {abs(steps)}) IGNORE NULLS OVER (PARTITION BY _s, _block ORDER BY _u, _member)")
 
 
-def _median(values: list[Column]) -> Column:
-    v = F.array_sort(F.array_compact(F.array(*values)))
-    n = F.size(v)
-    return (F.get(v, F.floor((n - 1) / 2).cast("int")) + F.get(v, F.floor(n / 2).cast("int"))) / 2
+def _middle(array: str) -> Column:
+    """The median of a sorted array."""
+    n = F.size(array)
+    return (F.get(array, F.floor((n - 1) / 2).cast("int")) + F.get(array, F.floor(n / 2).cast("int"))) / 2
 
 
 def transform(rows: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -94,15 +96,17 @@ def transform(rows: DataFrame, block: int = BLOCK) -> DataFrame:
     place = lambda u: F.floor(u / block)
     lowest, highest = F.greatest(F.col("_u") - 1 - HALO, F.lit(0)), F.least(F.col("_u") - 1 + HALO, F.col("_n") - 1)
     rows = rows.withColumn("_block", F.explode(F.sequence(place(lowest), place(highest)))).withColumn("_core", F.col("_block") == place(F.col("_u") - 1))
-    rows = rows.withColumn("_y0", F.when(F.col("_member") == 0, F.col("_x")))
-    head = F.when((F.col("_u") == 1) & (F.col("_member") == 0), _median([F.col("_y0"), *[_near("_y0", k) for k in range(1, EDGE)]]))
-    tail = F.when((F.col("_u") == F.col("_n")) & (F.col("_member") == 0), _median([F.col("_y0"), *[_near("_y0", -k) for k in range(1, EDGE)]]))
-    by = Window.partitionBy("_s", "_block").orderBy("_u", "_member")
-    changed = F.when((F.col("_member") == 0) & ~((_near("_v0", -1) == F.col("_v")) & (_near("_p0", -1) == F.col("_pos") - 1)).eqNullSafe(F.lit(True)), F.col("_u"))
-    rows = rows.withColumn("_v0", F.when(F.col("_member") == 0, F.col("_v"))).withColumn("_p0", F.when(F.col("_member") == 0, F.col("_pos")))
-    rows = rows.select("*", head.alias("_head"), tail.alias("_tail"), changed.alias("_turn"))
+    stands = F.col("_member") == 0
+    rows = rows.select("*", *[F.when(stands, F.col(c)).alias(n) for c, n in (("_x", "_y0"), ("_v", "_v0"), ("_pos", "_p0"))])
+    near = {f"_e{k}": _near("_y0", k) for k in range(-EDGE + 1, EDGE) if k} | {"_v1": _near("_v0", -1), "_p1": _near("_p0", -1)}
+    rows = rows.select("*", *[c.alias(n) for n, c in near.items()])
     whole = Window.partitionBy("_s", "_block")
-    rows = rows.withColumn("_head", F.max("_head").over(whole)).withColumn("_tail", F.max("_tail").over(whole))
+    ends = {1: (F.lit(1), "_head"), -1: (F.col("_n"), "_tail")}
+    # Sorted, so that the middle of the readings there are is at a fixed place; nulls come first.
+    sorted_end = {side: F.when(stands & (F.col("_u") == at), F.array_sort(F.array_compact(F.array("_y0", *[f"_e{side * k}" for k in range(1, EDGE)])))) for side, (at, _) in ends.items()}
+    turned = F.when(stands & ~F.coalesce((F.col("_v1") == F.col("_v")) & (F.col("_p1") == F.col("_pos") - 1), F.lit(False)), F.col("_u"))
+    rows = rows.select(*[c for c in rows.columns if c not in near], turned.alias("_turn"), *[sorted_end[side].alias(f"_s{n}") for side, (_, n) in ends.items()])
+    rows = rows.select(*[c for c in rows.columns if not c.startswith("_s_")], *[F.max(_middle(f"_s{n}")).over(whole).alias(n) for _, n in ends.values()])
     for j in range(LEVELS):
         step, y = 2**j, F.col(f"_y{j}")
         rows = rows.select("*", F.coalesce(_near(f"_y{j}", -step), "_head", y).alias("_l"), F.coalesce(_near(f"_y{j}", step), "_tail", y).alias("_r"))
@@ -112,14 +116,10 @@ def transform(rows: DataFrame, block: int = BLOCK) -> DataFrame:
             F.when(y.isNotNull(), F.abs(y - (F.col("_l") + F.col("_r")) / 2)).alias(f"_r{j}"), F.when(y.isNotNull(), F.greatest(low, F.least(high, y))).alias(f"_y{j + 1}"),
         )
     rows = rows.withColumn("_d", F.col("_y0") - F.col(f"_y{LEVELS}"))
-    alike = {k: F.coalesce(_near("_d", k) / F.col("_d") >= 0.5, F.lit(False)) for k in range(-LONGEST, LONGEST + 1) if k}
-    windows = [[k for k in range(a, a + LONGEST + 1) if k] for a in range(-LONGEST, 1)]
-    longer = F.lit(False)
-    for w in windows:
-        every = F.lit(True)
-        for k in w:
-            every = every & alike[k]
-        longer = longer | every
+    rows = rows.select("*", *[_near("_d", k).alias(f"_d{k}") for k in range(-LONGEST, LONGEST + 1) if k])
+    alike = {k: f"coalesce(`_d{k}` / _d >= 0.5, false)" for k in range(-LONGEST, LONGEST + 1) if k}
+    longer = F.expr(" OR ".join("(" + " AND ".join(alike[k] for k in range(a, a + LONGEST + 1) if k) + ")" for a in range(-LONGEST, 1)))
+    by = Window.partitionBy("_s", "_block").orderBy("_u", "_member")
     run_start = F.max("_turn").over(by.rowsBetween(Window.unboundedPreceding, 0))
     run_end = F.min("_turn").over(Window.partitionBy("_s", "_block").orderBy("_u").rangeBetween(1, STUCK - 1))
     rows = rows.select("*", F.when(F.col("_d") != 0, longer).alias("_long"), (F.coalesce(run_end, F.least(F.col("_n") + 1, F.col("_u") + STUCK)) - F.coalesce(run_start, F.col("_u") - STUCK)).alias("_run"))
@@ -146,8 +146,8 @@ def scales(transformed: DataFrame, block: int = BLOCK) -> DataFrame:
     return got.select("_s", scale.alias("_scale"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("_n") - 1) / block))).alias("_block"))
 
 
-def flag_readings(rows: DataFrame, *, series: Sequence[str], as_of: str, observed: str, row_id: str, value: str, common: str, correction: str | None = None, keep: Sequence[str] = (), upper: float = 500_000.0, block: int = BLOCK) -> DataFrame:
-    """``keep, row_id, value, impossible, stuck, spike, detail`` for every row with a reading.
+def flag_readings(rows: DataFrame, *, series: Sequence[str], as_of: str, observed: str, row_id: str, value: str, common: str, correction: str | None = None, keep: Sequence[str] = (), flagged_only: bool = False, upper: float = 500_000.0, block: int = BLOCK) -> DataFrame:
+    """``keep, row_id, value, impossible, stuck, spike, detail`` for every row with a reading, or for the flagged ones.
 
     ``value`` is compared for equality (stuck runs), ``common`` is the same reading in common units (level
     and bounds); ``correction`` is null for originals; ``detail`` is in robust scales, null for impossible ones.
@@ -163,8 +163,14 @@ def flag_readings(rows: DataFrame, *, series: Sequence[str], as_of: str, observe
     rows = rows.withColumn("_bad", F.col("_bad") | F.col("_x").isNull())
     yes, no = F.lit(True), F.lit(False)
     impossible = rows.where("_bad").select("_keep", "_id", "_v", yes.alias("impossible"), no.alias("stuck"), no.alias("spike"), F.lit(None).cast("double").alias("detail"))
-    done = transform(positions(rows).where("NOT _bad"), block)
-    judged = done.join(scales(done, block), ["_s", "_block"])
+    done = written(transform(positions(rows).where("NOT _bad"), block))
+    if flagged_only:  # no scale is smaller than the least, so these are sound whatever their series' scale
+        tested = done.where(F.col("_stuck") | (F.abs("_detail") > LIMIT * LEAST_SCALE))
+    else:
+        tested = done
+    judged = tested.join(scales(done, block), ["_s", "_block"])
     spike = (F.abs("_detail") > LIMIT * F.col("_scale")) & ~F.col("_long")
     judged = judged.select("_keep", "_id", "_v", no.alias("impossible"), F.col("_stuck").alias("stuck"), spike.alias("spike"), (F.col("_detail") / F.col("_scale")).alias("detail"))
-    return impossible.unionByName(judged).select(*[F.col(f"_keep.{k}").alias(k) for k in keep], F.col("_id").alias(row_id), F.col("_v").alias("value"), "impossible", "stuck", "spike", "detail")
+    got = impossible.unionByName(judged)
+    got = got.where("impossible OR stuck OR spike") if flagged_only else got
+    return got.select(*[F.col(f"_keep.{k}").alias(k) for k in keep], F.col("_id").alias(row_id), F.col("_v").alias("value"), "impossible", "stuck", "spike", "detail")

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegrain.operators.corrections import never_replaced
-from tidegrain.session import cut
+from tidegrain.session import written
 
 #: Posterior from which a unit counts as settled.
 SURE = 0.95
@@ -250,7 +250,7 @@ def amount_units(quotes: DataFrame, snapshots: DataFrame, fx: DataFrame, *, body
     ``unit_uncertain``, ``native_amount`` (whole units of that currency), ``usd_amount`` decimal(18,2),
     and ``restated``: not null, and not a plain number in whole units of the ISO currency named.
     """
-    q = cut(parse_amounts(quotes, body=body))  # parsed once, then read for levels, weights and amounts
+    q = written(parse_amounts(quotes, body=body))  # parsed once, then read for levels, weights and amounts
     usual = mean_rates(fx, quote)
     level = levels(q, snapshots, usual)
     q = q.join(level, "card_uid", "left").join(F.broadcast(usual), "_sign", "left")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegrain.operators import asof, late, rolling, spikes, units
+from tidegrain.session import written
 from tidegrain.sources.tables import table
 
 #: What makes a redelivered mention row: the same content under another id.
@@ -63,7 +64,10 @@ def p2_amounts(spark: SparkSession, root: str) -> DataFrame:
 
 
 def readings(spark: SparkSession, root: str) -> DataFrame:
-    """Readings of both price tables in whole native units (``value``) and at a fixed dollar rate (``common``)."""
+    """Readings of both price tables in whole native units (``value``) and at a fixed dollar rate (``common``).
+
+    Payloads are restated once and written; the rest is scanned by each reader.
+    """
     snapshots, quotes, fx = (table(spark, root, n) for n in ("price_snapshot", "price_quote", "fx_rate"))
     usual = F.broadcast(units.mean_rates(fx))  # one row per currency
     s = snapshots.select(F.lit("price_snapshot").alias("record_table"), F.col("row_id").alias("record_id"), *SERIES, "as_of", "observed_at", "supersedes", F.col("amount").cast("double").alias("value"), F.col("currency").alias("_sign"))
@@ -73,25 +77,24 @@ def readings(spark: SparkSession, root: str) -> DataFrame:
         F.lit("price_quote").alias("record_table"), F.col("quote_id").alias("record_id"), "card_uid", "source", *[none.cast("string").alias(c) for c in SERIES[2:]],
         "as_of", "observed_at", none.cast("bigint").alias("supersedes"), F.col("native_amount").alias("value"), F.col("unit_currency").alias("_sign"),
     )
-    both = s.unionByName(q).join(usual, "_sign", "left")
+    both = s.unionByName(written(q)).join(usual, "_sign", "left")
     return both.withColumn("common", F.col("value") * F.pow(F.lit(10.0), F.coalesce("_usd_log", F.lit(0.0)))).drop("_sign", "_usd_log")
 
 
 def flagged_readings(spark: SparkSession, root: str) -> DataFrame:
     return spikes.flag_readings(
-        readings(spark, root), series=("record_table", *SERIES), as_of="as_of", observed="observed_at", row_id="record_id", value="value", common="common", correction="supersedes", keep=["record_table"]
+        readings(spark, root), series=("record_table", *SERIES), as_of="as_of", observed="observed_at", row_id="record_id", value="value", common="common", correction="supersedes", keep=["record_table"], flagged_only=True
     )
 
 
 def p4_found(spark: SparkSession, root: str) -> DataFrame:
     """Readings that cannot be real."""
-    return flagged_readings(spark, root).where("impossible OR stuck OR spike").select("record_table", "record_id")
+    return flagged_readings(spark, root).select("record_table", "record_id")
 
 
 def p4_readings(spark: SparkSession, root: str) -> DataFrame:
     """Flagged readings with the reason and the detail coefficient in robust scales."""
-    got = flagged_readings(spark, root).where("impossible OR stuck OR spike")
-    return got.select("record_table", "record_id", "impossible", "stuck", "spike", F.round("detail", 3).alias("detail"))
+    return flagged_readings(spark, root).select("record_table", "record_id", "impossible", "stuck", "spike", F.round("detail", 3).alias("detail"))
 
 
 def p5_found(spark: SparkSession, root: str) -> DataFrame:

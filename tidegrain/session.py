@@ -1,9 +1,10 @@
-"""Session settings and durable lineage cuts."""
+"""Session settings, durable lineage cuts and intermediate tables."""
 
 from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,19 +24,58 @@ def local_session(cpus: str = "*", shuffle_partitions: int = 8) -> SparkSession:
     )
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the cluster's shared folder.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names.
 
-    The folder is read from ``spark.checkpoint.dir``; only where that is unset (tests, laptops) a
-    temporary one is used.
+    Where it is unset, a local session gets a temporary one; a cluster, whose executors could not see
+    that, is refused.
     """
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        shared = sc.getConf().get("spark.checkpoint.dir")
+    sc = spark.sparkContext
+    known = sc._jsc.sc().getCheckpointDir()
+    shared = sc.getConf().get("spark.checkpoint.dir")
+    if shared is None and known.isDefined():
+        return known.get()
+    if shared is None and not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    if known.isEmpty():
         sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="tidegrain-checkpoint-"))
+    return shared or sc._jsc.sc().getCheckpointDir().get()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a reliable checkpoint in the shared folder; keeps the partitioning."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+#: Folders of intermediate tables per application.
+_WRITTEN: dict[str, list[str]] = {}
+
+
+def new_folder(spark: SparkSession, kind: str) -> str:
+    """The name of a fresh folder in the shared folder, removed by :func:`release`."""
+    path = f"{shared_folder(spark)}/{kind}-{uuid.uuid4().hex}"
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder as parquet and read back: a lineage cut that several readers prune."""
+    path = new_folder(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> int:
+    """Remove the intermediate tables of this session; frames that read them are of no use afterwards."""
+    gone = _WRITTEN.pop(spark.sparkContext.applicationId, [])
+    jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in gone:
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(conf).delete(p, True)
+    return len(gone)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """``df`` over at least as many partitions as there are cores, for costly passes over few large splits.
 
