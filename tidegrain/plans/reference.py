@@ -327,157 +327,8 @@ def quality_staleness(spark, root):
     return q.groupBy("source").agg(F.count(F.lit(1)).alias("rows"), F.count_if(age > 86400).alias("stale"))
 
 
-# --- identity and matching ------------------------------------------------------------------------
-
-_UP = "replace(upper(number), ' ', '')"
-_KIND = f"""CASE WHEN regexp_matches({_UP}, '^([0-9]+)([A-Z]?)(\\*?)/([0-9]+)$') THEN 'card' WHEN regexp_matches({_UP}, '^R([0-9]+)([A-Z]?)$') THEN 'rune'
-  WHEN regexp_matches({_UP}, '^T([0-9]+)$') THEN 'token' WHEN regexp_matches({_UP}, '^[A-Z]+[0-9]*-([0-9]+)([A-Z]?)(\\*?)$') THEN 'prefixed' WHEN regexp_matches({_UP}, '^([0-9]+)([A-Z]?)(\\*?)$') THEN 'bare' ELSE 'unreadable' END"""
-_PARSED = f"""SELECT *, CASE kind WHEN 'card' THEN TRY_CAST(regexp_extract(n, '^([0-9]+)', 1) AS INT) WHEN 'bare' THEN TRY_CAST(regexp_extract(n, '^([0-9]+)', 1) AS INT) WHEN 'rune' THEN TRY_CAST(regexp_extract(n, '^R([0-9]+)', 1) AS INT)
-  WHEN 'token' THEN TRY_CAST(regexp_extract(n, '^T([0-9]+)', 1) AS INT) WHEN 'prefixed' THEN TRY_CAST(regexp_extract(n, '^[A-Z]+[0-9]*-([0-9]+)', 1) AS INT) END AS idx,
-  CASE WHEN kind = 'card' THEN TRY_CAST(regexp_extract(n, '/([0-9]+)$', 1) AS INT) END AS total,
-  CASE WHEN kind IN ('card', 'bare', 'prefixed') THEN contains(n, '*') WHEN kind <> 'unreadable' THEN false END AS starred"""
-
-
-@query(f"SELECT target_id, kind, idx, total, starred, idx > total AS above FROM ({_PARSED} FROM (SELECT target_id, {_UP} AS n, {_KIND} AS kind FROM targets WHERE number IS NOT NULL))")
-def identity_parse_number(spark, root):
-    """Collector numbers taken apart, and whether they exceed the set's size."""
-    p = table(spark, root, "targets").where("number IS NOT NULL").select("target_id", X.collector_number(F.col("number")).alias("p"))
-    return p.select("target_id", "p.kind", "p.idx", "p.total", "p.starred", X.above_set_size(F.col("p")).alias("above"))
-
-
-@query("SELECT target_id, regexp_replace(regexp_replace(upper(replace(number, ' ', '')), '^0+([0-9])', '\\1'), '([/-])0+([0-9])', '\\1\\2', 'g') AS number FROM targets")
-def identity_normal_number(spark, root):
-    """Numbers in normal form, the total kept."""
-    return table(spark, root, "targets").select("target_id", X.normal_number(F.col("number")).alias("number"))
-
-
-@query("""SELECT card_uid, concat_ws(':', game, set_code, number, variant, language) = card_uid AS rebuilt, split_part(card_uid, ':', 4) AS variant FROM cards
-  WHERE len(string_split(card_uid, ':')) = 5 AND NOT list_contains(string_split(card_uid, ':'), '')""")
-def identity_uid(spark, root):
-    """Keys taken apart and built again from their parts."""
-    c = table(spark, root, "cards").withColumn("p", X.key_parts(F.col("card_uid"))).where("p IS NOT NULL")
-    built = X.build_key(*[F.col(n) for n in ("game", "set_code", "number", "variant", "language")])
-    return c.select("card_uid", (built == F.col("card_uid")).alias("rebuilt"), F.col("p.variant").alias("variant"))
-
-
-@query(f"""WITH p AS ({_PARSED} FROM (SELECT target_id, source, external_id, {_UP} AS n, {_KIND} AS kind FROM targets WHERE number IS NOT NULL AND external_id IS NOT NULL))
-  SELECT a.target_id AS a, b.target_id AS b, CASE WHEN a.kind <> 'unreadable' AND b.kind <> 'unreadable' AND ((a.kind = b.kind AND a.kind <> 'bare') OR (a.kind IN ('card', 'bare') AND b.kind IN ('card', 'bare') AND a.kind <> b.kind))
-    THEN a.idx = b.idx AND coalesce(regexp_extract(a.n, '[0-9]([A-Z])', 1), '') = coalesce(regexp_extract(b.n, '[0-9]([A-Z])', 1), '') AND a.starred IS NOT DISTINCT FROM b.starred AND coalesce(a.total = b.total, true) END AS same
-  FROM p a JOIN p b ON a.source = b.source AND a.external_id = b.external_id AND a.target_id < b.target_id""")
-def identity_bridge(spark, root):
-    """Whether two records of one external id denote the same printing; null where numbers cannot be bridged."""
-    t = table(spark, root, "targets").where("number IS NOT NULL AND external_id IS NOT NULL").select("target_id", "source", "external_id", X.collector_number(F.col("number")).alias("p"))
-    b = t.select(F.col("target_id").alias("b"), F.col("source").alias("bs"), F.col("external_id").alias("be"), F.col("p").alias("bp"))
-    both = t.join(b, (F.col("source") == F.col("bs")) & (F.col("external_id") == F.col("be")) & (F.col("target_id") < F.col("b")))
-    return both.select(F.col("target_id").alias("a"), "b", X.bridge(F.col("p"), F.col("bp")).alias("same"))
-
-
-@query("""WITH n AS (SELECT lower(trim(artist)) AS artist, count(*) AS cards, count(DISTINCT set_code) AS sets, count(DISTINCT language) AS languages FROM cards WHERE artist IS NOT NULL GROUP BY 1)
-  SELECT artist, cards, sets, languages FROM n WHERE languages > 1""")
-def candidates_shared_artist(spark, root):
-    """Artists with cards in several languages, the blocking key for renumbered reprints."""
-    c = table(spark, root, "cards").where("artist IS NOT NULL").groupBy(F.lower(F.trim("artist")).alias("artist"))
-    return c.agg(F.count(F.lit(1)).alias("cards"), F.count_distinct("set_code").alias("sets"), F.count_distinct("language").alias("languages")).where("languages > 1")
-
-
-@query(f"""SELECT game, idx, count(*) AS cards, count(DISTINCT language) AS languages, count(DISTINCT set_code) AS sets FROM ({_PARSED} FROM (SELECT *, {_UP} AS n, {_KIND} AS kind FROM cards))
-  WHERE idx IS NOT NULL GROUP BY 1, 2 HAVING count(DISTINCT language) > 1""")
-def candidates_cross_language(spark, root):
-    """Collector indexes that occur in several languages of a game."""
-    c = table(spark, root, "cards").withColumn("idx", X.collector_number(F.col("number"))["idx"]).where("idx IS NOT NULL").groupBy("game", "idx")
-    return c.agg(F.count(F.lit(1)).alias("cards"), F.count_distinct("language").alias("languages"), F.count_distinct("set_code").alias("sets")).where("languages > 1")
-
-
-@query("SELECT game, name_en, count(*) AS cards, string_agg(DISTINCT set_code, ',' ORDER BY set_code) AS sets FROM cards WHERE name_en IS NOT NULL GROUP BY 1, 2 HAVING count(DISTINCT set_code) > 1")
-def candidates_reprint(spark, root):
-    """Names that occur in several sets of a game."""
-    g = table(spark, root, "cards").where("name_en IS NOT NULL").groupBy("game", "name_en")
-    return g.agg(F.count(F.lit(1)).alias("cards"), F.array_sort(F.collect_set("set_code")).alias("s")).where(F.size("s") > 1).select("game", "name_en", "cards", F.array_join("s", ",").alias("sets"))
-
-
-@query("""SELECT game, language, card_uid, rn AS place FROM (SELECT game, language, card_uid, row_number() OVER (PARTITION BY game, language ORDER BY release_date DESC NULLS LAST, card_uid) AS rn FROM cards) WHERE rn <= 20""")
-def candidates_quota(spark, root):
-    """The twenty newest cards of every game and language; twenty is the quota."""
-    w = Window.partitionBy("game", "language").orderBy(F.desc_nulls_last("release_date"), "card_uid")
-    return table(spark, root, "cards").select("game", "language", "card_uid", F.row_number().over(w).alias("place")).where("place <= 20")
-
-
-def _cascade(spark, root, prefix=True):
-    """Targets with an exact link by set and number, else the best name within the set.
-
-    With ``prefix`` only names with the same first three letters are compared, as the SQL of ``resolve_cascade`` does.
-    """
-    t = table(spark, root, "targets").select("target_id", "game", F.lower("set_code").alias("set"), X.normal_number(F.col("number")).alias("number"), F.lower("name").alias("name"))
-    c = table(spark, root, "cards").where("variant NOT IN ('parallel', 'manga_rare')").select("card_uid", F.col("game").alias("cg"), F.lower("set_code").alias("cs"), X.normal_number(F.col("number")).alias("cn"), F.lower("name_en").alias("cname"))
-    exact = t.join(c, (t["game"] == c["cg"]) & (t["set"] == c["cs"]) & (t["number"] == c["cn"])).groupBy("target_id").agg(F.min("card_uid").alias("card_uid")).withColumn("confidence", F.lit(1.0)).withColumn("resolved_by", F.lit("exact"))
-    rest = t.join(exact.select("target_id"), "target_id", "left_anti").where("name IS NOT NULL")
-    fuzzy = rest.join(c.where("cname IS NOT NULL"), (rest["game"] == c["cg"]) & (rest["set"] == c["cs"]) & ((F.substring("name", 1, 3) == F.substring("cname", 1, 3)) if prefix else F.lit(True)))
-    words = lambda x: F.array_distinct(F.split(x, " "))
-    jaccard = F.size(F.array_intersect(words("name"), words("cname"))) / F.size(F.array_union(words("name"), words("cname")))
-    edit = 1 - F.levenshtein("name", "cname") / F.greatest(F.length("name"), F.length("cname"))
-    scored = fuzzy.withColumn("confidence", F.round(F.greatest(jaccard, edit), 4))
-    w = Window.partitionBy("target_id").orderBy(F.desc("confidence"), "card_uid")
-    ranked = scored.withColumn("rn", F.row_number().over(w)).withColumn("next", F.lead("confidence").over(w)).where("rn = 1")
-    how = F.when(F.col("confidence") < 0.6, "none").when(F.col("confidence") - F.coalesce("next", F.lit(0.0)) < 0.05, "ambiguous").otherwise("fuzzy")
-    return exact.unionByName(ranked.select("target_id", "card_uid", "confidence", how.alias("resolved_by")))
-
-
-_NN = "regexp_replace(regexp_replace(upper(replace(number, ' ', '')), '^0+([0-9])', '\\1'), '([/-])0+([0-9])', '\\1\\2', 'g')"
-_WORDS = "list_distinct(string_split({}, ' '))"
-_CASC = f"""t AS (SELECT target_id, game, lower(set_code) AS s, {_NN} AS n, lower(name) AS name FROM targets),
-  c AS (SELECT card_uid, game, lower(set_code) AS s, {_NN} AS n, lower(name_en) AS name FROM cards WHERE variant NOT IN ('parallel', 'manga_rare')),
-  e AS (SELECT target_id, min(card_uid) AS card_uid, 1.0::DOUBLE AS confidence, 'exact' AS resolved_by FROM t JOIN c USING (game, s, n) GROUP BY 1),
-  f AS (SELECT t.target_id, c.card_uid, round(greatest(len(list_intersect({_WORDS.format('t.name')}, {_WORDS.format('c.name')})) / len(list_distinct(list_concat(string_split(t.name, ' '), string_split(c.name, ' ')))), 1 - levenshtein(t.name, c.name) / greatest(length(t.name), length(c.name))), 4) AS confidence
-    FROM t JOIN c ON t.game = c.game AND t.s = c.s AND left(t.name, 3) = left(c.name, 3) WHERE t.target_id NOT IN (SELECT target_id FROM e)),
-  r AS (SELECT *, row_number() OVER w AS rn, lead(confidence) OVER w AS nx FROM f WINDOW w AS (PARTITION BY target_id ORDER BY confidence DESC, card_uid)),
-  casc AS (SELECT * FROM e UNION ALL SELECT target_id, card_uid, confidence, CASE WHEN confidence < 0.6 THEN 'none' WHEN confidence - coalesce(nx, 0) < 0.05 THEN 'ambiguous' ELSE 'fuzzy' END FROM r WHERE rn = 1)"""
-
-
-@query(f"WITH {_CASC} SELECT target_id, card_uid, confidence, resolved_by FROM casc")
-def resolve_cascade(spark, root):
-    """Exact links first, then fuzzy ones within the set, refused when weak or ambiguous.
-
-    Like its SQL it compares only names with the same first three letters; ``resolve_whole`` compares all of the set.
-    """
-    return _cascade(spark, root)
-
-
-@query()
-def resolve_whole(spark, root):
-    """The cascade over every name of the set: typos at the start find their card, all runner-ups count."""
-    return _cascade(spark, root, prefix=False)
-
-
-@query(f"WITH {_CASC} SELECT resolved_by, count(*) AS n, count(*) FILTER (WHERE resolved_by = 'exact' OR (resolved_by = 'fuzzy' AND confidence >= 0.9)) AS usable FROM casc GROUP BY 1")
-def resolve_usability(spark, root):
-    """Links per kind and how many may be used."""
-    c = _cascade(spark, root)
-    ok = (F.col("resolved_by") == "exact") | ((F.col("resolved_by") == "fuzzy") & (F.col("confidence") >= 0.9))
-    return c.groupBy("resolved_by").agg(F.count(F.lit(1)).alias("n"), F.count_if(ok).alias("usable"))
-
-
-@query()
-def resolve_name_similarity(spark, root):
-    """Matching-blocks similarity of the names of exactly linked pairs."""
-    e = _cascade(spark, root).where("resolved_by = 'exact'")
-    t, c = table(spark, root, "targets").select("target_id", "name"), table(spark, root, "cards").select("card_uid", "name_en")
-    return e.join(t, "target_id").join(c, "card_uid").select("target_id", "card_uid", F.round(X.name_similarity("name", "name_en"), 6).alias("similarity"))
-
-
 # --- catalogue, payloads, sets --------------------------------------------------------------------
 
-_STAGE = f"""CASE WHEN game IS NULL THEN 'no_game' WHEN number IS NULL AND set_code IS NULL THEN 'no_identity' WHEN number IS NULL THEN 'no_number' WHEN set_code IS NULL THEN 'no_set_code'
-  WHEN {_KIND} = 'unreadable' THEN 'unreadable_number' ELSE 'parsed' END"""
-
-
-@query(f"SELECT game, coalesce(language, '?') AS language, {_STAGE} AS stage, count(*) AS n FROM targets GROUP BY ALL")
-def catalog_funnel(spark, root):
-    """Where records leave the way into the catalogue, per game and language, in one pass."""
-    kind = X.collector_number(F.col("number"))["kind"]
-    stage = F.when(F.col("game").isNull(), "no_game").when(F.col("number").isNull() & F.col("set_code").isNull(), "no_identity").when(F.col("number").isNull(), "no_number").when(F.col("set_code").isNull(), "no_set_code").when(kind == "unreadable", "unreadable_number").otherwise("parsed")
-    return table(spark, root, "targets").groupBy("game", F.coalesce("language", F.lit("?")).alias("language"), stage.alias("stage")).agg(F.count(F.lit(1)).alias("n"))
-
-
 @query("""SELECT game, language, source, n FROM (SELECT *, row_number() OVER (PARTITION BY game, language ORDER BY CASE source WHEN 'cardrail' THEN 1 WHEN 'openpull' THEN 2 WHEN 'lantern_index' THEN 3 ELSE 4 END, source) AS rn
   FROM (SELECT game, language, source, count(*) AS n FROM cards GROUP BY ALL)) WHERE rn = 1""")
 def catalog_first_source(spark, root):
@@ -609,28 +460,3 @@ def preserve_empty_runs(spark, root):
     one = lambda d: s.where(F.col("day") == F.lit(d).cast("date")).drop("day")
     kept = store.preserve(one("2026-06-01"), one("2026-05-31"), "card_uid")
     return kept.groupBy("card_uid", "preserved").agg(F.count(F.lit(1)).alias("rows"), F.sum("mentions").alias("mentions"))
-
-
-@query(f"""WITH {_CASC}, p AS (SELECT lower(trim(a.name)) AS x, lower(trim(b.name_en)) AS y FROM casc JOIN targets a USING (target_id) JOIN cards b ON b.card_uid = casc.card_uid WHERE resolved_by = 'exact')
-  SELECT CASE WHEN coalesce(length(x), 0) = 0 OR coalesce(length(y), 0) = 0 THEN 'UNKNOWN' WHEN contains(x, y) OR contains(y, x) THEN 'AGREE' ELSE 'DISAGREE' END AS verdict, count(*) AS n FROM p GROUP BY 1""")
-def names_three_valued(spark, root):
-    """Whether the names of exactly linked pairs agree, disagree or cannot be compared."""
-    e = _cascade(spark, root).where("resolved_by = 'exact'").select("target_id", "card_uid")
-    both = e.join(table(spark, root, "targets").select("target_id", "name"), "target_id").join(table(spark, root, "cards").select("card_uid", "name_en"), "card_uid")
-    return both.groupBy(X.three_valued(F.col("name"), F.col("name_en")).alias("verdict")).agg(F.count(F.lit(1)).alias("n"))
-
-
-@query(f"""WITH {_CASC}, e2 AS (SELECT target_id, card_uid FROM casc WHERE resolved_by = 'exact'), g AS (SELECT t.target_id, c.card_uid, row_number() OVER (PARTITION BY t.target_id ORDER BY levenshtein(t.name, c.name), c.card_uid) AS rn
-    FROM t JOIN e2 USING (target_id) JOIN c ON t.game = c.game AND t.s = c.s AND left(t.name, 3) = left(c.name, 3))
-  SELECT count(*) AS used, count(*) FILTER (WHERE g.card_uid = e2.card_uid) AS correct, round(count(*) FILTER (WHERE g.card_uid = e2.card_uid) / count(*), 6) AS precision,
-    round(count(*) FILTER (WHERE g.card_uid = e2.card_uid) / (SELECT count(*) FROM e2), 6) AS recall, round(pow(0.05, 1.0 / count(*)), 6) AS bound_if_perfect FROM g JOIN e2 USING (target_id) WHERE rn = 1""")
-def resolve_precision(spark, root):
-    """Precision and recall of names alone on pairs whose number links them, with the bound a perfect score would have."""
-    e = _cascade(spark, root).where("resolved_by = 'exact'").select("target_id", F.col("card_uid").alias("truth"))
-    t = table(spark, root, "targets").select("target_id", "game", F.lower("set_code").alias("set"), F.lower("name").alias("name"))
-    c = table(spark, root, "cards").where("variant NOT IN ('parallel', 'manga_rare')").select("card_uid", F.col("game").alias("cg"), F.lower("set_code").alias("cs"), F.lower("name_en").alias("cname"))
-    pairs = t.join(e, "target_id").join(c, (t["game"] == c["cg"]) & (t["set"] == c["cs"]) & (F.substring("name", 1, 3) == F.substring("cname", 1, 3)))
-    best = pairs.groupBy("target_id", "truth").agg(F.min(F.struct(F.levenshtein("name", "cname").alias("d"), "card_uid")).alias("b"))
-    used = best.agg(F.count(F.lit(1)).alias("used"), F.count_if(F.col("b.card_uid") == F.col("truth")).alias("correct"))
-    should = e.agg(F.count(F.lit(1)).alias("should"))  # one row each
-    return used.join(F.broadcast(should)).select("used", "correct", F.round(F.col("correct") / F.col("used"), 6).alias("precision"), F.round(F.col("correct") / F.col("should"), 6).alias("recall"), F.round(F.pow(F.lit(0.05), 1 / F.col("used")), 6).alias("bound_if_perfect"))
