@@ -22,5 +22,5 @@ def test_entry_runs(spark):
 
 
 def test_every_query_without_oracle_runs(spark, sf):
-    for name in ("p2_found", "p2_rates", "p2_amounts", "p4_found", "p4_readings", "resolve_name_similarity"):
+    for name in ("p2_found", "p2_rates", "p2_amounts", "p4_found", "p4_readings", "resolve_by_matching_blocks", "identity_normal_name", "payload_body_classes"):
         assert entry.queries()[name](spark, sf).count() > 0, name

@@ -1,3 +1,4 @@
+import datetime as dt
 from decimal import Decimal
 
 from helpers import rows, t
@@ -66,9 +67,63 @@ def test_least_squares_recovers_a_plane_and_refuses_a_singular_one(spark):
 
 
 def test_last_rate(spark):
-    facts = spark.createDataFrame([(1, "p", t("2025-01-03")), (2, "p", t("2024-12-31")), (3, "q", t("2025-01-03"))], "id int, pair string, as_of timestamp_ntz")
-    rates = spark.createDataFrame([("p", Decimal("1.5"), t("2025-01-01")), ("p", Decimal("2.5"), t("2025-01-04"))], "fx string, rate decimal(8,2), at timestamp_ntz")
-    assert [(r[0], r[1]) for r in rows(pit.last_rate(facts, rates, ("pair", "fx"), ("as_of", "at"), "rate").select("id", F.col("rate").cast("double")))] == [(1, 1.5), (2, None), (3, None)]
+    facts = [(1, "p", "2025-01-03 10:00", "2025-01-03 12:00"), (2, "p", "2024-12-31", "2025-06-01"), (3, "q", "2025-01-03", "2025-01-03"), (4, "p", "2025-01-05", "2025-01-05"), (5, "p", "2027-05-05", "2027-05-05"), (6, "p", "2025-01-05", "2025-01-07"), (7, None, "2025-01-05", "2025-01-07"), (8, "p", None, "2025-01-07")]
+    facts = spark.createDataFrame([(i, k, a and t(a), b and t(b)) for i, k, a, b in facts], "fact int, fx string, as_of timestamp_ntz, observed_at timestamp_ntz")
+    rates = [(1, "p", "2025-01-01", "2025-01-01", None), (2, "p", "2025-01-03 18:00", "2025-01-03 18:00", None), (3, "p", "2025-01-04", "2025-01-04", None), (4, "p", "2025-01-04", "2025-01-06", 3), (5, "p", "2025-01-04", "2025-01-04", None)]
+    rates = spark.createDataFrame([(i, k, t(a), t(b), s) for i, k, a, b, s in rates], "row_id int, pair string, as_of timestamp_ntz, observed_at timestamp_ntz, supersedes int")
+    # an evening's rate serves no morning price, a later correction no earlier one; years without a rate do not end the last one
+    got = rows(pit.last_rate(facts, rates, fact_id="fact", fact_pair="fx", at="as_of", known="observed_at"))
+    assert got == [(1, 1), (4, 5), (5, 4), (6, 4)]
+    assert rows(pit.last_rate(facts, rates.limit(0), fact_id="fact", fact_pair="fx", at="as_of", known="observed_at")) == []
+
+
+def test_last_rate_equals_brute_force(spark):
+    import random
+
+    r = random.Random(8)
+    day = lambda n: t("2024-01-01") + dt.timedelta(hours=n)
+    rates = [(i, r.choice("pq"), day(h := r.randrange(20_000)), day(h + r.randrange(900)), None) for i in range(120)]
+    rates += [(200 + i, *(x := r.choice(rates))[1:3], x[3] + dt.timedelta(hours=r.randrange(1, 500)), x[0]) for i in range(30)]
+    facts = [(i, r.choice("pqz"), day(h := r.randrange(-500, 30_000)), day(h + r.randrange(300))) for i in range(300)]
+    gone = {}
+    for x in rates:
+        if x[4] is not None:
+            gone[x[4]] = min(gone.get(x[4], x[3]), x[3])
+    want = []
+    for i, k, at, known in facts:
+        fit = [(x[2], x[3], x[0]) for x in rates if x[1] == k and x[2] <= at and x[3] <= known and not (x[0] in gone and gone[x[0]] <= known)]
+        want += [(i, max(fit)[2])] if fit else []
+    f = spark.createDataFrame(facts, "fact int, fx string, as_of timestamp_ntz, observed_at timestamp_ntz")
+    d = spark.createDataFrame(rates, "row_id int, pair string, as_of timestamp_ntz, observed_at timestamp_ntz, supersedes int")
+    assert rows(pit.last_rate(f, d, fact_id="fact", fact_pair="fx", at="as_of", known="observed_at")) == sorted(want, key=str)
+
+
+def test_gaps_runs_and_decisions(spark):
+    d = spark.createDataFrame([("a", t(f"2025-01-0{i}")) for i in (1, 2, 5, 7)] + [(None, t("2025-01-01")), ("b", None)], "k string, as_of timestamp_ntz")
+    assert [(r[0], str(r[1]), str(r[2]), r[3]) for r in rows(pit.missing_days(d, "k"))] == [("a", "2025-01-03", "2025-01-04", 2), ("a", "2025-01-06", "2025-01-06", 1)]
+    log = spark.createDataFrame([("r1", "running", 1), ("r1:done", "ok", 2), ("r2", "running", 3)], "run string, status string, at int")
+    assert rows(pit.run_states(log, "run", "status", "at")) == [("r1", "ok", 2), ("r2", "running", 3)]
+    a = spark.createDataFrame([(1, None), (1, None), (2, "x")], "i int, s string")
+    assert rows(pit.differing(a, a)) == [(0,)] and rows(pit.differing(a, a.distinct())) == [(1,)] and rows(pit.differing(a.limit(0), a.limit(0))) == [(0,)]
+
+
+def test_medians_hold_no_group(spark):
+    d = spark.createDataFrame([("a", 1.0)] * 3 + [("a", 5.0), ("a", None), (None, 2.0), (None, 4.0)], "k string, v double")
+    assert rows(stats.medians(d, ["k"], "v")) == [("a", 1.0), (None, 3.0)] and rows(stats.medians(d.limit(0), ["k"], "v")) == []
+
+
+def test_ranked_is_a_total_order(spark):
+    d = spark.createDataFrame([(i % 3, f"k{i}") for i in range(60)], "v int, k string")
+    got = stats.ranked(d, "v", "k").collect()
+    import hashlib
+
+    want = {k: n for n, (v, k) in enumerate(sorted(((i % 3, f"k{i}") for i in range(60)), key=lambda x: (x[0], hashlib.md5(x[1].encode()).hexdigest())), 1)}
+    assert {r["k"]: r["place"] for r in got} == want
+
+
+def test_digests_tell_shifted_fields_apart(spark):
+    d = spark.createDataFrame([("a|b", "c"), ("a", "b|c"), ("~", None), (None, "~"), ("", None)], "x string, y string")
+    assert d.select(stats.row_digest(["x", "y"])).distinct().count() == 5
 
 
 def test_distributed_quartiles_equal_sorted_ones(spark):

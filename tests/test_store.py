@@ -51,6 +51,8 @@ def test_first_seen_wins(spark, s):
 def test_preserve_pages_and_rules(spark):
     today, before = spark.createDataFrame([("a", 1)], "g string, v int"), spark.createDataFrame([("a", 8), ("b", 9)], "g string, v int")
     assert rows(store.preserve(today, before, "g")) == [("a", 1, False), ("b", 9, True)]
+    holes = spark.createDataFrame([(None, 1)], "g string, v int")
+    assert rows(store.preserve(holes, holes, "g")) == [(None, 1, False)]
     pages = spark.createDataFrame([("done", 1, True, None, 5), ("done", 2, False, None, 3), ("cut", 1, True, 10, 5), ("told", 1, None, 5, 5)], "k string, page int, has_more boolean, total int, rows int")
     assert rows(store.complete_pages(pages, "k").select("k", "complete")) == [("cut", False), ("done", True), ("told", True)]
     facts = spark.createDataFrame([(1, "x", "p"), (2, "x", "q"), (3, "z", "q"), (4, None, None)], "id int, a string, b string")

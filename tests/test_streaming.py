@@ -19,3 +19,14 @@ def test_a_repeated_batch_overwrites_itself(spark, tmp_path):
     write(batch, 0)
     write(batch, 0)
     assert rows(daily.merged(spark, str(tmp_path), ["source"]).select("n", "amount")) == [(1, 5)]
+
+
+def test_an_empty_stream_has_no_rows_and_a_second_run_resumes(spark, tmp_path):
+    root, folder = str(tmp_path / "in"), str(tmp_path / "state")
+    spark.createDataFrame([], SCHEMA).write.parquet(f"{root}/log.parquet")
+    named = dict(keys=["source"], at="as_of", amount="mentions", folder=folder)
+    assert rows(daily.run_daily(spark, root, "log", **named)) == []
+    for n in (1, 2):
+        spark.createDataFrame([("s", t("2025-01-01"), n)], SCHEMA).coalesce(1).write.mode("append").parquet(f"{root}/log.parquet")
+        got = rows(daily.run_daily(spark, root, "log", **named).select("n", "amount"))
+    assert got == [(2, 3)]

@@ -7,6 +7,9 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Days a rate is looked for at once before a wider reach is tried; 0 looks at all rates of the pair.
+REACH_BACK = (8, 64, 0)
+
 
 def as_of_view(log: DataFrame, at: Column, *, row_id: str = "row_id", supersedes: str = "supersedes", observed: str = "observed_at") -> DataFrame:
     """Rows known at ``at`` that no row known at ``at`` supersedes; each link of a chain drops by itself."""
@@ -66,6 +69,33 @@ def day_coverage(log: DataFrame, key: str, as_of: str = "as_of") -> DataFrame:
     return out.withColumn("missing", F.datediff("last_day", "first_day") + 1 - F.col("present"))
 
 
+def missing_days(log: DataFrame, key: str, as_of: str = "as_of") -> DataFrame:
+    """``(key, from_day, to_day, days)``: the ranges of days without a row between a key's first and last day."""
+    days = log.where(F.col(key).isNotNull() & F.col(as_of).isNotNull()).select(key, F.to_date(as_of).alias("_day")).distinct()
+    gap = days.withColumn("_next", F.lead("_day").over(Window.partitionBy(key).orderBy("_day"))).where(F.datediff("_next", "_day") > 1)
+    return gap.select(key, F.date_add("_day", 1).alias("from_day"), F.date_sub("_next", 1).alias("to_day"), (F.datediff("_next", "_day") - 1).alias("days"))
+
+
+def decisions(links: DataFrame, at: Column, offset: int) -> DataFrame:
+    """The rows that confirm ``links`` by hand: appended, sure, each superseding its link; ids are the links' plus ``offset``."""
+    new = {"row_id": F.col("row_id") + F.lit(offset), "resolved_by": F.lit("manual"), "confidence": F.lit(1.0), "observed_at": at, "supersedes": F.col("row_id")}
+    return links.select(*[(new[c] if c in new else F.col(c)).cast(links.schema[c].dataType).alias(c) for c in links.columns])
+
+
+def run_states(log: DataFrame, run: str, status: str, at: str, keep: Sequence[str] = (), done: str = ":done") -> DataFrame:
+    """One row per run of a log in which a run is a row at its start and, once done, a second one whose id ends in ``done``."""
+    name = F.regexp_replace(run, f"{done}$", "")
+    last = F.max(F.struct(F.col(run).endswith(done).alias("_d"), F.col(at).alias("_a"), F.col(status).alias("_s")))
+    return log.groupBy(*keep, name.alias(run)).agg(last.alias("_l")).select(*keep, run, F.col("_l._s").alias(status), F.col("_l._a").alias(at))
+
+
+def differing(a: DataFrame, b: DataFrame) -> DataFrame:
+    """One row, ``differing``: how many rows only one of two frames has, counted with repeats."""
+    both = a.withColumn("_sign", F.lit(1)).unionByName(b.withColumn("_sign", F.lit(-1)))
+    net = both.groupBy(*a.columns).agg(F.sum("_sign").alias("_net"))
+    return net.agg(F.coalesce(F.sum(F.abs("_net")), F.lit(0)).cast("bigint").alias("differing"))
+
+
 def violations(rows: DataFrame, rules: Mapping[str, Column]) -> DataFrame:
     """``(rule, violations)``: a rule that is null passes, as a CHECK does. One pass over the rows."""
     counts = rows.agg(*[F.count_if(~F.coalesce(cond, F.lit(True))).alias(name) for name, cond in rules.items()])
@@ -79,21 +109,40 @@ def gate(rows: DataFrame, rules: Mapping[str, Column]) -> DataFrame:
     return rows.withColumn("broken", broken)
 
 
+def matching(rows: DataFrame, wanted: Mapping[str, object], columns: Mapping[str, Column]) -> DataFrame:
+    """Rows equal in every column for which something is wanted; None wants nothing."""
+    for name, value in wanted.items():
+        rows = rows if value is None else rows.where(columns[name] == F.lit(value))
+    return rows
+
+
 def orphans(rows: DataFrame, key: str, parent: DataFrame, parent_key: str) -> DataFrame:
     """Rows whose key has no parent row."""
     return rows.join(parent.select(F.col(parent_key).alias("_p")).distinct(), rows[key] == F.col("_p"), "left_anti")
 
 
-def last_rate(facts: DataFrame, rates: DataFrame, key: tuple[str, str], at: tuple[str, str], rate: str) -> DataFrame:
-    """``facts`` with the latest rate of their key at or before their time, as ``rate`` and ``rate_at``.
+def last_rate(facts: DataFrame, rates: DataFrame, *, fact_id: str, fact_pair: str, at: str, known: str, pair: str = "pair", as_of: str = "as_of", observed: str = "observed_at", row_id: str = "row_id", supersedes: str = "supersedes") -> DataFrame:
+    """``(fact_id, row_id)``: for every fact the rate of its pair at its time as known at its knowledge time.
+
+    A rate counts if it holds at or before ``at``, was observed at or before ``known`` and was not superseded by a row
+    observed by then; the latest time wins, then the latest observation, then the highest id. Facts without any are left out.
 
-    Rates become daily rows valid until the next one, filled forward; facts join them by key and day,
-    an equi-join instead of a sort of both sides. The rates of a day hold from the day's beginning.
+    Rates are few against facts. A fact meets the rates of its pair of the same and the cell of days before, an equality
+    join; a rate found there is later than any outside. Only facts for which there was none are asked with wider cells.
     """
-    fk, rk = key
-    fa, ra = at
-    d = rates.groupBy(F.col(rk).alias("_k"), F.to_date(ra).alias("_d")).agg(F.max_by(rate, ra).alias("rate"))
-    nxt = F.lead("_d").over(Window.partitionBy("_k").orderBy("_d"))
-    d = d.withColumn("_to", F.coalesce(F.date_sub(nxt, 1), F.date_add("_d", 366)))
-    daily = d.select("_k", F.explode(F.sequence("_d", "_to")).alias("_day"), "rate", F.col("_d").alias("rate_at"))
-    return facts.join(daily, (facts[fk] == daily["_k"]) & (F.to_date(facts[fa]) == daily["_day"]), "left").drop("_k", "_day")
+    gone = rates.where(F.col(supersedes).isNotNull()).groupBy(F.col(supersedes).alias("_gone")).agg(F.min(observed).alias("_until"))
+    r = rates.join(gone, rates[row_id] == gone["_gone"], "left").select(F.col(pair).alias("_pair"), F.col(as_of).alias("_at"), F.col(observed).alias("_from"), "_until", F.col(row_id).alias("_rid"))
+    r = r.where(F.col("_at").isNotNull() & F.col("_from").isNotNull())
+    day = lambda c: F.datediff(F.to_date(c), F.lit("1970-01-01").cast("date"))
+    asked = facts.where(F.col(at).isNotNull() & F.col(known).isNotNull()).select(F.col(fact_id).alias("_fid"), F.col(fact_pair).alias("_fp"), F.col(at).alias("_fa"), F.col(known).alias("_fk"))
+    best = None
+    open_ = asked
+    for days in REACH_BACK:  # each wider reach is asked only for what the narrower ones did not answer
+        wide = r.withColumn("_cell", F.explode(F.array(F.floor(day("_at") / days), F.floor(day("_at") / days) + 1))) if days else r.withColumn("_cell", F.lit(0))
+        cell = F.floor(day("_fa") / days) if days else F.lit(0)
+        met = open_.withColumn("_c", cell).join(wide, (F.col("_fp") == F.col("_pair")) & (F.col("_c") == F.col("_cell")))
+        met = met.where((F.col("_at") <= F.col("_fa")) & (F.col("_from") <= F.col("_fk")) & (F.col("_until").isNull() | (F.col("_until") > F.col("_fk"))))
+        found = met.groupBy("_fid").agg(F.max(F.struct("_at", "_from", "_rid")).alias("_b")).select("_fid", F.col("_b._rid").alias("_rid"))
+        best = found if best is None else best.unionByName(found)
+        open_ = open_.join(found.select("_fid"), "_fid", "left_anti")
+    return best.select(F.col("_fid").alias(fact_id), F.col("_rid").alias(row_id))

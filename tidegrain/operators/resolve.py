@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from tidegrain.functions import identity as I  # noqa: E741
 from tidegrain.functions import text as X
+from tidegrain.operators.stats import ranked
 
 GAP, FLOOR, TOP = 0.05, 0.6, 5
 #: Factors for a set, a variant or a foil stated otherwise.
@@ -103,23 +104,6 @@ PRIORITIES = ("same_art_across_languages", "reprint_across_sets", "alt_art_vs_ba
 RENUMBERED = ("CN-S",)
 
 
-def ranked(rows: DataFrame, value: str, key: str) -> DataFrame:
-    """``rows`` with ``place``, their rank by (value, md5 of key) over all rows, without a task that sees them all.
-
-    Rows are counted per (value, first two digits of the digest); prefix sums over these counts offset ranks
-    taken within each. A value shared by all rows still falls into 256 parts.
-    """
-    rows = rows.withColumn("_h", F.md5(F.col(key).cast("string"))).withColumn("_part", F.substring("_h", 1, 2))
-    parts = rows.groupBy(value, "_part").agg(F.count(F.lit(1)).alias("_c"))
-    per_value = parts.groupBy(value).agg(F.sum("_c").alias("_vc"))
-    before = Window.orderBy(value).rowsBetween(Window.unboundedPreceding, -1)  # one row per distinct value, scores of four digits
-    per_value = per_value.withColumn("_v0", F.coalesce(F.sum("_vc").over(before), F.lit(0)))
-    inside = Window.partitionBy(value).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # 256 rows at most
-    parts = parts.withColumn("_p0", F.coalesce(F.sum("_c").over(inside), F.lit(0))).join(per_value, value)
-    own = F.row_number().over(Window.partitionBy(value, "_part").orderBy("_h", key))
-    return rows.withColumn("_i", own).join(parts.select(value, "_part", (F.col("_p0") + F.col("_v0")).alias("_o")), [value, "_part"]).withColumn("place", F.col("_i") + F.col("_o")).drop("_h", "_part", "_i", "_o")
-
-
 def self_confidence(cards: DataFrame) -> DataFrame:
     """``(card_uid, confidence)``: how sure the resolver is of the catalogue's own entries."""
     told = cards.select(F.col("card_uid").alias("_did"), "game", "language", "number", "set_code", "variant", F.lit(None).cast("boolean").alias("foil"), "name").select("*", *pool_key("game", "language", "number"))

@@ -56,13 +56,39 @@ def quartiles(rows: DataFrame, bucket: Sequence[str], value: str) -> DataFrame:
     return got.select(*bucket, "n", ((pick(mid[0]) + pick(mid[1])) / 2).alias("median"), exclusive(0.25).alias("q1"), exclusive(0.75).alias("q3"))
 
 
+def medians(rows: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """``(keys, median)``, exact: the median of distinct values weighted by how often they occur.
+
+    Values are counted before they meet, so a key costs its distinct values; null values are left out, null keys kept.
+    """
+    counted = rows.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_x")).agg(F.count(F.lit(1)).alias("_c"))
+    return counted.groupBy(*keys).agg(F.percentile("_x", F.lit(0.5), F.col("_c")).alias("median"))
+
+
+def ranked(rows: DataFrame, value: str, key: str) -> DataFrame:
+    """``rows`` with ``place``, their rank by (value, md5 of key) over all rows, without a task that sees them all.
+
+    Rows are counted per (value, first two digits of the digest); prefix sums over these counts offset ranks
+    taken within each. A value shared by all rows still falls into 256 parts.
+    """
+    rows = rows.withColumn("_h", F.md5(F.col(key).cast("string"))).withColumn("_part", F.substring("_h", 1, 2))
+    parts = rows.groupBy(value, "_part").agg(F.count(F.lit(1)).alias("_c"))
+    per_value = parts.groupBy(value).agg(F.sum("_c").alias("_vc"))
+    before = Window.orderBy(value).rowsBetween(Window.unboundedPreceding, -1)  # one row per distinct value, scores of four digits
+    per_value = per_value.withColumn("_v0", F.coalesce(F.sum("_vc").over(before), F.lit(0)))
+    inside = Window.partitionBy(value).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # 256 rows at most
+    parts = parts.withColumn("_p0", F.coalesce(F.sum("_c").over(inside), F.lit(0))).join(per_value, value)
+    own = F.row_number().over(Window.partitionBy(value, "_part").orderBy("_h", key))
+    return rows.withColumn("_i", own).join(parts.select(value, "_part", (F.col("_p0") + F.col("_v0")).alias("_o")), [value, "_part"]).withColumn("place", F.col("_i") + F.col("_o")).drop("_h", "_part", "_i", "_o")
+
+
 def paired_ratios(rows: DataFrame, *, unit: Sequence[str], role: str, base: str, value: str, bucket: Sequence[str], member: str, least_pairs: int, least_members: int) -> DataFrame:
     """Per bucket and role the median ratio to the base role within a unit, published from a least sample on.
 
     ``unit`` columns identify what is compared (equal currency included); per unit and role the median
     value counts. Base values of 0 or less and missing partners are skipped. Quartiles are exact.
     """
-    m = rows.groupBy(*unit, *[b for b in bucket if b not in unit], role).agg(F.median(value).alias("_v"))
+    m = medians(rows, [*unit, *[b for b in bucket if b not in unit], role], value).withColumnRenamed("median", "_v")
     b = m.where((F.col(role) == base) & (F.col("_v") > 0)).select(*[F.col(c).alias(f"b_{c}") for c in unit], F.col("_v").alias("_base"))
     cond = F.lit(True)
     for c in unit:
@@ -88,7 +114,9 @@ def hit_rates(rows: DataFrame, key: Sequence[str], columns: Sequence[str], least
     """Per key and column: matured rows, share above 0, median; nulls have not matured."""
     long = rows.unpivot(list(key), list(columns), "horizon", "excess")
     ok = F.col("excess").isNotNull()
-    got = long.groupBy(*key, "horizon").agg(F.count_if(ok).alias("n"), F.avg(F.when(ok, (F.col("excess") > 0).cast("double"))).alias("_h"), F.median(F.col("excess").cast("double")).alias("_m"))
+    got = long.groupBy(*key, "horizon").agg(F.count_if(ok).alias("n"), F.avg(F.when(ok, (F.col("excess") > 0).cast("double"))).alias("_h"))
+    mid = medians(long.withColumn("excess", F.col("excess").cast("double")), [*key, "horizon"], "excess")
+    got = got.join(mid.select(*[F.col(k).alias(f"_{k}") for k in (*key, "horizon")], F.col("median").alias("_m")), [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in (*key, "horizon")], "left")
     return got.select(*key, "horizon", "n", F.round("_h", 6).alias("hit_rate"), F.round("_m", 6).alias("median_excess"), F.when(F.col("n") < least, F.lit("low")).otherwise(F.lit("ok")).alias("confidence"))
 
 
@@ -114,14 +142,19 @@ def residuals(rows: DataFrame, y: str, xs: Sequence[str]) -> DataFrame:
     return rows.withColumn("fitted", fitted).withColumn("residual", F.col(y).cast("double") - F.col("fitted"))
 
 
+def row_digest(columns: Sequence[str]) -> Column:
+    """The digest of a row: every value with its length before it, null as ``-``, so different rows have different texts."""
+    told = lambda c: F.coalesce(F.concat(F.length(F.col(c).cast("string")).cast("string"), F.lit(":"), F.col(c).cast("string")), F.lit("-"))
+    return F.sha2(F.concat(*[told(c) for c in columns]), 256)
+
+
 def day_digests(log: DataFrame, day: Column, columns: Sequence[str]) -> DataFrame:
     """``(day, n, digest)``: an order-free digest of all rows of a day.
 
     The digest is the hash of the count and of the sums of four parts of every row's hash, so it is a
     mergeable aggregate and covers the content of every row.
     """
-    text = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("~")) for c in columns])
-    h = F.sha2(text, 256)
+    h = row_digest(columns)
     parts = [F.conv(F.substring(h, 1 + 15 * i, 15), 16, 10).cast("decimal(20,0)") for i in range(4)]
     got = log.groupBy(day.alias("day")).agg(F.count(F.lit(1)).alias("n"), *[F.sum(p).cast("decimal(38,0)").cast("string").alias(f"p{i}") for i, p in enumerate(parts)])
     return got.select("day", "n", F.sha2(F.concat_ws("|", F.col("n").cast("string"), "p0", "p1", "p2", "p3"), 256).alias("digest"))

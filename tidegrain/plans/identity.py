@@ -327,3 +327,108 @@ def resolve_pool_recall(spark, root):
     q = table(spark, root, "targets").where("target_id % 50 = 0 AND name IS NOT NULL AND number IS NOT NULL").select("target_id", "game", squeezed("name").alias("nm"), X.normal_number(F.trim("number")).alias("n"))
     c = table(spark, root, "cards").where("name_en IS NOT NULL").select("game", squeezed("name_en").alias("nm"), X.normal_number(F.trim("number")).alias("cn"))
     return q.join(c, ["game", "nm"]).groupBy("game").agg(F.count(F.lit(1)).alias("pairs"), F.count_if(F.col("n") == F.col("cn")).alias("in_pool"))
+
+
+# --- candidates for review and labels -------------------------------------------------------------
+
+_IDEAS = f"""c AS (SELECT card_uid, game, language, set_code, box_code, lower(variant) AS variant, regexp_replace(regexp_replace(upper(replace(trim(number), ' ', '')), '^0+([0-9])', '\\1'), '([/-])0+([0-9])', '\\1\\2', 'g') AS n, lower(coalesce({_CARD_NAME}, '')) AS name, nullif(lower(trim(artist)), '') AS artist FROM cards),
+  self_pairs AS (SELECT a.card_uid AS id, b.card_uid, a.name AS x, b.name AS y, CASE WHEN coalesce(a.set_code, '') <> '' AND upper(a.set_code) <> upper(b.set_code) AND NOT coalesce(upper(a.set_code) = upper(b.box_code), false) THEN 0.55 ELSE 1.0 END AS f1, CASE WHEN a.variant <> b.variant THEN 0.65 ELSE 1.0 END AS f2
+    FROM c a JOIN c b ON a.game = b.game AND a.language = b.language AND a.n = b.n),
+  self_scored AS (SELECT id, card_uid, round({_SIM} * f1::DOUBLE * f2::DOUBLE, 4) AS z FROM self_pairs),
+  self_ranked AS (SELECT *, row_number() OVER w AS rn, lead(z) OVER w AS nx FROM self_scored WINDOW w AS (PARTITION BY id ORDER BY z DESC, card_uid)),
+  sure_of AS (SELECT c.card_uid, CASE WHEN game IN ('optcg', 'pkmn', 'riftbound') AND language IN ('EN', 'JP', 'CN-S', 'CN-T') AND s.card_uid IS NOT NULL THEN z ELSE 0.0 END AS confidence, CASE WHEN z - nx < 0.05 THEN 'ambiguous' WHEN z < 0.6 THEN 'below_floor' WHEN s.card_uid = c.card_uid THEN 'itself' ELSE 'other' END AS outcome, game || ':' || language AS combo
+    FROM c LEFT JOIN self_ranked s ON s.id = c.card_uid AND rn = 1),
+  weakest AS (SELECT card_uid FROM (SELECT card_uid, row_number() OVER (ORDER BY confidence, md5(card_uid)) AS place FROM sure_of) WHERE place <= (SELECT floor(count(*) / 4) + 1 FROM cards)),
+  ideas AS (
+    SELECT card_uid, 0 AS o, CAST(NULL AS VARCHAR) AS parent, k - 1 AS siblings FROM c JOIN (SELECT game AS g, n AS gn, count(*) AS k FROM c GROUP BY 1, 2 HAVING count(DISTINCT language) > 1) ON game IS NOT DISTINCT FROM g AND n IS NOT DISTINCT FROM gn
+    UNION ALL SELECT card_uid, 0, CASE WHEN k = 1 THEN only_one END, CASE WHEN k = 1 THEN 1 ELSE 0 END FROM c LEFT JOIN (SELECT game AS g, artist AS ga, count(*) AS k, min(card_uid) AS only_one FROM c WHERE language = 'JP' AND artist IS NOT NULL GROUP BY 1, 2) ON game = g AND artist = ga WHERE language = 'CN-S'
+    UNION ALL SELECT card_uid, 1, NULL, k - 1 FROM c JOIN (SELECT game AS g, language AS l, name AS gn, count(*) AS k FROM c WHERE name <> '' GROUP BY 1, 2, 3 HAVING count(DISTINCT set_code) > 1) ON game = g AND language = l AND name = gn
+    UNION ALL SELECT card_uid, 2, NULL, k - 1 FROM c JOIN (SELECT game AS g, language AS l, n AS gn, count(*) AS k FROM c GROUP BY 1, 2, 3 HAVING count(DISTINCT variant) > 1) ON game = g AND language = l AND n IS NOT DISTINCT FROM gn
+    UNION ALL SELECT card_uid, 3, NULL, k - 1 FROM c JOIN (SELECT game AS g, language AS l, name AS gn, count(*) AS k FROM c GROUP BY 1, 2, 3 HAVING count(*) > 1) ON game = g AND language = l AND name = gn WHERE variant = 'promo' OR upper(set_code) LIKE 'P%'
+    UNION ALL SELECT card_uid, 4, NULL, 0 FROM weakest),
+  best_idea AS (SELECT card_uid, min(o) AS o, max(parent) AS parent, arg_max(siblings, (-o, siblings)) AS siblings FROM ideas GROUP BY 1),
+  review AS (SELECT b.card_uid, s.combo, CASE b.o WHEN 0 THEN 'same_art_across_languages' WHEN 1 THEN 'reprint_across_sets' WHEN 2 THEN 'alt_art_vs_base' WHEN 3 THEN 'promo_vs_set' ELSE 'lowest_confidence' END AS priority, b.o, b.parent, CAST(b.siblings AS BIGINT) AS siblings, s.confidence FROM best_idea b JOIN sure_of s USING (card_uid))"""
+QUOTA = 20
+
+
+@query(f"WITH {_IDEAS} SELECT card_uid, combo, priority, parent, siblings, confidence FROM review")
+def candidates_ideas(spark, root):
+    """Cards worth a review with their hardest reason, the parent a renumbered one has, and the size of its group."""
+    return R.review_ideas(catalogue(spark, root))
+
+
+@query(f"WITH {_IDEAS}, q AS (SELECT *, row_number() OVER (PARTITION BY combo ORDER BY o, confidence, card_uid) AS place FROM review) SELECT combo, place, card_uid, priority, confidence FROM q WHERE place <= {QUOTA}")
+def candidates_quota(spark, root):
+    """The first twenty candidates of every combination, hardest first; twenty is the quota."""
+    return R.within_quota(R.review_ideas(catalogue(spark, root)), QUOTA).select("combo", F.col("place").cast("bigint").alias("place"), "card_uid", "priority", "confidence")
+
+
+#: Labels wanted per combination.
+WANTED = {"pkmn:EN": 40, "pkmn:JP": 35, "optcg:EN": 35, "optcg:JP": 35, "optcg:CN-S": 30, "pkmn:CN-S": 30, "pkmn:CN-T": 25, "riftbound:EN": 20}
+_WANTED = ", ".join(f"('{k}', {v})" for k, v in WANTED.items())
+
+
+@query(f"WITH {_IDEAS}, h AS (SELECT combo, least(count(*), {QUOTA}) AS have FROM review GROUP BY 1) SELECT w.combo, CAST(w.want AS BIGINT) AS want, coalesce(have, 0) AS have, w.want - coalesce(have, 0) AS short FROM (VALUES {_WANTED}) w(combo, want) LEFT JOIN h USING (combo) WHERE coalesce(have, 0) < want")
+def candidates_shortfall(spark, root):
+    """Combinations for which the candidates within the quota do not reach what is wanted."""
+    have = R.within_quota(R.review_ideas(catalogue(spark, root)), QUOTA).groupBy("combo").agg(F.count(F.lit(1)).alias("have"))
+    want = spark.createDataFrame(list(WANTED.items()), "combo string, want bigint")
+    got = want.join(have, "combo", "left").select("combo", "want", F.coalesce("have", F.lit(0)).alias("have"))
+    return got.where("have < want").withColumn("short", F.col("want") - F.col("have"))
+
+
+@query(f"WITH {_IDEAS} SELECT combo, outcome, count(*) AS n FROM sure_of GROUP BY 1, 2")
+def resolve_merge_check(spark, root):
+    """Whether every catalogue entry resolves to itself, to another one, or to none and why."""
+    c = catalogue(spark, root)
+    told = c.select(F.col("card_uid").alias("_did"), "game", "language", "number", "set_code", "variant", F.lit(None).cast("boolean").alias("foil"), "name").select("*", *R.pool_key("game", "language", "number"))
+    d = R.decided(told, R.scored(told, c))
+    outcome = F.when(F.col("reason") != "fuzzy", F.col("reason")).when(F.col("card_uid") == F.col("_did"), "itself").otherwise("other")
+    return d.join(told.select("_did", F.concat_ws(":", "game", "language").alias("combo")), "_did").groupBy("combo", outcome.alias("outcome")).agg(F.count(F.lit(1)).alias("n"))
+
+
+CONFIDENCES = ("verified", "single_source", "in_repo", "unstated")
+#: Numbers seen for a card that belong to another market: game, set code, name, number.
+CONFUSABLE = (("pkmn", "s7R", "Rayquaza VMAX", "083/069"),)
+_LABELS = f"""(SELECT card_uid, game, set_code, number, CASE WHEN foil THEN 'sr' ELSE variant END AS variant, language, {_CARD_NAME} AS name, source, CASE source WHEN 'openpull' THEN 'verified' WHEN 'cardrail' THEN 'single_source' WHEN 'lantern_index' THEN 'rumour' ELSE 'unstated' END AS confidence, language = 'JP' AS labelled FROM cards)"""
+
+
+def label_faults() -> "F.Column":
+    """What is wrong with a row of labels, in order, as an array of names; empty for rows that may enter."""
+    req = [F.when(F.coalesce(F.col(c), F.lit("")) == "", F.lit(f"missing_{c}")) for c in ("card_uid", "game", "set_code", "number", "variant", "language", "name", "source", "confidence")]
+    built = X.build_key(*[F.col(c) for c in ("game", "set_code", "number", "variant", "language")])
+    confusable = F.lit(False)
+    for game, set_code, name, number in CONFUSABLE:
+        confusable = confusable | ((F.col("game") == game) & (F.col("set_code") == set_code) & (F.col("name") == name) & (F.col("number") == number))
+    rest = [
+        F.when(~F.col("confidence").isin(*CONFIDENCES), F.lit("confidence")), F.when(~I.is_variant(F.col("variant"), F.col("game")), F.lit("variant")), F.when(built != F.col("card_uid"), F.lit("card_uid")), F.when(confusable, F.lit("confusable_number")),
+        F.when(F.col("labelled") & ~F.col("confidence").isin("verified", "single_source"), F.lit("already_labelled")),
+    ]
+    return F.array_compact(F.array(*req, *rest))
+
+
+_FAULTS = "list_filter([" + ", ".join(f"CASE WHEN coalesce({c}, '') = '' THEN 'missing_{c}' END" for c in ("card_uid", "game", "set_code", "number", "variant", "language", "name", "source", "confidence")) + f""",
+  CASE WHEN confidence NOT IN ('verified', 'single_source', 'in_repo', 'unstated') THEN 'confidence' END, CASE WHEN NOT (list_contains(CASE game {_ALLOWED} ELSE [] END, variant) OR regexp_matches(variant, '^(parallel|reprint)([2-9]|[1-9][0-9]+)$')) THEN 'variant' END,
+  CASE WHEN concat_ws(':', game, set_code, number, variant, language) <> card_uid THEN 'card_uid' END, CASE WHEN game = 'pkmn' AND set_code = 's7R' AND name = 'Rayquaza VMAX' AND number = '083/069' THEN 'confusable_number' END,
+  CASE WHEN labelled AND confidence NOT IN ('verified', 'single_source') THEN 'already_labelled' END], lambda x: x IS NOT NULL)"""
+
+
+def _labels(spark: SparkSession, root: str) -> DataFrame:
+    c = catalogue(spark, root)
+    stated = F.when(F.col("source") == "openpull", "verified").when(F.col("source") == "cardrail", "single_source").when(F.col("source") == "lantern_index", "rumour").otherwise("unstated")
+    return c.select("card_uid", "game", "set_code", "number", F.when(F.col("foil"), "sr").otherwise(F.col("variant")).alias("variant"), "language", "name", "source", stated.alias("confidence"), (F.col("language") == "JP").alias("labelled"))
+
+
+@query(f"SELECT card_uid, array_to_string({_FAULTS}, ',') AS faults FROM {_LABELS}")
+def labels_faults(spark, root):
+    """Rows offered as labels, made from the catalogue with foil cards mislabelled, and what is wrong with each."""
+    return _labels(spark, root).select("card_uid", F.array_join(label_faults(), ",").alias("faults"))
+
+
+@query(f"""WITH l AS (SELECT *, len({_FAULTS}) = 0 AS fine FROM {_LABELS}), g AS (SELECT game || ':' || language AS combo, count(*) FILTER (WHERE fine) AS pool, count(*) FILTER (WHERE fine AND confidence = 'verified') AS have FROM l GROUP BY 1)
+  SELECT w.combo, CAST(w.want AS BIGINT) AS want, coalesce(pool, 0) AS pool, coalesce(have, 0) AS have, CASE WHEN coalesce(have, 0) >= want THEN 'ok' WHEN coalesce(have, 0) < 20 THEN 'below floor' ELSE 'short' END AS state FROM (VALUES {_WANTED}) w(combo, want) LEFT JOIN g USING (combo)""")
+def labels_gate(spark, root):
+    """Verified labels per combination against what is wanted and the floor of twenty."""
+    g = _labels(spark, root).where(F.size(label_faults()) == 0).groupBy(F.concat_ws(":", "game", "language").alias("combo")).agg(F.count(F.lit(1)).alias("pool"), F.count_if(F.col("confidence") == "verified").alias("have"))
+    got = spark.createDataFrame(list(WANTED.items()), "combo string, want bigint").join(g, "combo", "left").select("combo", "want", F.coalesce("pool", F.lit(0)).alias("pool"), F.coalesce("have", F.lit(0)).alias("have"))
+    return got.withColumn("state", F.when(F.col("have") >= F.col("want"), "ok").when(F.col("have") < 20, "below floor").otherwise("short"))

@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 
 from tidegrain.functions import text as X
 from tidegrain.operators import pit, stats
-from tidegrain.operators.corrections import never_replaced
 from tidegrain.sources import store
 from tidegrain.sources.tables import table
 
@@ -148,17 +147,20 @@ def pit_review_queue(spark, root):
     return pit.review_queue(_links(spark, root), ts("2024-01-20 00:00:00")).select("row_id", "record", "confidence", "observed_at")
 
 
-@query("""WITH r AS (SELECT pair, CAST(as_of AS DATE) AS day, arg_max(rate, as_of) AS rate FROM fx_rate f WHERE NOT EXISTS (SELECT 1 FROM fx_rate s WHERE s.supersedes = f.row_id) GROUP BY 1, 2),
-  p AS (SELECT row_id, amount, CAST(as_of AS DATE) AS day, CASE currency WHEN 'EUR' THEN 'EUR/USD' WHEN 'GBP' THEN 'GBP/USD' ELSE 'USD/' || currency END AS pair FROM price_snapshot WHERE currency <> 'USD')
-  SELECT row_id, round(CAST(amount AS DOUBLE) * CASE WHEN p.pair LIKE 'USD/%' THEN 1 / CAST(rate AS DOUBLE) ELSE CAST(rate AS DOUBLE) END, 4) AS usd, strftime(r.day, '%Y-%m-%d') AS rate_at
-  FROM p ASOF LEFT JOIN r ON p.pair = r.pair AND p.day >= r.day""")
+@query("""WITH p AS (SELECT row_id, amount, as_of, observed_at, CASE currency WHEN 'EUR' THEN 'EUR/USD' WHEN 'GBP' THEN 'GBP/USD' ELSE 'USD/' || currency END AS pair FROM price_snapshot WHERE currency <> 'USD'),
+  g AS (SELECT supersedes, min(observed_at) AS until FROM fx_rate WHERE supersedes IS NOT NULL GROUP BY 1),
+  h AS (SELECT p.row_id, f.rate, f.as_of, row_number() OVER (PARTITION BY p.row_id ORDER BY f.as_of DESC, f.observed_at DESC, f.row_id DESC) AS rn FROM p JOIN fx_rate f ON f.pair = p.pair AND f.as_of <= p.as_of AND f.observed_at <= p.observed_at LEFT JOIN g ON g.supersedes = f.row_id WHERE g.until IS NULL OR g.until > p.observed_at)
+  SELECT p.row_id, round(CAST(amount AS DOUBLE) * CASE WHEN pair LIKE 'USD/%' THEN 1 / CAST(rate AS DOUBLE) ELSE CAST(rate AS DOUBLE) END, 4) AS usd, h.as_of AS rate_at, date_diff('second', h.as_of, p.as_of) > 86400 AS stale FROM p LEFT JOIN h ON h.row_id = p.row_id AND rn = 1""")
 def fx_asof_convert(spark, root):
-    """Foreign prices in dollars at the last rate of their day or before."""
-    p = table(spark, root, "price_snapshot").where("currency != 'USD'")
+    """Foreign prices in dollars at the last rate at or before their time, as it was known when the price was."""
+    p, fx = table(spark, root, "price_snapshot").where("currency != 'USD'"), table(spark, root, "fx_rate")
     pair = F.when(F.col("currency").isin("EUR", "GBP"), F.concat("currency", F.lit("/USD"))).otherwise(F.concat(F.lit("USD/"), "currency"))
-    got = pit.last_rate(p.select("row_id", "amount", "as_of", pair.alias("pair")), never_replaced(table(spark, root, "fx_rate")).withColumnRenamed("pair", "fx_pair"), ("pair", "fx_pair"), ("as_of", "as_of"), "rate")
-    per = F.when(F.col("pair").startswith("USD/"), 1 / F.col("rate").cast("double")).otherwise(F.col("rate").cast("double"))
-    return got.select("row_id", F.round(F.col("amount").cast("double") * per, 4).alias("usd"), F.date_format("rate_at", "yyyy-MM-dd").alias("rate_at"))
+    p = p.select("row_id", "amount", "as_of", "observed_at", pair.alias("pair"))
+    rate = pit.last_rate(p.withColumnRenamed("row_id", "fact"), fx, fact_id="fact", fact_pair="pair", at="as_of", known="observed_at")
+    r = rate.join(fx.select("row_id", F.col("rate").cast("double").alias("rate"), F.col("as_of").alias("rate_at")), "row_id").drop("row_id")
+    got = p.join(r, p["row_id"] == r["fact"], "left")
+    per = F.when(F.col("pair").startswith("USD/"), 1 / F.col("rate")).otherwise(F.col("rate"))
+    return got.select("row_id", F.round(F.col("amount").cast("double") * per, 4).alias("usd"), "rate_at", (F.timestamp_diff("SECOND", "rate_at", "as_of") > 86400).alias("stale"))
 
 
 @query("SELECT pair, CAST(arg_max(rate, (as_of, observed_at, row_id)) AS DOUBLE) AS rate, max(as_of) AS as_of FROM fx_rate GROUP BY pair")
@@ -254,7 +256,7 @@ def regression_residuals(spark, root):
     return r.groupBy(F.col("p_brand").alias("brand")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("residual"), 2).alias("mean_residual"))
 
 
-_TEXT = "concat_ws('|', coalesce(CAST(row_id AS VARCHAR), '~'), coalesce(card_uid, '~'), coalesce(CAST(mentions AS VARCHAR), '~'), coalesce(CAST(engagement AS VARCHAR), '~'), coalesce(source, '~'), coalesce(CAST(supersedes AS VARCHAR), '~'))"
+_TEXT = "concat(" + ", ".join(f"CASE WHEN {c} IS NULL THEN '-' ELSE concat(length(CAST({c} AS VARCHAR)), ':', {c}) END" for c in ("row_id", "card_uid", "mentions", "engagement", "source", "supersedes")) + ")"
 SEALED = ("row_id", "card_uid", "mentions", "engagement", "source", "supersedes")
 
 
@@ -291,7 +293,8 @@ def quality_price_sigma(spark, root):
 def quality_source_divergence(spark, root):
     """Pairs of sources whose price of one card, grade and day differ by over 30 %."""
     keys = ("card_uid", "grade", "grader", "currency")
-    d = table(spark, root, "price_snapshot").where("amount > 0").groupBy(*keys, F.to_date("as_of").alias("day"), "source").agg(F.median(F.col("amount").cast("double")).alias("v"))
+    p = table(spark, root, "price_snapshot").where("amount > 0").select(*keys, F.to_date("as_of").alias("day"), "source", F.col("amount").cast("double").alias("x"))
+    d = stats.medians(p, [*keys, "day", "source"], "x").withColumnRenamed("median", "v")
     b = d.select(*[F.col(c).alias(f"b_{c}") for c in (*keys, "day", "source")], F.col("v").alias("bv"))
     cond = (d["day"] == b["b_day"]) & (d["source"] < b["b_source"])
     for c in keys:

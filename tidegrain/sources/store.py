@@ -7,13 +7,14 @@ is :meth:`LogStore.view`, which cannot see past its cutoff and turns it into a p
 from __future__ import annotations
 
 import datetime as dt
+import re
 from collections.abc import Mapping
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidegrain.operators import pit
+from tidegrain.operators import pit, stats
 
 DAY = "observed_day"
 
@@ -26,7 +27,13 @@ class LogStore:
     root: str
     rules: Mapping[str, Mapping[str, str]] = field(default_factory=dict)
 
+    def __post_init__(self) -> None:
+        for name in self.rules:
+            self._path(name)
+
     def _path(self, table: str, part: str = "rows") -> str:
+        if not re.fullmatch(r"[a-z][a-z0-9_]*", table):
+            raise ValueError(f"no name of a table: {table!r}")
         return f"{self.root}/{table}/{part}"
 
     def _raw(self, table: str) -> DataFrame:
@@ -40,7 +47,7 @@ class LogStore:
             good, bad = gated.where(F.size("broken") == 0).drop("broken"), gated.where(F.size("broken") > 0)
             counts = {"accepted": good.count(), "quarantined": bad.count()}
             if counts["accepted"]:
-                good.withColumn(DAY, F.to_date("observed_at")).write.mode("append").partitionBy(DAY).parquet(self._path(table))
+                good.withColumn(DAY, F.to_date("observed_at")).hint("rebalance", DAY).write.mode("append").partitionBy(DAY).parquet(self._path(table))
             if counts["quarantined"]:
                 bad.write.mode("append").parquet(self._path(table, "quarantine"))
         finally:
@@ -48,19 +55,23 @@ class LogStore:
         return counts
 
     def append_with_ids(self, table: str, rows: DataFrame, order: list[str]) -> dict[str, int]:
-        """Append with deterministic ids that continue after the highest one; meant for small batches of corrections."""
+        """Append with ids that continue after the highest one, in the order of a digest of the columns ``order``."""
         last = self._raw(table).agg(F.max("row_id")).first()[0] or 0
-        ids = F.row_number().over(Window.orderBy(*order)) + F.lit(last)
-        return self.append(table, rows.withColumn("row_id", ids.cast("bigint")))
+        told = rows.withColumn("_all", F.lit(0)).withColumn("_told", stats.row_digest(order))
+        ids = stats.ranked(told, "_all", "_told").withColumn("row_id", (F.col("place") + F.lit(last)).cast("bigint"))
+        return self.append(table, ids.drop("_all", "_told", "place"))
+
+    def supersede(self, table: str, corrections: DataFrame, order: list[str] | None = None) -> dict[str, int]:
+        """Append corrections; each must point to a stored row and be observed strictly later than it.
 
-    def supersede(self, table: str, corrections: DataFrame) -> dict[str, int]:
-        """Append corrections; each must point to a stored row and be observed strictly later than it."""
+        With ``order`` they get their ids here, see :meth:`append_with_ids`.
+        """
         old = self._raw(table).select(F.col("row_id").alias("_old"), F.col("observed_at").alias("_old_at"))
         both = corrections.join(old, corrections["supersedes"] == old["_old"], "left")
         wrong = both.where(F.col("_old").isNull() | (F.col("observed_at") <= F.col("_old_at"))).limit(5).collect()
         if wrong:
             raise ValueError(f"corrections must follow the row they replace: {[r['supersedes'] for r in wrong]}")
-        return self.append(table, corrections)
+        return self.append_with_ids(table, corrections, order) if order else self.append(table, corrections)
 
     def insert_first_seen(self, table: str, rows: DataFrame, key: str, order: list[str]) -> int:
         """Dimension insert: the first row of every key that the table does not hold yet."""
@@ -86,15 +97,16 @@ class LogStore:
 
 
 def preserve(today: DataFrame, before: DataFrame, group: str) -> DataFrame:
-    """Today's rows, and yesterday's of those groups for which today brought none."""
-    back = before.join(today.select(group).distinct(), group, "left_anti")
+    """Today's rows, and yesterday's of those groups for which today brought none; null is a group of its own."""
+    have = today.select(F.col(group).alias("_have")).distinct()
+    back = before.join(have, before[group].eqNullSafe(have["_have"]), "left_anti")
     return today.withColumn("preserved", F.lit(False)).unionByName(back.withColumn("preserved", F.lit(True)))
 
 
-def complete_pages(pages: DataFrame, key: str, page: str = "page", more: str = "has_more", total: str = "total") -> DataFrame:
+def complete_pages(pages: DataFrame, key: str, page: str = "page", more: str = "has_more", total: str = "total", rows: str = "rows") -> DataFrame:
     """Per key whether enumeration reached the end: the last page says so, or the rows reach the total told."""
     return pages.groupBy(key).agg(
-        (F.coalesce(~F.max_by(more, page), F.lit(False)) | F.coalesce(F.sum("rows") >= F.max(total), F.lit(False))).alias("complete"), F.max(page).alias("pages"), F.sum("rows").alias("rows")
+        (F.coalesce(~F.max_by(more, page), F.lit(False)) | F.coalesce(F.sum(rows) >= F.max(total), F.lit(False))).alias("complete"), F.max(page).alias("pages"), F.sum(rows).alias("rows")
     )
 
 

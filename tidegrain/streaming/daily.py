@@ -8,25 +8,23 @@ corrections and late rows are part of the log, and cut-offs are applied to the p
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidegrain.session import new_folder
+
 
-def work_folder(spark: SparkSession) -> str:
-    """A fresh folder in the cluster's shared checkpoint folder, a temporary one where none is set."""
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return f"{shared}/stream-{uuid.uuid4().hex}" if shared else tempfile.mkdtemp(prefix="tidegrain-stream-")
+def _file_system(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
 def read_log(spark: SparkSession, root: str, name: str) -> DataFrame:
     """A stream over the parquet files of a table, whether it is one file or a folder."""
-    schema = spark.read.parquet(f"{root}/{name}.parquet").schema
     path = f"{root}/{name}.parquet"
-    return spark.readStream.schema(schema).parquet(path if os.path.isdir(path) else f"{root}/{name}.parque[t]")
+    schema = spark.read.parquet(path).schema
+    fs, p = _file_system(spark, path)
+    return spark.readStream.schema(schema).parquet(path if fs.getFileStatus(p).isDirectory() else f"{root}/{name}.parque[t]")
 
 
 def partial_sink(folder: str, keys: list[str], at: str, amount: str):
@@ -37,14 +35,23 @@ def partial_sink(folder: str, keys: list[str], at: str, amount: str):
     return write
 
 
-def merged(spark: SparkSession, folder: str, keys: list[str]) -> DataFrame:
-    parts = spark.read.parquet(f"{folder}/partials")
-    return parts.groupBy(*keys, "day").agg(F.sum("n").alias("n"), F.sum("amount").alias("amount"))
+def merged(spark: SparkSession, folder: str, keys: list[str], like: DataFrame | None = None) -> DataFrame:
+    """The partials of all batches combined; no batch yet gives no rows (``like`` tells the types of the keys)."""
+    path = f"{folder}/partials"
+    fs, p = _file_system(spark, path)
+    if not fs.exists(p):
+        types = {f.name: f.dataType.simpleString() for f in like.schema} if like is not None else {}
+        return spark.createDataFrame([], ", ".join([*[f"{k} {types.get(k, 'string')}" for k in keys], "day date", "n bigint", "amount bigint"]))
+    return spark.read.parquet(path).groupBy(*keys, "day").agg(F.sum("n").alias("n"), F.sum("amount").alias("amount"))
+
 
+def run_daily(spark: SparkSession, root: str, name: str, *, keys: list[str], at: str, amount: str, keep: str = "true", folder: str | None = None) -> DataFrame:
+    """Run the stream over everything there is and return the merged aggregates.
 
-def run_daily(spark: SparkSession, root: str, name: str, *, keys: list[str], at: str, amount: str, keep: str = "true") -> DataFrame:
-    """Run the stream over everything there is and return the merged aggregates."""
-    folder = work_folder(spark)
-    q = read_log(spark, root, name).where(keep).writeStream.foreachBatch(partial_sink(folder, keys, at, amount)).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+    A second run with the same ``folder`` resumes after the first: it reads only files that came since.
+    """
+    folder = folder or new_folder(spark, "stream")
+    log = read_log(spark, root, name)
+    q = log.where(keep).writeStream.foreachBatch(partial_sink(folder, keys, at, amount)).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
     q.awaitTermination()
-    return merged(spark, folder, keys)
+    return merged(spark, folder, keys, log)
