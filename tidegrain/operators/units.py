@@ -28,8 +28,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegrain.operators.corrections import never_replaced
-from tidegrain.session import written
+from tidegrain.session import small, written
 
+#: Distance from a component, in log10, beyond which readings are fitted as outliers.
+NEAR = 0.05
 #: Posterior from which a unit counts as settled.
 SURE = 0.95
 
@@ -49,9 +51,9 @@ RATE_UNITS = (
 
 
 def reference_rates(fx: DataFrame, quote: str = "USD") -> DataFrame:
-    """``(currency, day, usd)``: current rate of each currency in ``quote``, days without one filled forward.
+    """``(currency, day, usd)``: current rate of each currency in ``quote``, days between two filled forward.
 
-    The table of daily reference rates is small by nature: one row per currency and day.
+    Readers take the first or last day's rate for days beyond either end. The table of daily reference rates is small by nature: one row per currency and day.
     """
     cur = never_replaced(fx.where("rate > 0"))
     base, other = F.substring("pair", 1, 3), F.substring("pair", 5, 3)
@@ -63,7 +65,7 @@ def reference_rates(fx: DataFrame, quote: str = "USD") -> DataFrame:
     ).where("currency IS NOT NULL AND day IS NOT NULL")
     daily = cur.groupBy("currency", "day").agg(F.max_by("usd", "observed_at").alias("usd"))
     nxt = F.lead("day").over(Window.partitionBy("currency").orderBy("day"))
-    return daily.withColumn("until", F.coalesce(F.date_sub(nxt, 1), F.date_add("day", 7))).select("currency", F.explode(F.sequence("day", F.greatest("day", "until"))).alias("day"), "usd")
+    return daily.withColumn("until", F.coalesce(F.date_sub(nxt, 1), "day")).select("currency", F.explode(F.sequence("day", F.greatest("day", "until"))).alias("day"), "usd")
 
 
 def fit_offsets(x: np.ndarray, count: np.ndarray, spread: float = 0.005, outlier: float = 1e-3, rounds: int = 12) -> tuple[np.ndarray, float]:
@@ -80,7 +82,7 @@ def fit_offsets(x: np.ndarray, count: np.ndarray, spread: float = 0.005, outlier
     return w, spread if total else 0.005
 
 
-def rate_units(rows: DataFrame, fx: DataFrame, *, rate: str = "fx_rate_used", currency: str = "currency", at: str = "fx_as_of", fallback_at: str = "as_of", quote: str = "USD", bin_width: float = 2e-4) -> DataFrame:
+def rate_units(rows: DataFrame, fx: DataFrame, *, rate: str = "fx_rate_used", currency: str = "currency", at: str = "fx_as_of", fallback_at: str = "as_of", quote: str = "USD", bin_width: float = 1e-3) -> DataFrame:
     """``rows`` with ``rate_unit, rate_posterior, rate_uncertain`` and the rate restated in ``rate_usd``.
 
     Rows without a rate keep nulls. The reference table is joined on (currency, day).
@@ -94,8 +96,11 @@ def rate_units(rows: DataFrame, fx: DataFrame, *, rate: str = "fx_rate_used", cu
     got = got.join(ref, (F.col(currency) == F.col("_u_cur")) & (F.col("_u_day") == F.col("_u_rday")), "left").drop("_u_cur", "_u_rday", "_u_day")
     lr, lu = F.log10(F.when(F.col(rate) > 0, F.col(rate).cast("double"))), F.coalesce(F.log10("_u_usd"), F.when(F.col(currency) == quote, 0.0))
     got = got.withColumn("_d", lr - lu).withColumn("_i", lr + lu).drop("_u_usd")
-    hist = got.where("_d IS NOT NULL").groupBy(F.round(F.col("_d") / bin_width).alias("d"), F.round(F.col("_i") / bin_width).alias("i")).count().toPandas()  # bounded by the bins in use
-    x = np.stack([(hist.d.to_numpy(float) if s > 0 else hist.i.to_numpy(float)) * bin_width - e for _, s, e in RATE_UNITS], 1) if len(hist) else np.zeros((0, len(RATE_UNITS)))
+    # Bins near a component only, all others being one: at most (2 * 4 * NEAR / bin_width + 1) squared whatever the data.
+    near_bin = lambda c: F.when(F.abs(c - F.greatest(F.least(F.round(c / 2) * 2, F.lit(4.0)), F.lit(-2.0))) <= NEAR, F.round(c / bin_width))
+    hist = got.where("_d IS NOT NULL").groupBy(near_bin(F.col("_d")).alias("d"), near_bin(F.col("_i")).alias("i")).count().toPandas()
+    far = lambda v: np.nan_to_num(v.to_numpy(float) * bin_width, nan=99.0)
+    x = np.stack([far(hist.d if s > 0 else hist.i) - e for _, s, e in RATE_UNITS], 1) if len(hist) else np.zeros((0, len(RATE_UNITS)))
     w, spread = fit_offsets(x, hist["count"].to_numpy(float) if len(hist) else np.zeros(0))
     dens = [F.lit(float(w[j])) * F.exp(-0.5 * F.pow(((F.col("_d") if s > 0 else F.col("_i")) - e) / spread, 2)) for j, (_, s, e) in enumerate(RATE_UNITS)]
     got = got.withColumn("_p", F.when(F.col("_d").isNotNull(), F.array(*dens)))
@@ -188,12 +193,12 @@ def levels(quotes: DataFrame, snapshots: DataFrame, usd: DataFrame) -> DataFrame
     """``(card_uid, _level)``: median log10 of dollars per card over ungraded snapshots and payloads that tell their unit."""
     s = snapshots.where("amount > 0 AND grade = 'raw'").select("card_uid", F.col("currency").alias("_sign"), F.log10(F.col("amount").cast("double")).alias("x"))
     q = quotes.where("_said IS NOT NULL AND _value > 0").select("card_uid", "_sign", (F.log10("_value") + F.col("_said")).alias("x"))
-    both = s.unionByName(q).join(F.broadcast(usd), "_sign").select("card_uid", (F.col("x") + F.col("_usd_log")).alias("x"))
+    both = s.unionByName(q).join(small(usd), "_sign").select("card_uid", (F.col("x") + F.col("_usd_log")).alias("x"))
     return both.groupBy("card_uid").agg(F.percentile_approx("x", 0.5, 200).alias("_level"))
 
 
 def mean_rates(fx: DataFrame, quote: str = "USD") -> DataFrame:
-    """``(_sign, _usd_log)``: mean log10 dollars per unit; one row per currency, so it may be broadcast."""
+    """``(_sign, _usd_log)``: mean log10 dollars per unit; one row per currency."""
     ref = reference_rates(fx, quote).groupBy(F.col("currency").alias("_sign")).agg(F.avg(F.log10("usd")).alias("_usd_log"))
     return ref.unionByName(fx.sparkSession.createDataFrame([(quote, 0.0)], "_sign string, _usd_log double"))
 
@@ -253,7 +258,7 @@ def amount_units(quotes: DataFrame, snapshots: DataFrame, fx: DataFrame, *, body
     q = written(parse_amounts(quotes, body=body))  # parsed once, then read for levels, weights and amounts
     usual = mean_rates(fx, quote)
     level = levels(q, snapshots, usual)
-    q = q.join(level, "card_uid", "left").join(F.broadcast(usual), "_sign", "left")
+    q = q.join(level, "card_uid", "left").join(small(usual), "_sign", "left")
     x = F.when(F.col("_value") > 0, F.log10("_value") + F.col("_usd_log") - F.col("_level"))
     q = q.withColumn("_x", x).withColumn("_day_no", F.datediff(F.to_date("as_of"), F.lit("1970-01-01").cast("date")))
     q = q.withColumn("_integral", F.col("_value") == F.floor("_value"))
@@ -280,7 +285,7 @@ def amount_units(quotes: DataFrame, snapshots: DataFrame, fx: DataFrame, *, body
     q = q.withColumn("native_amount", F.round(F.col("_value") * F.pow(F.lit(10.0), F.col("unit_scale")), 4))
     ref = reference_rates(fx, quote).select(F.col("currency").alias("_r_cur"), F.col("day").alias("_r_day"), F.col("usd").alias("_r_usd"))
     edge = ref.groupBy(F.col("_r_cur").alias("_e_cur")).agg(F.min("_r_day").alias("_lo"), F.max("_r_day").alias("_hi"))
-    q = q.join(F.broadcast(edge), F.col("unit_currency") == F.col("_e_cur"), "left")
+    q = q.join(small(edge), F.col("unit_currency") == F.col("_e_cur"), "left")
     q = q.withColumn("_day", F.least(F.greatest(F.to_date("as_of"), F.col("_lo")), F.col("_hi"))).drop("_e_cur", "_lo", "_hi")
     q = q.join(ref, (F.col("unit_currency") == F.col("_r_cur")) & (F.col("_day") == F.col("_r_day")), "left")
     rate = F.when(F.col("unit_currency") == quote, F.lit(1.0)).otherwise(F.col("_r_usd"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegrain.operators import asof, late, rolling, spikes, units
-from tidegrain.session import written
+from tidegrain.session import small, written
 from tidegrain.sources.tables import table
 
 #: What makes a redelivered mention row: the same content under another id.
@@ -69,7 +69,7 @@ def readings(spark: SparkSession, root: str) -> DataFrame:
     Payloads are restated once and written; the rest is scanned by each reader.
     """
     snapshots, quotes, fx = (table(spark, root, n) for n in ("price_snapshot", "price_quote", "fx_rate"))
-    usual = F.broadcast(units.mean_rates(fx))  # one row per currency
+    usual = small(units.mean_rates(fx))
     s = snapshots.select(F.lit("price_snapshot").alias("record_table"), F.col("row_id").alias("record_id"), *SERIES, "as_of", "observed_at", "supersedes", F.col("amount").cast("double").alias("value"), F.col("currency").alias("_sign"))
     q = units.amount_units(quotes.select("quote_id", "card_uid", "source", "as_of", "observed_at", "body"), snapshots, fx)
     none = F.lit(None)

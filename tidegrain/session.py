@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cpus: str = "*", shuffle_partitions: int = 8) -> SparkSession:
@@ -76,6 +77,11 @@ def release(spark: SparkSession) -> int:
     return len(gone)
 
 
+def small(df: DataFrame, most: int = 10_000) -> DataFrame:
+    """``df`` with a broadcast hint if it has at most ``most`` rows, else as it is: the join then shuffles it."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def spread(df: DataFrame) -> DataFrame:
     """``df`` over at least as many partitions as there are cores, for costly passes over few large splits.
 
