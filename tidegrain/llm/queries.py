@@ -23,7 +23,16 @@ def p3_found(spark: SparkSession, root: str) -> DataFrame:
 def _rarities(spark: SparkSession, root: str) -> DataFrame:
     rows = table(spark, root, "targets").where("game = 'pkmn'").select(F.col("target_id").alias("id"), F.col("rarity").alias("value"))
     vocab = table(spark, root, "rarity_vocabulary").where("game = 'pokemon'").select(F.col("rarity_id").alias("entry_id"), F.col("rarity").alias("entry"))
-    return vocabulary.map_to_vocabulary(rows, vocab)
+    tied = spark.sql(
+        """
+        WITH t AS (SELECT target_id AS id, lower(regexp_replace(regexp_replace(set_code, '^set ', ''), '[^A-Za-z0-9]', '')) AS s, CAST(regexp_extract(number, '([0-9]{1,9})[*]?( *[/-] *[0-9]+)?$', 1) AS BIGINT) AS i
+          FROM {targets} WHERE game = 'pkmn' AND number RLIKE '[0-9]{1,9}[*]?( *[/-] *[0-9]+)?$'),
+        c AS (SELECT lower(regexp_replace(set_code, '[^A-Za-z0-9]', '')) AS s, CAST(regexp_extract(number, '([0-9]{1,9})[*]?( *[/-] *[0-9]+)?$', 1) AS BIGINT) AS i, rarity AS entry
+          FROM {cards} WHERE game = 'pkmn' AND rarity IS NOT NULL AND variant NOT IN ('parallel', 'manga_rare') AND number RLIKE '[0-9]{1,9}[*]?( *[/-] *[0-9]+)?$')
+        SELECT id, entry FROM t JOIN c ON t.s = c.s AND t.i = c.i""".replace("{1,9}", "{{1,9}}"),
+        targets=table(spark, root, "targets"), cards=table(spark, root, "cards"),
+    )
+    return vocabulary.map_to_vocabulary(rows, vocab, tied)
 
 
 def p6_found(spark: SparkSession, root: str) -> DataFrame:

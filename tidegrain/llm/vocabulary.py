@@ -8,36 +8,29 @@ wins, ties going to the lowest id; values without any are reported by an anti-jo
 
 Values are compared in normal form: full-width letters made plain, lower case, marks such as brackets,
 stars and edition notes removed. Besides its own string an entry has the forms with its words sorted
-(for swapped words), known translations, its initials if no other entry has them (equality only), and
-shortened words ending in a period are matched as prefixes after an equality join on the first three
-letters.
+(for swapped words) and its initials if no other entry has them (equality only); shortened words ending in a
+period are matched as prefixes of an entry's words after an equality join on the initials of all words, which
+every shortening keeps.
+
+Names in other languages share no letters with an entry. They are learned, not listed: of the rows whose value
+matched nothing, those that other keys tie to catalogue records tell what a value stands for. A value that is
+tied ``LEAST`` times or more, to one entry in ``AGREED`` of the cases, becomes a further form of that entry, and
+what is still unmatched goes through the same join against these forms.
 
 Defined cases: null values and values that are entries letter for letter give no row; empty and blank
 values are unmatched; values of any length are handled whole; repeated rows each get a row; an empty
-vocabulary leaves everything unmatched; an empty table gives an empty result; only named columns are
-read. No part of the vocabulary or of the values is collected; nothing is broadcast by hint.
+vocabulary leaves everything unmatched; without evidence nothing is learned; an empty table gives an empty result;
+only named columns are read. No part of the vocabulary or of the values is collected; nothing is broadcast by hint.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-#: Translations of rarity names found in listings, by the name they stand for.
-TRANSLATIONS = {
-    "Ordinary": ("Gewöhnlich", "Ordinaire", "オーディナリー"),
-    "Twin Rare": ("Zwilling Rare", "Rare Jumelle", "ツインレア"),
-    "Mural Rare": ("Wandbild Rare", "Rare Murale", "ミューラルレア"),
-    "Special Mural Rare": ("Spezial-Wandbild Rare", "Rare Murale Spéciale", "スペシャルミューラルレア"),
-    "Hidden Rare": ("Versteckt Rare", "ヒドゥンレア"),
-    "Hidden Rare Rainbow": ("Rare cachée arc-en-ciel",),
-    "Silver Star Foil": ("Silberstern Folie", "Étoile d'argent brillante", "シルバースターフォイル"),
-    "Golden Star Foil": ("Goldstern Folie", "Étoile d'or brillante", "ゴールデンスターフォイル"),
-    "Event Stamp": ("Event-Stempel", "Sello de evento", "イベントスタンプ"),
-    "Legendary Pair": ("Legendäres Paar", "Pareja legendaria", "レジェンダリーペア"),
-    "Monochrome Rare": ("モノクロームレア",),
-    "Character Portrait": ("Portrait de personnage", "キャラクターポートレート"),
-    "Sunset Break": ("Sonnenuntergang Break", "サンセットブレイク"),
-}
+from tidegrain.session import written
+
+#: Rows that must tie a value to records, and the share of them that must agree, before it stands for an entry.
+LEAST, AGREED = 2, 0.8
 
 #: Full-width characters and their plain counterparts.
 WIDE = "".join(chr(c) for c in range(0xFF21, 0xFF3B)) + "".join(chr(c) for c in range(0xFF41, 0xFF5B)) + "　"
@@ -60,18 +53,34 @@ def normal_form(column: str, every: str = "") -> str:
     return f"trim(regexp_replace({s}, '[^{slash}pL{slash}pN.]+', ' '{every}))"
 
 
-def translation_rows() -> str:
-    """A VALUES list of (entry, translation)."""
-    quote = lambda t: "'" + t.replace("'", "\\'") + "'"
-    return ", ".join(f"({quote(k)}, {quote(v)})" for k, vs in TRANSLATIONS.items() for v in vs)
+#: The initials of the words of ``words``, joined: one equality key for a name and every shortening of its words.
+INITIALS = "array_join(transform(split(words, ' '), w -> left(w, 1)), '')"
+
+_OWN_FORMS = f"""
+    initials AS (
+      SELECT min(entry_id) AS entry_id, s FROM (
+        SELECT entry_id, array_join(transform(split(words, ' '), w -> CASE WHEN length(w) <= 2 THEN w ELSE left(w, 1) END), '') AS s FROM entries)
+      WHERE length(s) >= 3 GROUP BY s HAVING count(*) = 1),
+    forms AS (
+      SELECT entry_id, 'own' AS form, replace(words, ' ', '') AS r FROM entries
+      UNION ALL SELECT entry_id, 'sorted', array_join(array_sort(split(words, ' ')), '') FROM entries),
+    short AS (
+      SELECT n.value, e.entry_id, 0 AS distance
+      FROM (SELECT value, words, {INITIALS} AS k FROM n WHERE words RLIKE '[^ .][.]( |$)') n
+      JOIN (SELECT entry_id, words, {INITIALS} AS k FROM entries) e ON n.k = e.k AND e.words RLIKE concat('^', regexp_replace(n.words, '[.]', '[^ ]*'), '$')),
+    spelled AS (SELECT a.value, i.entry_id, 0 AS distance FROM asked a JOIN initials i ON a.s = i.s WHERE a.form = 'own'),"""
+_LEARNED_FORMS = """
+    forms AS (SELECT entry_id, 'own' AS form, replace(replace(words, '.', ''), ' ', '') AS r FROM entries),"""
 
 
-def match_values(values: DataFrame, vocabulary: DataFrame) -> DataFrame:
+def match_values(values: DataFrame, vocabulary: DataFrame, learned: bool = False) -> DataFrame:
     """``(value, entry_id, distance)`` for every distinct ``value`` that has an entry.
 
-    ``values (value)``; ``vocabulary (entry_id, entry)``.
+    ``values (value)``; ``vocabulary (entry_id, entry)``; with ``learned`` its entries are taken as they are,
+    without initials, sorted words and shortenings.
     """
     spark = values.sparkSession
+    more = "" if learned else "UNION ALL SELECT * FROM short UNION ALL SELECT * FROM spelled"
     sql = f"""
     WITH v AS (SELECT DISTINCT value FROM {{values}} WHERE value IS NOT NULL),
     n AS (SELECT value, {normal_form('value')} AS words FROM v),
@@ -79,15 +88,7 @@ def match_values(values: DataFrame, vocabulary: DataFrame) -> DataFrame:
       SELECT value, 'own' AS form, replace(replace(words, '.', ''), ' ', '') AS s FROM n
       UNION ALL SELECT value, 'sorted', array_join(array_sort(split(replace(words, '.', ''), ' ')), '') FROM n),
     entries AS (SELECT entry_id, entry, {normal_form('entry')} AS words FROM {{vocabulary}} WHERE entry IS NOT NULL),
-    initials AS (
-      SELECT min(entry_id) AS entry_id, s FROM (
-        SELECT entry_id, array_join(transform(split(words, ' '), w -> CASE WHEN length(w) <= 2 THEN w ELSE left(w, 1) END), '') AS s FROM entries)
-      WHERE length(s) >= 3 GROUP BY s HAVING count(*) = 1),
-    translated AS (SELECT e.entry_id, {normal_form('t.word')} AS words FROM entries e JOIN (VALUES {translation_rows()}) AS t(entry, word) ON e.entry = t.entry),
-    forms AS (
-      SELECT entry_id, 'own' AS form, replace(words, ' ', '') AS r FROM entries
-      UNION ALL SELECT entry_id, 'sorted', array_join(array_sort(split(words, ' ')), '') FROM entries
-      UNION ALL SELECT entry_id, 'own', replace(replace(words, '.', ''), ' ', '') FROM translated),
+    {_LEARNED_FORMS if learned else _OWN_FORMS}
     cut AS (SELECT entry_id, form, r, l, {EDITS} AS k FROM (SELECT *, length(r) AS l FROM forms) WHERE l > 0),
     segments AS (
       SELECT entry_id, form, r, l, k, i, substring(r, CAST(floor(i * l / (k + 1)) AS INT) + 1, CAST(floor((i + 1) * l / (k + 1)) - floor(i * l / (k + 1)) AS INT)) AS part
@@ -105,29 +106,38 @@ def match_values(values: DataFrame, vocabulary: DataFrame) -> DataFrame:
     near AS (
       SELECT value, entry_id, levenshtein(s, r, k) AS distance
       FROM (SELECT DISTINCT p.value, p.s, g.entry_id, g.r, g.k FROM probes p JOIN segments g ON p.form = g.form AND p.l = g.l AND p.i = g.i AND p.part = g.part)),
-    short AS (
-      SELECT n.value, e.entry_id, 0 AS distance
-      FROM (SELECT value, words FROM n WHERE words RLIKE '[^ .][.]( |$)') n
-      JOIN entries e ON left(n.words, 3) = left(e.words, 3) AND e.words RLIKE concat('^', regexp_replace(n.words, '[.]', '[^ ]*'), '$')),
-    spelled AS (SELECT a.value, i.entry_id, 0 AS distance FROM asked a JOIN initials i ON a.s = i.s WHERE a.form = 'own'),
-    found AS (
-      SELECT value, entry_id, distance FROM near WHERE distance >= 0
-      UNION ALL SELECT * FROM short UNION ALL SELECT * FROM spelled)
+    found AS (SELECT value, entry_id, distance FROM near WHERE distance >= 0 {more})
     SELECT value, best.entry_id, best.distance
     FROM (SELECT value, min(struct(distance, entry_id)) AS best FROM found GROUP BY value)
     """
     return spark.sql(sql, values=values, vocabulary=vocabulary)
 
 
-def map_to_vocabulary(rows: DataFrame, vocabulary: DataFrame) -> DataFrame:
+def learned_names(rows: DataFrame, evidence: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """``(entry_id, entry)``: values of ``rows (id, value)`` that ``evidence (id, entry)`` ties to one entry."""
+    return rows.sparkSession.sql(
+        f"""
+        WITH tied AS (SELECT r.value, v.entry_id, count(*) AS n FROM {{r}} r JOIN {{e}} e ON r.id = e.id JOIN {{v}} v ON e.entry = v.entry GROUP BY r.value, v.entry_id),
+        shares AS (SELECT value, max(struct(n, -entry_id AS e)) AS best, sum(n) AS tied FROM tied GROUP BY value)
+        SELECT -best.e AS entry_id, value AS entry FROM shares WHERE best.n >= {LEAST} AND best.n >= {AGREED} * tied""",
+        r=rows, e=evidence, v=vocabulary,
+    )
+
+
+def map_to_vocabulary(rows: DataFrame, vocabulary: DataFrame, evidence: DataFrame | None = None) -> DataFrame:
     """``(id, entry_id, distance)``: per row the entry meant, -1 and null where there is none.
 
-    ``rows (id, value)``; ``vocabulary (entry_id, entry)``. Rows whose value is null or an entry letter
-    for letter are left out.
+    ``rows (id, value)``; ``vocabulary (entry_id, entry)``; ``evidence (id, entry)``: for some rows the entry of a
+    catalogue record that other keys tie them to. Rows whose value is null or an entry letter for letter are left out.
     """
     spark = rows.sparkSession
     open_rows = spark.sql("SELECT r.id, r.value FROM {r} r LEFT ANTI JOIN {v} v ON r.value = v.entry WHERE r.value IS NOT NULL", r=rows, v=vocabulary)
     matched = match_values(open_rows.select("value"), vocabulary)
+    if evidence is not None:
+        matched = written(matched)  # one row per distinct value
+        rest = spark.sql("SELECT o.id, o.value FROM {o} o LEFT ANTI JOIN {m} m ON o.value = m.value", o=open_rows, m=matched)
+        names = written(learned_names(rest, evidence, vocabulary))
+        matched = matched.unionByName(match_values(rest.select("value"), names, learned=True))
     return spark.sql(
         """SELECT o.id, m.entry_id, m.distance FROM {o} o JOIN {m} m ON o.value = m.value
         UNION ALL SELECT o.id, -1, CAST(NULL AS INT) FROM {o} o LEFT ANTI JOIN {m} m ON o.value = m.value""",
