@@ -1,12 +1,15 @@
 """Filling fixed-capacity containers with items by swap-based local search.
 
-Items larger than a container are cut into full containers and a rest; nothing else is split. Items
-are dealt by hash into shards of a bounded number of containers, each packed by one task: best fit in
-decreasing order, then local search that moves an item into another container, exchanges one for one,
-or two for one, whenever that raises the sum of squared fills, until nothing improves or the sweeps
-are used up. Raising the sum of squares fills full containers further and empties the others, which
-then disappear. Each shard leaves about one container underfull, so waste is about one in
-``BINS_PER_SHARD`` over the search's own.
+Items larger than a container are cut into full containers and a rest; nothing else is split. Items are dealt
+by hash into shards of a bounded number of containers, one task each. A shard's items are put one after the other into
+containers (next fit, which leaves about a fifth unused), then the search moves an item into another container,
+exchanges one for one, or two for one, whenever that raises the sum of squared fills, until no exchange does. Raising
+the sum of squares fills full containers further and empties the others, which then disappear. The sum is a whole
+number that rises with every exchange and is bounded, so the search ends.
+
+A shard is left with about one container that its items cannot fill. Containers filled under ``CARRIED`` are opened again
+and their items dealt into fewer shards in a next round, until one shard takes them all: rounds grow with the
+logarithm of the shards, and what they carry shrinks by about ``BINS_PER_SHARD`` each time.
 
 Defined cases: items without a size or of size 0 take no container and are left out; items of exactly
 the capacity fill one; repeated keys are packed as often as they occur; an empty table gives an empty
@@ -24,36 +27,29 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidegrain.session import written
+
 CAPACITY = 1024
 BINS_PER_SHARD = 1000
-SWEEPS = 6
+#: Share of a container under which it is opened again for the next round.
+CARRIED = 0.95
 
 
-def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
-    """Bins of item numbers: largest first, each into the fullest bin that holds it."""
+def next_fit(sizes: list[int], capacity: int) -> list[list[int]]:
+    """Bins of item numbers: each item into the last bin, or a new one where it does not fit."""
     bins: list[list[int]] = []
-    by_gap: list[list[int]] = [[] for _ in range(capacity + 1)]
-    open_gaps = 0  # bit g: some bin has gap g
-    for i in sorted(range(len(sizes)), key=lambda i: -sizes[i]):
-        s = sizes[i]
-        fitting = open_gaps >> s
-        if fitting:
-            g = s + ((fitting & -fitting).bit_length() - 1)
-            b = by_gap[g].pop()
-            if not by_gap[g]:
-                open_gaps ^= 1 << g
-            bins[b].append(i)
-        else:
-            b, g = len(bins), capacity
-            bins.append([i])
-        if g - s:
-            by_gap[g - s].append(b)
-            open_gaps |= 1 << (g - s)
+    room = 0
+    for i, s in enumerate(sizes):
+        if s > room:
+            bins.append([])
+            room = capacity
+        bins[-1].append(i)
+        room -= s
     return bins
 
 
-def improve(bins: list[list[int]], sizes: list[int], capacity: int, sweeps: int = SWEEPS) -> list[list[int]]:
-    """Local search on the underfull bins; the sum of squared fills never falls.
+def improve(bins: list[list[int]], sizes: list[int], capacity: int, sweeps: int | None = None) -> list[list[int]]:
+    """Local search on the underfull bins until no exchange raises the sum of squared fills, or for ``sweeps`` passes.
 
     Every bin gets the exchange that fills it most, found exactly: one heap of bins, emptiest first, per
     size of an item and per sum of two, and bit masks of the sizes that exist.
@@ -121,8 +117,9 @@ def improve(bins: list[list[int]], sizes: list[int], capacity: int, sweeps: int
 
     for b in range(len(bins)):
         offer(b)
-    for _ in range(sweeps):
-        done = 0
+    passed = 0
+    while sweeps is None or passed < sweeps:
+        passed, done = passed + 1, 0
         for a in sorted((b for b in range(len(bins)) if bins[b] and fill[b] < capacity), key=lambda b: -fill[b]):
             found = best(a) if bins[a] and fill[a] < capacity else None
             if found:
@@ -147,21 +144,22 @@ def _bits(mask: int) -> Iterator[int]:
         mask ^= low
 
 
-def _pack_shard(capacity: int, sweeps: int):
+def _pack_shard(capacity: int, sweeps: int | None, turn: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["size", "key", "piece"], kind="stable").reset_index(drop=True)
+        pdf = pdf.sort_values(["order", "key", "piece"], kind="stable").reset_index(drop=True)
         sizes = pdf["size"].tolist()
-        bins = improve(best_fit(sizes, capacity), sizes, capacity, sweeps)
-        container, shard = [0] * len(sizes), int(pdf["shard"].iloc[0])
+        bins = improve(next_fit(sizes, capacity), sizes, capacity, sweeps)
+        container, fill, shard = [0] * len(sizes), [0] * len(sizes), int(pdf["shard"].iloc[0])
         for n, b in enumerate(bins):
+            used = sum(sizes[i] for i in b)
             for i in b:
-                container[i] = (shard << 32) + n
-        return pdf[["key", "piece", "size"]].assign(container=container)
+                container[i], fill[i] = (turn << 56) + (shard << 24) + n, used
+        return pdf[["key", "piece", "size"]].assign(container=container, fill=fill)
 
     return run
 
 
-def pack(items: DataFrame, key: str, size: str, capacity: int = CAPACITY, bins_per_shard: int = BINS_PER_SHARD, sweeps: int = SWEEPS) -> DataFrame:
+def pack(items: DataFrame, key: str, size: str, capacity: int = CAPACITY, bins_per_shard: int = BINS_PER_SHARD, sweeps: int | None = None) -> DataFrame:
     """``(key, piece, size, container)``: where each item, or each piece of an oversized one, goes.
 
     Containers of full pieces have numbers below 0.
@@ -169,12 +167,22 @@ def pack(items: DataFrame, key: str, size: str, capacity: int = CAPACITY, bins_p
     kind = items.schema[key].dataType.simpleString()
     rows = items.where(F.col(size) > 0).select(F.col(key).alias("key"), F.col(size).cast("bigint").alias("size"))
     pieces = F.ceil(F.col("size") / capacity).cast("int")
-    cut = F.transform(F.sequence(F.lit(0), pieces - 1), lambda p: F.struct(p.alias("piece"), F.least(F.lit(capacity).cast("bigint"), F.col("size") - p * capacity).alias("size")))
-    rows = rows.select("key", F.explode(cut).alias("c")).select("key", "c.piece", "c.size")
-    full = rows.where(F.col("size") == capacity).withColumn("container", -1 - F.monotonically_increasing_id())
-    part = rows.where(F.col("size") < capacity)
-    total = part.agg(F.sum("size")).first()[0] or 0
-    shards = max(1, math.ceil(total / (capacity * bins_per_shard)))
-    part = part.withColumn("shard", F.pmod(F.xxhash64("key", "piece", "size"), F.lit(shards)).cast("int"))
-    packed = part.groupBy("shard").applyInPandas(_pack_shard(capacity, sweeps), f"key {kind}, piece int, size bigint, container bigint")
-    return packed.unionByName(full).withColumnRenamed("key", key)
+    parts = F.transform(F.sequence(F.lit(0), pieces - 1), lambda p: F.struct(p.alias("piece"), F.least(F.lit(capacity).cast("bigint"), F.col("size") - p * capacity).alias("size")))
+    rows = rows.select("key", F.explode(parts).alias("c")).select("key", "c.piece", "c.size")
+    done = rows.where(F.col("size") == capacity).withColumn("container", -1 - F.monotonically_increasing_id())
+    todo, turn, schema = rows.where(F.col("size") < capacity), 0, f"key {kind}, piece int, size bigint, container bigint, fill bigint"
+    total = todo.agg(F.sum("size")).first()[0] or 0
+    while True:
+        shards = max(1, math.ceil(total / (capacity * bins_per_shard)))
+        order = F.xxhash64("key", "piece", "size", F.lit(turn))
+        dealt = todo.withColumn("order", order).withColumn("shard", F.pmod(F.shiftright("order", 8), F.lit(shards)).cast("int"))
+        packed = dealt.groupBy("shard").applyInPandas(_pack_shard(capacity, sweeps, turn), schema)
+        if shards == 1:
+            return done.unionByName(packed.drop("fill")).withColumnRenamed("key", key)
+        packed = written(packed)
+        kept = F.col("fill") >= CARRIED * capacity
+        done = done.unionByName(packed.where(kept).drop("fill"))
+        todo, turn = packed.where(~kept).select("key", "piece", "size"), turn + 1
+        before, total = total, todo.agg(F.sum("size")).first()[0] or 0
+        if total * 2 > before:  # items that fill no container well gain nothing from another deal
+            return done.unionByName(packed.where(~kept).drop("fill")).withColumnRenamed("key", key)
