@@ -39,8 +39,9 @@ def test_a_source_that_runs_out_is_used_as_often_as_allowed(spark):
 
 
 def test_every_stretch_holds_the_shares(spark):
-    plan = [{"source": "a", "upto": 0.5}, {"source": "b", "upto": 0.8}, {"source": "c", "upto": 1.0}]
-    sched = sorted(mixing.schedule(spark, plan, 3000).collect())
+    plan = spark.createDataFrame([("a", 0.0, 0.5), ("b", 0.5, 0.8), ("c", 0.8, 2.0)], "source string, low double, upto double")
+    sched = sorted(mixing.schedule(plan, 3000).collect())
+    assert [r["slot"] for r in sched] == list(range(3000))
     for lo in range(0, 3000, 500):
         part = [r["source"] for r in sched[lo : lo + 500]]
         assert abs(part.count("a") - 250) < 6 and abs(part.count("b") - 150) < 6
@@ -50,7 +51,7 @@ def test_every_stretch_holds_the_shares(spark):
 
 def test_prefix_sums_in_buckets_equal_one_sum(spark, monkeypatch):
     s, w = frames(spark, corpus(), [("a", 0.5, 1), ("b", 0.5, 2)])
-    plan = mixing.plan(s, w)["sources"]
+    plan, _ = mixing.plan(s, w)
     monkeypatch.setattr(mixing, "BUCKET", 100)
     for src in "ab":
         at = 0
@@ -59,6 +60,18 @@ def test_prefix_sums_in_buckets_equal_one_sum(spark, monkeypatch):
             at += r["tokens"]
 
 
+def test_any_number_of_sources(spark):
+    """Far more sources than cells: every slot has exactly one, in proportion to the shares."""
+    n = 12_000
+    s = spark.range(n).selectExpr("id AS key", "concat('s', id) AS source", "10L AS tokens")
+    w = spark.range(n).selectExpr("concat('s', id) AS source", "CASE WHEN id < 10 THEN 100.0D ELSE 1.0D END AS target_share", "400 AS max_repeats")
+    sources, slots = mixing.plan(s, w, total=13_000 * 10, block=10)
+    got = mixing.schedule(sources, slots).groupBy("source").count().collect()
+    by = {r["source"]: r["count"] for r in got}
+    assert slots == 13_000 and sum(by.values()) == 13_000
+    assert all(abs(by[f"s{i}"] - 13_000 * 100 / 12_990) < 3 for i in range(10)) and max(by[k] for k in by if int(k[1:]) >= 10) <= 3
+
+
 def test_nulls_and_empty_tables(spark):
     for sizes, weights in (([], [("a", 1.0, 1)]), ([(1, "a", 5)], []), ([(1, None, 5), (2, "a", 0)], [("a", 1.0, 1), (None, 0.5, 1), ("b", None, None)])):
         s, w = frames(spark, sizes, weights)

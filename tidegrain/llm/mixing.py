@@ -11,8 +11,9 @@ share within its repeats; given a larger one, sources run out and their later sl
 queries give ``corpus_total``, so that no scarce source decides how much of the others is used.
 
 No source is summed or ranked in one task: prefix sums and ranks are taken within buckets of bounded
-size and offset by one row per source and bucket. The table of weights is a setting, one row per
-source; more than ``MOST_SOURCES`` are refused.
+size and offset by one row per source and bucket. Sources are a table like any other, of any number of rows: a
+slot finds its source through the cell of a grid in which its point lies, an equality join, and an exact test of the
+source's half-open interval; only the number of slots reaches the driver.
 
 Defined cases: sources without a weight, and documents without a source or of size 0, take no part;
 listed sources without documents get no slot, the others keep their proportions; null shares or
@@ -27,10 +28,11 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidegrain.session import cut
+from tidegrain.session import cut, small
 
 BLOCK_TOKENS = 4096
-MOST_SOURCES = 10_000
+#: Cells of the grid over the cumulative shares.
+CELLS = 4096
 #: Documents or slots that one task orders.
 BUCKET = 50_000
 GOLDEN = (math.sqrt(5) - 1) / 2
@@ -42,51 +44,45 @@ def corpus_total(sizes: DataFrame, weights: DataFrame) -> int:
     return sizes.where("tokens > 0").join(listed, "source", "left_semi").agg(F.sum("tokens")).first()[0] or 0
 
 
-def plan(sizes: DataFrame, weights: DataFrame, total: int | None = None, block: int = BLOCK_TOKENS) -> dict:
-    """Per source with documents and a weight: its size, cumulative share and repeats; and the number of slots."""
-    listed = weights.limit(MOST_SOURCES + 1).collect()
-    if len(listed) > MOST_SOURCES:
-        raise ValueError(f"more than {MOST_SOURCES} sources")
+def plan(sizes: DataFrame, weights: DataFrame, total: int | None = None, block: int = BLOCK_TOKENS) -> tuple[DataFrame, int]:
+    """``(source, size, n, low, upto, repeats)`` per source with documents and a weight, and the number of slots."""
     found = sizes.where("source IS NOT NULL AND tokens > 0").groupBy("source").agg(F.sum("tokens").alias("size"), F.count(F.lit(1)).alias("n"))
-    known = [r["source"] for r in listed if r["source"] is not None]
-    found = {r["source"]: r for r in found.where(F.col("source").isin(known)).collect()} if known else {}
-    use = [r for r in listed if r["source"] in found and (r["target_share"] or 0) > 0 and (r["max_repeats"] or 0) > 0]
-    share = sum(r["target_share"] for r in use)
-    if not use:
-        return {"sources": [], "slots": 0}
-    reach = min(found[r["source"]]["size"] * r["max_repeats"] * share / r["target_share"] for r in use)
-    slots = int(reach // block) if total is None else math.ceil(total / block)
-    acc, out = 0.0, []
-    for r in sorted(use, key=lambda r: r["source"]):
-        acc += r["target_share"] / share
-        out.append({"source": r["source"], "size": found[r["source"]]["size"], "n": found[r["source"]]["n"], "upto": acc, "repeats": r["max_repeats"]})
-    return {"sources": out, "slots": slots}
-
-
-def schedule(spark, sources: list[dict], slots: int) -> DataFrame:
+    listed = weights.where("target_share > 0 AND max_repeats > 0 AND source IS NOT NULL").groupBy("source").agg(F.sum("target_share").alias("share"), F.max("max_repeats").alias("repeats"))
+    use = listed.join(found, "source")
+    order = Window.orderBy("source")  # one row per source
+    before = F.coalesce(F.sum("share").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    every = F.sum("share").over(Window.partitionBy(F.lit(0)))
+    use = cut(use.select("source", "size", "n", "repeats", "share", every.alias("_all"), (before / every).alias("low"), F.lead(F.lit(0)).over(order).isNull().alias("_last")))
+    upto = F.when(F.col("_last"), 2.0).otherwise(F.col("low") + F.col("share") / F.col("_all"))
+    reach = use.agg(F.min(F.col("size") * F.col("repeats") * F.col("_all") / F.col("share"))).first()[0]
+    slots = 0 if reach is None else int(reach // block) if total is None else math.ceil(total / block)
+    # An interval begins where the one before it ends, to the last bit.
+    low = F.coalesce(F.lag(upto).over(order), F.lit(0.0))
+    return use.select("source", "size", "n", low.alias("low"), upto.alias("upto"), "repeats"), slots
+
+
+def schedule(sources: DataFrame, slots: int) -> DataFrame:
     """``(slot, source, rank)``: the source of every slot and its rank among the source's slots."""
-    names = F.array(*[F.lit(s["source"]) for s in sources])
-    upto = F.array(*[F.lit(s["upto"]) for s in sources])
-    point = F.pmod((F.col("slot") + F.lit(0.5)) * F.lit(GOLDEN), F.lit(1.0))
-    at = F.least(F.size(F.filter(upto, lambda u: u <= point)) + 1, F.lit(len(sources)))
-    s = spark.range(slots).select(F.col("id").alias("slot")).select("slot", F.element_at(names, at).alias("source"), F.floor(F.col("slot") / BUCKET).alias("chunk"))
+    cell = lambda c: F.floor(F.least(c, F.lit(1.0)) * CELLS)
+    grid = sources.select(F.col("source").alias("source"), "low", "upto", F.explode(F.sequence(cell(F.col("low")), cell(F.col("upto")))).alias("cell"))
+    point = F.pmod((F.col("id") + F.lit(0.5)) * F.lit(GOLDEN), F.lit(1.0))
+    s = sources.sparkSession.range(slots).select(F.col("id").alias("slot"), point.alias("point")).withColumn("cell", cell(F.col("point")))
+    s = s.join(small(grid), "cell").where((F.col("low") <= F.col("point")) & (F.col("point") < F.col("upto"))).select("slot", "source", F.floor(F.col("slot") / BUCKET).alias("chunk"))
     before = Window.partitionBy("source").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     offset = s.groupBy("source", "chunk").count().select("source", "chunk", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("offset"))
     inside = F.row_number().over(Window.partitionBy("source", "chunk").orderBy("slot")) - 1
     return s.withColumn("inside", inside).join(offset, ["source", "chunk"]).select("slot", "source", (F.col("offset") + F.col("inside")).alias("rank"))
 
 
-def starts(sizes: DataFrame, sources: list[dict], seed: int) -> DataFrame:
-    """``(source, key, tokens, start)``: documents in shuffled order with the size before each."""
-    buckets = F.lit(1)
-    for s in sources:
-        buckets = F.when(F.col("source") == s["source"], F.lit(max(1, math.ceil(s["n"] / BUCKET)))).otherwise(buckets)
+def starts(sizes: DataFrame, sources: DataFrame, seed: int) -> DataFrame:
+    """``(source, key, tokens, start, size, repeats)``: documents in shuffled order with the size before each."""
     order = F.xxhash64("key", F.lit(seed))
-    d = sizes.where((F.col("tokens") > 0) & F.col("source").isin([s["source"] for s in sources])).withColumn("h", order).withColumn("bucket", F.pmod(F.shiftright("h", 7), buckets))
+    d = sizes.where("tokens > 0").select("source", "key", "tokens").join(small(sources.select("source", "size", "n", "repeats")), "source").withColumn("h", order)
+    d = d.withColumn("bucket", F.pmod(F.shiftright("h", 7), F.greatest(F.ceil(F.col("n") / BUCKET), F.lit(1))))
     before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offset = d.groupBy("source", "bucket").agg(F.sum("tokens").alias("t")).select("source", "bucket", F.coalesce(F.sum("t").over(before), F.lit(0)).alias("offset"))
     inside = F.coalesce(F.sum("tokens").over(Window.partitionBy("source", "bucket").orderBy("h", "key").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return d.withColumn("inside", inside).join(offset, ["source", "bucket"]).select("source", "key", "tokens", (F.col("offset") + F.col("inside")).alias("start"))
+    return d.withColumn("inside", inside).join(offset, ["source", "bucket"]).select("source", "key", "tokens", (F.col("offset") + F.col("inside")).alias("start"), "size", "repeats")
 
 
 def mix(sizes: DataFrame, weights: DataFrame, total: int | None = None, block: int = BLOCK_TOKENS, seed: int = 0) -> DataFrame:
@@ -94,19 +90,10 @@ def mix(sizes: DataFrame, weights: DataFrame, total: int | None = None, block: i
 
     ``sizes (key, source, tokens)``; ``weights (source, target_share, max_repeats)``.
     """
-    spark = sizes.sparkSession
-    p = plan(sizes, weights, total, block)
-    kind = sizes.schema["key"].dataType.simpleString()
-    if not p["slots"]:
-        return spark.createDataFrame([], f"slot bigint, source string, key {kind}, repeat int, tokens bigint")
-    length, repeats = F.lit(0).cast("bigint"), F.lit(0)
-    for s in p["sources"]:
-        length = F.when(F.col("source") == s["source"], F.lit(s["size"]).cast("bigint")).otherwise(length)
-        repeats = F.when(F.col("source") == s["source"], F.lit(s["repeats"])).otherwise(repeats)
-    plan_slots = schedule(spark, p["sources"], p["slots"])
-    turn = starts(sizes, p["sources"], seed).withColumn("repeat", F.explode(F.sequence(F.lit(0), repeats - 1)))
-    turn = turn.withColumn("rank", F.floor((F.col("start") + F.col("repeat") * length) / block))
-    got = turn.join(plan_slots, ["source", "rank"])
+    sources, slots = plan(sizes, weights, total, block)
+    turn = starts(sizes, sources, seed).withColumn("repeat", F.explode(F.sequence(F.lit(0), F.col("repeats") - 1)))
+    turn = turn.withColumn("rank", F.floor((F.col("start") + F.col("repeat") * F.col("size")) / block))
+    got = turn.join(schedule(sources, slots), ["source", "rank"])
     return got.select("slot", "source", "key", F.col("repeat").cast("int").alias("repeat"), "tokens")
 
 
@@ -114,7 +101,7 @@ def shares(mixed: DataFrame, weights: DataFrame) -> DataFrame:
     """Per listed source its target, the share reached and what it falls short by, its size in the mix and the most repeats used."""
     got = mixed.groupBy("source").agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("documents"), F.max(F.col("repeat") + 1).alias("repeats"))
     all_tokens = got.agg(F.sum("tokens").alias("all"))  # one row
-    out = weights.select("source", "target_share", "max_repeats").join(got, "source", "left").join(F.broadcast(all_tokens))
+    out = weights.select("source", "target_share", "max_repeats").join(got, "source", "left").join(small(all_tokens))
     actual = F.coalesce(F.round(F.col("tokens") / F.col("all"), 6), F.lit(0.0))
     return out.select(
         "source", "target_share", actual.alias("actual_share"), F.greatest(F.round(F.col("target_share") - actual, 6), F.lit(0.0)).alias("short_by"), F.coalesce("tokens", F.lit(0)).alias("tokens"),
