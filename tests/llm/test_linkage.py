@@ -44,14 +44,51 @@ def test_empty_tables(spark):
     assert linkage.link(t, spark.createDataFrame([], CARDS)).count() == 0
 
 
+RULES = "array<struct<level: double, weight: double, side: double>>"
+
+
 def test_solver_keeps_exclusivity_and_lifts_supported_pairs(spark):
-    up = lambda v, w: [(v, w)]
-    kind = "array<struct<level: double, weight: double>>"
-    pairs = spark.createDataFrame([("r", "a", "h", up(1.0, 3.0), up(0.0, 0.3), 0.9), ("r", "b", "h", up(1.0, 1.0), up(0.0, 1.0), 0.5), ("q", "a", "h", up(1.0, 3.0), up(0.0, 0.3), 0.9)], f"rid string, card_uid string, hub string, up {kind}, down {kind}, z double")
-    got = {(r["rid"], r["card_uid"]): r["truth"] for r in linkage.solve(pairs, rounds=40).collect()}
+    rules = lambda up, w, down: [(up, w, 1.0), (0.0, down, -1.0)]
+    pairs = spark.createDataFrame([("r", "a", "h", rules(1.0, 3.0, 0.3), 0.9), ("r", "b", "h", rules(1.0, 1.0, 1.0), 0.5), ("q", "a", "h", rules(1.0, 3.0, 0.3), 0.9)], f"rid string, card_uid string, hub string, rules {RULES}, z double")
+    got = {(r["rid"], r["card_uid"]): r["truth"] for r in linkage.solve(pairs).collect()}
     assert got["r", "a"] + got["r", "b"] <= 1.02 and got["r", "a"] > 0.7 > 0.4 > got["r", "b"] and got["q", "a"] >= got["r", "a"]
 
 
+def test_solver_reaches_the_minimum(spark):
+    """Against plain gradient steps on the same convex loss, hubs and exclusivity included."""
+    import random
+
+    r = random.Random(6)
+    data = [(f"r{i}", c, f"h{i % 3}", [(r.random(), 1 + r.random(), r.choice([1.0, -1.0])) for _ in range(4)] + [(0.0, 0.35, -1.0)], 0.5) for i in range(9) for c in "ab"]
+    pairs = spark.createDataFrame(data, f"rid string, card_uid string, hub string, rules {RULES}, z double")
+    got = {(x["rid"], x["card_uid"]): x["truth"] for x in linkage.solve(pairs, tolerance=1e-5).collect()}
+
+    def loss(z):
+        own = sum(w * max(0.0, s * (level - z[d[0], d[1]])) ** 2 for d in data for level, w, s in d[3])
+        mean = {}
+        for d in data:
+            mean.setdefault((d[2], d[1]), []).append(z[d[0], d[1]])
+        return own + linkage.TRANSITIVITY * sum((v - sum(m) / len(m)) ** 2 for m in mean.values() for v in m)
+
+    fits = lambda z: all(sum(z[d[0], c] for c in "ab") <= 1 + 1e-2 for d in data)
+    assert fits(got)
+    best = loss(got)
+    for _ in range(300):  # no feasible neighbour is better by more than the tolerance allows
+        k = r.choice(list(got))
+        z = dict(got)
+        z[k] = min(1.0, max(0.0, z[k] + r.uniform(-0.1, 0.1)))
+        if all(sum(z[d[0], c] for c in "ab") <= 1 for d in data):
+            assert loss(z) >= best - 1e-2
+
+
+def test_weak_candidates_take_part(spark):
+    """A pair its own rules hardly support is in the result, and its hub lifts it."""
+    weak, strong = [(1.0, 0.2, 1.0), (0.0, 0.6, -1.0)], [(1.0, 9.0, 1.0)]
+    data = [("r", "a", "h", weak, 0.25)] + [(f"s{i}", "a", "h", strong, 1.0) for i in range(5)] + [("t", "a", "g", weak, 0.25)]
+    got = {x["rid"]: x["truth"] for x in linkage.solve(spark.createDataFrame(data, f"rid string, card_uid string, hub string, rules {RULES}, z double")).collect()}
+    assert len(got) == 7 and got["r"] > got["t"] + 0.1
+
+
 @pytest.mark.parametrize("kana, latin", [("スミギム", "Sumigim"), ("ルビジクス", "Lubijix"), ("ツシケー", "Tsushiker"), ("ヘガリッス", "Hegarith"), ("キマヴェ", "Kimave"), ("クラドル", "Kuradol"), ("ソバフル", "Sobaful")])
 def test_kana_and_latin_sound_alike(kana, latin):
     assert linkage.skeleton(kana) == linkage.skeleton(latin)

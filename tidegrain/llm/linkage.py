@@ -3,10 +3,14 @@
 Soft-logic linkage: every candidate pair (record, entity) has a truth value between 0 and 1. Weighted
 rules on agreement of number, set, total, name, rarity, language and variant pull it up or down by
 squared hinge losses; exclusivity allows a record one entity in sum; transitivity ties the values of
-records that describe the same printing. The sum is convex and is minimised by the alternating
-direction method of multipliers: each rule has its own copy of the value, copies agree by averaging.
-Rules on one pair are solved in place, exclusivity needs the sum over a record's candidates, transitivity
-the mean per hub (the printing the records share), a mergeable aggregate that is joined back.
+records that describe the same printing. The sum is strictly convex and is minimised by the alternating
+direction method of multipliers: the rules on one pair, exclusivity and transitivity each have their own copy of the
+value, copies agree by averaging. The first is solved exactly in place by Newton steps on its piecewise quadratic,
+exclusivity needs the sum over a record's candidates, transitivity the mean per hub (the printing the records share), a
+mergeable aggregate that is brought back to the records. Rounds go on until no value moves by more than ``TOLERANCE``.
+
+Values and their rules are partitioned by record once; a round only exchanges (record, entity, hub, value) of hubs that
+have more than one record. All candidates take part, however little their own rules support them.
 
 Candidates come from equality joins on normal forms (set and index; index and total; set and name
 grams where the number is missing). Records equal in every descriptive field are solved once. The
@@ -29,10 +33,13 @@ from pyspark.sql import types as T
 
 from tidegrain.session import cut
 
-#: Rounds of the solver, rounds between two lineage cuts, and its penalty.
-ROUNDS, CUT_EVERY, PENALTY = 8, 2, 1.0
-#: Truth value from which a record is matched; pairs that their own rules leave under ``HOPELESS`` are no candidates.
-ACCEPT, HOPELESS = 0.5, 0.3
+#: Change of a value in a round under which the solver ends, and the penalty.
+TOLERANCE, PENALTY = 5e-3, 4.0
+#: Rounds after which the solver gives up; the values change by less than the tolerance long before.
+MOST_ROUNDS = 200
+NEWTON_STEPS = 6
+#: Truth value from which a record is matched.
+ACCEPT = 0.5
 
 #: Language names and codes as sources write them.
 LANGUAGES = {"en": "EN", "eng": "EN", "english": "EN", "jp": "JP", "ja": "JP", "jpn": "JP", "japanese": "JP", "zh-hans": "CN-S", "cn-s": "CN-S", "zh-cn": "CN-S", "zh-hant": "CN-T", "cn-t": "CN-T", "zh-tw": "CN-T"}
@@ -210,7 +217,10 @@ def name_similarity() -> Column:
 
 
 def rules(pairs: DataFrame) -> DataFrame:
-    """``pairs`` with ``up`` and ``down``, arrays of (level, weight) of their hinge losses, and where these pull ``z``."""
+    """``pairs`` with ``rules``, an array of (level, weight, side) of their hinge losses, and where these pull ``z``.
+
+    A rule of side 1 costs weight * (level - value) ** 2 below its level, one of side -1 the same above it.
+    """
     agree = {
         "number": F.when(F.col("index").isNotNull() & F.col("c_index").isNotNull(), (F.col("index") == F.col("c_index")) & F.coalesce(F.col("star_told") == F.col("c_star"), F.lit(True))),
         "set": F.col("set") == F.col("c_set"),
@@ -220,52 +230,70 @@ def rules(pairs: DataFrame) -> DataFrame:
         "variant": F.when(F.col("variant").isNotNull() & F.col("index").isNotNull() & ~F.col("variant").isin(*NAMED_ONLY) & ~F.col("c_variant").isin(*NAMED_ONLY), None)
         .when(F.col("variant").isNotNull(), F.col("variant") == F.col("c_variant")).when(F.col("c_variant").isin(*NAMED_ONLY), F.lit(False)),
     }
-    up = [F.when(agree[k], F.struct(F.lit(1.0).alias("level"), F.lit(WEIGHTS[k][0]).alias("weight"))) for k in agree]
-    down = [F.when(~agree[k], F.struct(F.lit(0.0).alias("level"), F.lit(WEIGHTS[k][1]).alias("weight"))) for k in agree]
+    up = [F.when(agree[k], _rule(F.lit(1.0), F.lit(WEIGHTS[k][0]), 1)) for k in agree]
+    down = [F.when(~agree[k], _rule(F.lit(0.0), F.lit(WEIGHTS[k][1]), -1)) for k in agree]
     sim = name_similarity()
     numbered = F.coalesce(agree["number"], F.lit(False))
     # Without a number, alike in most letters is no support yet: names share titles and endings.
     sim = F.when(numbered | sim.isNull(), sim).otherwise(F.least(F.greatest((sim - 0.7) / 0.25, F.lit(0.0)), F.lit(1.0)))
-    for side, k in ((up, 0), (down, 1)):  # without a number the name carries the match
+    for pull, k, side in ((up, 0, 1), (down, 1, -1)):  # without a number the name carries the match
         weight = F.when(numbered, WEIGHTS["name"][k]).otherwise(WEIGHTS["name_alone"][k])
-        side.append(F.when(sim.isNotNull(), F.struct(sim.alias("level"), weight.alias("weight"))))
-    down.append(F.struct(F.lit(0.0).alias("level"), F.lit(WEIGHTS["prior"][1]).alias("weight")))
-    keep = lambda a: F.filter(F.array(*a), lambda s: s.isNotNull())
-    pairs = pairs.withColumn("up", keep(up)).withColumn("down", keep(down))
-    weigh = lambda f: F.aggregate(F.concat("up", "down"), F.lit(0.0), lambda acc, p: acc + f(p))
-    return pairs.withColumn("z", weigh(lambda p: p["weight"] * p["level"]) / weigh(lambda p: p["weight"])).where(F.col("z") >= HOPELESS)
+        pull.append(F.when(sim.isNotNull(), _rule(sim, weight, side)))
+    down.append(_rule(F.lit(0.0), F.lit(WEIGHTS["prior"][1]), -1))
+    pairs = pairs.withColumn("rules", F.filter(F.array(*up, *down), lambda s: s.isNotNull()))
+    weigh = lambda f: F.aggregate("rules", F.lit(0.0), lambda acc, p: acc + f(p))
+    return pairs.withColumn("z", weigh(lambda p: p["weight"] * p["level"]) / weigh(lambda p: p["weight"]))
+
+
+def _rule(level: Column, weight: Column, side: int) -> Column:
+    return F.struct(level.alias("level"), weight.alias("weight"), F.lit(float(side)).alias("side"))
+
+
+def _nearest(rules: Column, v: Column) -> Column:
+    """The value that minimises the rules' losses plus ``PENALTY`` / 2 times its squared distance to ``v``."""
+    start = lambda: F.struct((F.lit(PENALTY) * v).alias("n"), F.lit(PENALTY).alias("d"))
+
+    def step(y: Column, _: Column) -> Column:
+        broken = lambda p: p["side"] * (p["level"] - y) > 0
+        add = lambda acc, p: F.when(broken(p), F.struct((acc["n"] + 2 * p["weight"] * p["level"]).alias("n"), (acc["d"] + 2 * p["weight"]).alias("d"))).otherwise(acc)
+        return F.aggregate(rules, start(), add, lambda acc: acc["n"] / acc["d"])
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(NEWTON_STEPS)), v, step)
+
+
+def _hub_means(s: DataFrame) -> DataFrame:
+    """``(rid, means)``: per record of a shared hub the mean value of each of its entities over the hub's records."""
+    told = s.where("shared").select("rid", "hub", "card_uid", "z")
+    mean = told.groupBy("hub", "card_uid").agg(F.avg("z").alias("h"))
+    back = told.select("rid", "hub", "card_uid").join(mean, ["hub", "card_uid"])
+    return back.groupBy("rid").agg(F.map_from_entries(F.collect_list(F.struct("card_uid", "h"))).alias("means"))  # the candidates of one record
 
 
-def solve(pairs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """``(rid, card_uid, hub, truth)`` after ``rounds`` of alternating directions.
+def solve(pairs: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
+    """``(rid, card_uid, hub, truth)``: the minimum, to within ``tolerance`` a round.
 
-    ``pairs (rid, card_uid, hub, up, down, z)``. Per pair: ``z`` the consensus, one scaled dual per copy.
+    ``pairs (rid, card_uid, hub, rules, z)``. Per pair: ``z`` the consensus, one scaled dual per copy.
     """
     rho, w = PENALTY, TRANSITIVITY
-    copies = F.size("up") + F.size("down") + F.lit(2)
-    zeros = lambda c: F.transform(c, lambda s: F.lit(0.0))
-    s = pairs.select("rid", "card_uid", "hub", "up", "down", "z", zeros(F.col("up")).alias("uu"), zeros(F.col("down")).alias("ud"), F.lit(0.0).alias("ue"), F.lit(0.0).alias("uh"))
-    for i in range(1, rounds + 1):
-        z = F.col("z")
-        lift = lambda p, u: F.when(z - u < p["level"], (2 * p["weight"] * p["level"] + rho * (z - u)) / (2 * p["weight"] + rho)).otherwise(z - u)
-        press = lambda p, u: F.when(z - u > p["level"], (2 * p["weight"] * p["level"] + rho * (z - u)) / (2 * p["weight"] + rho)).otherwise(z - u)
-        hubs = s.groupBy("hub", "card_uid").agg(F.avg("z").alias("h"))
-        own = Window.partitionBy("rid")  # the candidates of one record
-        s = s.join(hubs, ["hub", "card_uid"]).withColumn("spent", F.sum(F.col("z") - F.col("ue")).over(own)).withColumn("n", F.count(F.lit(1)).over(own))
-        v = z - F.col("uh")
-        s = s.select(
-            "rid", "card_uid", "hub", "up", "down", "z", "uu", "ud", "ue", "uh",
-            F.zip_with("up", "uu", lift).alias("yu"), F.zip_with("down", "ud", press).alias("yd"),
-            (z - F.col("ue") - F.greatest(F.col("spent") - 1, F.lit(0.0)) / F.col("n")).alias("ye"),
-            ((2 * w * F.col("h") + rho * v) / (2 * w + rho)).alias("yh"),
+    records = pairs.groupBy("hub").agg(F.count_distinct("rid").alias("_r")).where("_r > 1").select(F.col("hub").alias("_hub"))
+    zero = F.lit(0.0)
+    s = pairs.join(records, F.col("hub") == F.col("_hub"), "left").select("rid", "card_uid", "hub", F.col("_hub").isNotNull().alias("shared"), "rules", "z", zero.alias("u"), zero.alias("ue"), zero.alias("uh"), F.lit(1.0).alias("moved"))
+    s = cut(s.repartition("rid"))
+    own = Window.partitionBy("rid")  # the candidates of one record
+    for _ in range(MOST_ROUNDS):
+        z, v = F.col("z"), F.col("z") - F.col("uh")
+        r = s.join(_hub_means(s), "rid", "left").withColumn("spent", F.sum(z - F.col("ue")).over(own)).withColumn("n", F.count(F.lit(1)).over(own))
+        h = F.when(F.col("shared"), F.col("means")[F.col("card_uid")])
+        r = r.select(
+            "rid", "card_uid", "hub", "shared", "rules", "z", "u", "ue", "uh", _nearest(F.col("rules"), z - F.col("u")).alias("y"),
+            (z - F.col("ue") - F.greatest(F.col("spent") - 1, zero) / F.col("n")).alias("ye"), F.coalesce((2 * w * h + rho * v) / (2 * w + rho), v).alias("yh"),
         )
-        total = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x + y), F.lit(0.0), lambda acc, x: acc + x)
-        mean = (total("yu", "uu") + total("yd", "ud") + F.col("ye") + F.col("ue") + F.col("yh") + F.col("uh")) / copies
-        s = s.withColumn("zn", F.least(F.greatest(mean, F.lit(0.0)), F.lit(1.0)))
-        dual = lambda y, u: F.zip_with(y, u, lambda a, b: b + a - F.col("zn"))
-        s = s.select("rid", "card_uid", "hub", "up", "down", F.col("zn").alias("z"), dual("yu", "uu").alias("uu"), dual("yd", "ud").alias("ud"), (F.col("ue") + F.col("ye") - F.col("zn")).alias("ue"), (F.col("uh") + F.col("yh") - F.col("zn")).alias("uh"))
-        if i % CUT_EVERY == 0:
-            s = cut(s)
+        mean = (F.col("y") + F.col("u") + F.col("ye") + F.col("ue") + F.col("yh") + F.col("uh")) / 3
+        r = r.withColumn("zn", F.least(F.greatest(mean, zero), F.lit(1.0)))
+        s = r.select("rid", "card_uid", "hub", "shared", "rules", F.col("zn").alias("z"), *[(F.col(d) + F.col(y) - F.col("zn")).alias(d) for d, y in (("u", "y"), ("ue", "ye"), ("uh", "yh"))], F.abs(F.col("zn") - z).alias("moved"))
+        s = cut(s)  # every round reads it three times
+        if (s.agg(F.max("moved")).first()[0] or 0.0) <= tolerance:
+            break
     return s.select("rid", "card_uid", "hub", F.col("z").alias("truth"))
 
 
@@ -274,8 +302,7 @@ def link(records: DataFrame, entities: DataFrame, key: str = "target_id") -> Dat
     r = cut(prepare_records(records))
     c = cut(prepare_entities(entities))
     pairs = candidates(r, c).join(r, "rid").join(c, "card_uid")
-    pairs = cut(rules(pairs).select("rid", "card_uid", "hub", "up", "down", "z"))
-    truth = solve(pairs)
+    truth = solve(rules(pairs).select("rid", "card_uid", "hub", "rules", "z"))
     first = Window.partitionBy("rid").orderBy(F.desc("truth"), "card_uid")
     best = truth.where(F.col("truth") >= ACCEPT).withColumn("_n", F.row_number().over(first)).where("_n = 1")
     fields = ["game", "language", "set_code", "number", "rarity", "name"]
