@@ -49,7 +49,7 @@ def some_log(seed, n=120):
     return data
 
 
-@pytest.mark.parametrize("known_at", [(), ("2025-02-01 00:00:00",), ("2025-01-20 00:00:00", "2025-03-01 00:00:00")])
+@pytest.mark.parametrize("known_at", [(), ("2025-02-01 00:00:00",), ("2025-01-20 00:00:00", "2025-03-01 00:00:00"), ("2024-06-01 00:00:00", "2025-01-10 00:00:00", "2025-01-11 00:00:00", "2025-02-15 00:00:00", "2026-01-01 00:00:00")])
 def test_versions_equal_a_full_computation(spark, known_at):
     for seed in (1, 2):
         data = some_log(seed)
@@ -70,3 +70,26 @@ def test_nulls_empty_and_only_unplaced_rows(spark):
     assert rows(rolling.rolling_totals(frame(spark, []), known_at=("2025-01-01",), **NAMED)) == []
     data = [(1, None, 5, t("2025-01-01"), t("2025-01-01"), None), (2, "a", 5, None, t("2025-01-01"), None)]
     assert rows(rolling.rolling_totals(frame(spark, data), **NAMED)) == []
+
+
+def test_a_version_writes_only_what_its_arrivals_touch(spark, tmp_path):
+    data = [(i, w, 2, t("2025-01-01") + dt.timedelta(days=i), t("2025-01-01") + dt.timedelta(days=i), None) for w in "ab" for i in range(100)]
+    data = [(n, *d[1:]) for n, d in enumerate(data)] + [(900, "a", 7, t("2025-01-11"), t("2025-06-01"), None), (901, "a", 1, t("2025-04-12"), t("2025-06-01"), None), (902, "c", 1, t("2025-01-01"), t("2025-06-01"), None)]
+    out = rolling.rolling_totals(frame(spark, data), known_at=("2025-05-01 00:00:00",), folder=str(tmp_path), **NAMED)
+    assert got(out) == brute(data)
+    second = [(r["entity"], str(r["day"])) for r in spark.read.parquet(f"{tmp_path}/state/2").collect()]
+    assert len(second) == 30 + 2 + 1  # the corrected day and the 29 after it, two days after the end, a new entity; nothing of b
+    assert {e for e, _ in second} == {"a", "c"} and min(d for e, d in second if e == "a") == "2025-01-11"
+
+
+def test_a_state_resumes_from_its_folder(spark, tmp_path):
+    data = some_log(5)
+    staged = rolling.by_version(rolling.arrivals(frame(spark, data), **NAMED), ("2025-02-01 00:00:00",))
+    first = rolling.RollingState(spark, str(tmp_path))
+    first.arrive(staged.where("version = 1"))
+    first.advance(1)
+    later = rolling.RollingState(spark, str(tmp_path))
+    later.arrive(staged.where("version = 2"))
+    later.versions = [1]
+    later.advance(2)
+    assert got(later.read()) == brute(data)

@@ -1,10 +1,16 @@
 """Rolling totals over trailing periods as a versioned daily state.
 
-A day's total over the last p days is yesterday's total plus today's arrivals minus the day that
-expires. :func:`initial_state` runs that recurrence from each entity's first day, :func:`advance`
-from the day before the earliest change, seeded with yesterday's totals of the stored state.
-All windows run over at most one row per entity and day, so an entity with any share of the log
-costs no more than its days; the log itself only meets partial aggregates.
+A day's total over the last p days is yesterday's total plus today's arrivals minus the day that expires. The state
+is a table on disk: per entity and day the amount and the totals, one folder per version, only ever appended to.
+:meth:`RollingState.advance` makes a version from what arrived since the one before. It reads that version's arrivals
+(a folder of their own), the first and last stored day of every entity, and of the entities that changed the
+stored rows it needs: the days a correction can touch, which are the changed day and the ones before its amount has
+expired, and the last days before the state's end, whose amounts expire after it. Days after the end follow by the
+recurrence from the last stored totals; touched days get the change's own recurrence added to their stored totals. All
+other rows stay as they are.
+
+All windows run over at most one row per entity and day and over arrivals folded to days, so an entity with any
+share of the log costs no more than its days; the log itself only meets partial aggregates.
 
 Defined cases: rows without entity or day have no place on the calendar and are left out; a null
 amount counts as 0 but keeps its day; an empty log gives an empty state; repeated rows are folded
@@ -16,11 +22,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidegrain.operators.corrections import with_replaced_at
-from tidegrain.session import cut
+from tidegrain.session import new_folder
 
 PERIODS = (7, 30)
 
@@ -51,94 +57,95 @@ def by_version(arrived: DataFrame, known_at: Sequence[str]) -> DataFrame:
     return arrived.groupBy("entity", "day", version.alias("version")).agg(F.sum("amount").alias("amount"), F.sum("n_rows").alias("n_rows"))
 
 
-def daily_at(staged: DataFrame, version: int) -> DataFrame:
-    """``(entity, day, amount, n_rows)`` after ``version``; only days that have a current row."""
-    got = staged.where(F.col("version") <= version).groupBy("entity", "day").agg(F.sum("amount").alias("amount"), F.sum("n_rows").alias("n_rows"))
-    return got.where("n_rows > 0")
-
-
-def _flows(daily: DataFrame, periods: Sequence[int]) -> DataFrame:
-    """Per entity and day what enters and what expires from each period's total."""
-    steps = [F.struct(F.lit(0).alias("after"), F.col("amount").alias("amount"), *[F.col("amount").alias(f"f{p}") for p in periods])]
-    for p in periods:
-        steps.append(F.struct(F.lit(p).alias("after"), F.lit(0).cast("bigint").alias("amount"), *[(-F.col("amount") if q == p else F.lit(0)).cast("bigint").alias(f"f{q}") for q in periods]))
-    return daily.select("entity", "day", F.explode(F.array(*steps)).alias("s")).select(
-        "entity", F.date_add("day", F.col("s.after")).alias("day"), F.col("s.amount").alias("amount"), *[F.col(f"s.f{p}").alias(f"f{p}") for p in periods]
-    )
-
-
-def _run(flows: DataFrame, span: DataFrame, periods: Sequence[int], version: int) -> DataFrame:
-    """Accumulate the flows over every day of ``span (entity, first, last)``."""
-    zero = [F.lit(0).cast("bigint").alias(c) for c in ("amount", *[f"f{p}" for p in periods])]
-    calendar = span.select("entity", F.explode(F.sequence("first", "last")).alias("day")).select("entity", "day", *zero, F.lit(True).alias("on"))
-    days = (
-        flows.select("entity", "day", "amount", *[f"f{p}" for p in periods], F.lit(False).alias("on"))
-        .unionByName(calendar)
-        .groupBy("entity", "day")
-        .agg(F.sum("amount").alias("amount"), *[F.sum(f"f{p}").alias(f"f{p}") for p in periods], F.max("on").alias("on"))
-    )
-    w = Window.partitionBy("entity").orderBy("day").rowsBetween(Window.unboundedPreceding, 0)
-    out = days.select("entity", "day", "amount", "on", *[F.sum(f"f{p}").over(w).alias(f"total_{p}") for p in periods])
-    return out.where("on").select(
-        "entity", "day", "amount", *[F.col(f"total_{p}") for p in periods], *[(F.col(f"total_{p}") / F.lit(p)).alias(f"avg_{p}") for p in periods], F.lit(version).alias("version")
-    )
-
-
-def _span(daily: DataFrame) -> DataFrame:
-    return daily.groupBy("entity").agg(F.min("day").alias("first"), F.max("day").alias("last"))
-
-
-def initial_state(daily: DataFrame, periods: Sequence[int] = PERIODS, version: int = 1) -> DataFrame:
-    """``(entity, day, amount, total_p, avg_p, version)`` for every day from each entity's first to its last."""
-    return _run(_flows(daily, periods), _span(daily), periods, version)
-
-
-def advance(state: DataFrame, change: DataFrame, daily: DataFrame, periods: Sequence[int] = PERIODS, version: int = 2) -> DataFrame:
-    """The rows of the next version: every day whose totals a change can touch.
-
-    ``change`` holds the net arrivals and withdrawals per entity and day, ``daily`` the daily table
-    after them. For each changed entity the recurrence restarts at its earliest changed day, or where its
-    stored days end, from yesterday's stored totals; arrivals are the new daily amounts, expiries the amounts that leave.
-    Days before that restart keep their stored version, entities without a change are not read on.
-    """
-    longest = max(periods)
-    stored = state.groupBy("entity").agg(F.max("day").alias("stored"))
-    start = change.groupBy("entity").agg(F.min("day").alias("changed")).join(stored, "entity", "left")
-    start = start.select("entity", F.least("changed", F.date_add("stored", 1)).alias("from"))
-    seed_day = F.date_sub("from", 1)
-    yesterday = state.join(start, "entity").where(F.col("day") == seed_day).select(
-        "entity", F.col("from").alias("day"), F.lit(0).cast("bigint").alias("amount"), *[F.col(f"total_{p}").alias(f"f{p}") for p in periods]
-    )
-    touched = daily.join(start, "entity")
-    span = touched.groupBy("entity", "from").agg(F.min("day").alias("first"), F.max("day").alias("last")).where(F.col("last") >= F.col("from")).select("entity", F.greatest("first", "from").alias("first"), "last", "from")
-    flows = _flows(touched.where(F.col("day") >= F.date_sub("from", longest)).select("entity", "day", "amount"), periods)
-    flows = flows.join(start, "entity").where(F.col("day") >= F.col("from")).drop("from")
-    return _run(flows.unionByName(yesterday), span.select("entity", "first", "last"), periods, version)
-
-
-def latest(versions: DataFrame, daily: DataFrame) -> DataFrame:
-    """The newest version of every day that still lies between its entity's first and last day."""
-    cols = [c for c in versions.columns if c not in ("entity", "day")]
-    best = versions.groupBy("entity", "day").agg(F.max(F.struct("version", *[c for c in cols if c != "version"])).alias("s")).select("entity", "day", *[F.col(f"s.{c}").alias(c) for c in cols])
-    span = _span(daily)
-    return best.join(span, "entity").where(F.col("day").between(F.col("first"), F.col("last"))).drop("first", "last")
-
-
-def rolling_totals(log: DataFrame, *, entity: str, as_of: str, amount: str, content: Sequence[str], known_at: Sequence[str] = (), periods: Sequence[int] = PERIODS, row_id: str = "row_id", supersedes: str = "supersedes", observed: str = "observed_at") -> DataFrame:
-    """The state over the whole log, built as a first version and one further version per stage.
-
-    ``known_at``: instants at which a version closes; version 1 holds what was observed before the
-    first of them, the last version everything. Without any, the state is built in one run. The
-    changes per day and version, and each version, are written to the checkpoint folder: they are
-    far smaller than the log, which is read once.
+class RollingState:
+    """The versioned state under ``folder``: ``changes`` holds what arrived per version, ``state`` the rows each version wrote."""
+
+    def __init__(self, spark: SparkSession, folder: str, periods: Sequence[int] = PERIODS) -> None:
+        self.spark, self.folder, self.periods = spark, folder, tuple(periods)
+        self.versions: list[int] = []
+        self.kind = "string"
+
+    def arrive(self, staged: DataFrame) -> None:
+        """Store ``staged (entity, day, version, amount, n_rows)``, the net changes of all versions it holds."""
+        rows = staged.where("amount != 0 OR n_rows != 0").select("entity", "day", "amount", "n_rows", "version")
+        self.kind = rows.schema["entity"].dataType.simpleString()
+        rows.write.mode("append").partitionBy("version").parquet(f"{self.folder}/changes")
+
+    def _changes(self) -> DataFrame:
+        return self.spark.read.schema(f"entity {self.kind}, day date, amount bigint, n_rows bigint, version int").parquet(f"{self.folder}/changes")
+
+    def _stored(self) -> DataFrame | None:
+        """The rows of all versions so far; None before the first."""
+        if not self.versions:
+            return None
+        schema = ", ".join([f"entity {self.kind}, day date, amount bigint, n_rows bigint", *[f"total_{p} bigint" for p in self.periods], "version int"])
+        return self.spark.read.schema(schema).parquet(*[f"{self.folder}/state/{v}" for v in self.versions])
+
+    def _latest(self, rows: DataFrame) -> DataFrame:
+        names = ["amount", "n_rows", *[f"total_{p}" for p in self.periods]]
+        best = rows.groupBy("entity", "day").agg(F.max(F.struct("version", *names)).alias("s"))
+        return best.select("entity", "day", "s.version", *[F.col(f"s.{c}").alias(c) for c in names])
+
+    def advance(self, version: int) -> None:
+        """Write the rows that the arrivals of ``version`` change or add."""
+        longest, periods = max(self.periods), self.periods
+        change = self._changes().where(F.col("version") == version).drop("version")
+        stored = self._stored()
+        ends = stored.groupBy("entity").agg(F.min("day").alias("first"), F.max("day").alias("last")) if stored is not None else None
+        change = change.join(ends, "entity", "left") if ends is not None else change.withColumn("first", F.lit(None).cast("date")).withColumn("last", F.lit(None).cast("date"))
+        touched = change.groupBy("entity").agg(F.min("day").alias("lo"), F.max("day").alias("hi"), F.min("first").alias("first"), F.max("last").alias("last"))
+        days = lambda lo, hi: F.when(lo <= hi, F.sequence(lo, hi))
+        # The calendar: days whose totals a change reaches, new days after the end, days between a new begin and the old one.
+        reached = change.where("day <= last").select("entity", F.explode(days(F.col("day"), F.least(F.date_add("day", longest - 1), F.col("last")))).alias("day"))
+        after = touched.select("entity", F.explode(days(F.coalesce(F.date_add("last", 1), F.col("lo")), F.col("hi"))).alias("day"))
+        before = touched.where("lo < first").select("entity", F.explode(days(F.col("lo"), F.date_sub("first", 1))).alias("day"))
+        zero = F.lit(0).cast("bigint")
+        cols = ["amount", "n_rows", *[f"d{p}" for p in periods], *[f"s{p}" for p in periods], *[f"o{p}" for p in periods]]
+
+        def rows(df: DataFrame, **values: Column) -> DataFrame:
+            return df.select("entity", "day", *[values.get(c, zero).cast("bigint").alias(c) for c in cols], values.get("on", F.lit(False)).alias("on"))
+
+        amount = F.col("amount")
+        parts = [rows(reached.unionByName(after).unionByName(before), on=F.lit(True))]
+        parts.append(rows(change, amount=amount, n_rows=F.col("n_rows"), **{f"d{p}": amount for p in periods}))
+        parts += [rows(change.withColumn("day", F.date_add("day", p)), **{f"d{p}": -amount}) for p in periods]
+        if stored is not None:
+            extended = touched.where("hi > last").select("entity", "last")
+            near = change.where("day <= last").select("entity", F.explode(F.sequence("day", F.least(F.date_add("day", longest - 1), F.col("last")))).alias("day"))
+            need = near.unionByName(extended.select("entity", F.explode(F.sequence(F.date_sub("last", longest - 1), F.col("last"))).alias("day"))).distinct()
+            old = self._latest(stored.join(need, ["entity", "day"], "left_semi"))
+            parts.append(rows(old, amount=amount, n_rows=F.col("n_rows"), **{f"o{p}": F.col(f"total_{p}") for p in periods}))
+            leaving = old.join(extended, "entity").where(F.col("day") > F.date_sub("last", longest))
+            parts.append(rows(leaving.where("day = last").withColumn("day", F.date_add("last", 1)), **{f"s{p}": F.col(f"total_{p}") for p in periods}))
+            parts += [rows(leaving.withColumn("day", F.date_add("day", p)).where("day > last"), **{f"s{p}": -amount}) for p in periods]
+        all_of_it = parts[0]
+        for p in parts[1:]:
+            all_of_it = all_of_it.unionByName(p)
+        daily = all_of_it.groupBy("entity", "day").agg(*[F.sum(c).alias(c) for c in cols], F.max("on").alias("on"))
+        w = Window.partitionBy("entity").orderBy("day").rowsBetween(Window.unboundedPreceding, 0)
+        total = lambda p: (F.col(f"o{p}") + F.sum(f"s{p}").over(w) + F.sum(f"d{p}").over(w)).alias(f"total_{p}")
+        out = daily.select("entity", "day", "amount", "n_rows", *[total(p) for p in periods], "on").where("on").drop("on")
+        out.withColumn("version", F.lit(version)).write.mode("overwrite").parquet(f"{self.folder}/state/{version}")
+        self.versions.append(version)
+
+    def read(self) -> DataFrame:
+        """``(entity, day, amount, total_p, avg_p, version)``: the newest row of every day between its entity's first and last day with a current row."""
+        best = self._latest(self._stored())
+        whole = Window.partitionBy("entity")
+        held = F.when(F.col("n_rows") > 0, F.col("day"))
+        best = best.withColumn("_lo", F.min(held).over(whole)).withColumn("_hi", F.max(held).over(whole)).where(F.col("day").between(F.col("_lo"), F.col("_hi")))
+        return best.select("entity", "day", "amount", *[f"total_{p}" for p in self.periods], *[(F.col(f"total_{p}") / F.lit(p)).alias(f"avg_{p}") for p in self.periods], "version")
+
+
+def rolling_totals(log: DataFrame, *, entity: str, as_of: str, amount: str, content: Sequence[str], known_at: Sequence[str] = (), periods: Sequence[int] = PERIODS, row_id: str = "row_id", supersedes: str = "supersedes", observed: str = "observed_at", folder: str | None = None) -> DataFrame:
+    """The state over the whole log, advanced version by version.
+
+    ``known_at``: instants at which a version closes; version 1 holds what was observed before the first of them, the
+    last version everything. The log is read once, folded to changes per entity, day and version.
     """
-    staged = by_version(arrivals(log, entity=entity, as_of=as_of, amount=amount, content=content, row_id=row_id, supersedes=supersedes, observed=observed), known_at)
-    if not known_at:
-        return initial_state(daily_at(staged, 1), periods, 1)
-    staged = cut(staged)
-    versions = cut(initial_state(daily_at(staged, 1), periods, 1))
-    for v in range(2, len(known_at) + 2):
-        current = latest(versions, daily_at(staged, v - 1)) if v > 2 else versions
-        change = staged.where(F.col("version") == v)
-        versions = cut(versions.unionByName(advance(current, change, daily_at(staged, v), periods, v)))
-    return latest(versions, daily_at(staged, len(known_at) + 1))
+    spark = log.sparkSession
+    state = RollingState(spark, folder or new_folder(spark, "rolling"), periods)
+    state.arrive(by_version(arrivals(log, entity=entity, as_of=as_of, amount=amount, content=content, row_id=row_id, supersedes=supersedes, observed=observed), known_at))
+    for v in range(1, len(known_at) + 2):
+        state.advance(v)
+    return state.read()

@@ -11,8 +11,8 @@ from tidegrain.sources.tables import table
 
 #: What makes a redelivered mention row: the same content under another id.
 MENTION_CONTENT = ("card_uid", "platform", "source", "as_of", "mentions", "engagement")
-#: The knowledge time at which the rolling state's first version closes; later arrivals advance it.
-STATE_CLOSES = ("2026-04-01 00:00:00",)
+#: The knowledge times at which versions of the rolling state close; each advances the one before.
+STATE_CLOSES = ("2025-01-01 00:00:00", "2025-07-01 00:00:00", "2026-01-01 00:00:00", "2026-07-01 00:00:00")
 SERIES = ("card_uid", "source", "marketplace", "grade", "grader")
 
 
