@@ -93,10 +93,13 @@ class RollingState:
         stored = self._stored()
         ends = stored.groupBy("entity").agg(F.min("day").alias("first"), F.max("day").alias("last")) if stored is not None else None
         change = change.join(ends, "entity", "left") if ends is not None else change.withColumn("first", F.lit(None).cast("date")).withColumn("last", F.lit(None).cast("date"))
+        # A change reaches up to the day before the next one, if that comes before its amount has expired.
+        follow = F.lead("day").over(Window.partitionBy("entity").orderBy("day"))
+        change = change.withColumn("reach", F.least(F.date_add("day", longest - 1), F.col("last"), F.date_sub(follow, 1)))
         touched = change.groupBy("entity").agg(F.min("day").alias("lo"), F.max("day").alias("hi"), F.min("first").alias("first"), F.max("last").alias("last"))
         days = lambda lo, hi: F.when(lo <= hi, F.sequence(lo, hi))
         # The calendar: days whose totals a change reaches, new days after the end, days between a new begin and the old one.
-        reached = change.where("day <= last").select("entity", F.explode(days(F.col("day"), F.least(F.date_add("day", longest - 1), F.col("last")))).alias("day"))
+        reached = change.where("day <= last").select("entity", F.explode(days(F.col("day"), F.col("reach"))).alias("day"))
         after = touched.select("entity", F.explode(days(F.coalesce(F.date_add("last", 1), F.col("lo")), F.col("hi"))).alias("day"))
         before = touched.where("lo < first").select("entity", F.explode(days(F.col("lo"), F.date_sub("first", 1))).alias("day"))
         zero = F.lit(0).cast("bigint")
@@ -111,8 +114,7 @@ class RollingState:
         parts += [rows(change.withColumn("day", F.date_add("day", p)), **{f"d{p}": -amount}) for p in periods]
         if stored is not None:
             extended = touched.where("hi > last").select("entity", "last")
-            near = change.where("day <= last").select("entity", F.explode(F.sequence("day", F.least(F.date_add("day", longest - 1), F.col("last")))).alias("day"))
-            need = near.unionByName(extended.select("entity", F.explode(F.sequence(F.date_sub("last", longest - 1), F.col("last"))).alias("day"))).distinct()
+            need = reached.unionByName(extended.select("entity", F.explode(F.sequence(F.date_sub("last", longest - 1), F.col("last"))).alias("day"))).distinct()
             old = self._latest(stored.join(need, ["entity", "day"], "left_semi"))
             parts.append(rows(old, amount=amount, n_rows=F.col("n_rows"), **{f"o{p}": F.col(f"total_{p}") for p in periods}))
             leaving = old.join(extended, "entity").where(F.col("day") > F.date_sub("last", longest))
