@@ -98,7 +98,7 @@ def test_details_add_up_to_the_reading(spark):
     rows = spark.createDataFrame([(i, float(x)) for i, x in enumerate(v)], "i bigint, v double")
     day = F.expr("timestamp_ntz '2025-01-01 00:00:00' + make_dt_interval(cast(i as int))")
     rows = rows.select(F.lit("s").alias("_s"), F.struct("i").alias("_keep"), F.col("i").alias("_id"), day.alias("_as_of"), day.alias("_observed"), F.col("v").alias("_v"), F.lit(False).alias("_fix"), F.lit(False).alias("_bad"), F.log("v").alias("_x"))
-    got = {r["_id"]: r["_detail"] for r in spikes.transform(spikes.positions(rows)).select("_id", "_detail").collect()}
+    got = {r["_id"]: r["_detail"] for r in spikes.transform(spikes.whole_series(rows)).select("_id", "_detail").collect()}
 
     import math
 

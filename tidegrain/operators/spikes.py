@@ -18,9 +18,9 @@ A position is a distinct event time of a series. Redelivered and correcting rows
 first delivered usable original, whose reading stands for it, and are judged by their own reading
 against the same neighbours.
 
-No series is held or sorted in one task: positions are counted per (series, day) and offset by prefix
-sums, the transform runs in blocks of ``block`` positions that also see the ``HALO`` positions around them,
-and scales are medians of bin counts, which merge. The block size changes no row.
+A series of up to ``block`` rows is one block. A longer one is never held or sorted in one task: its positions are
+counted per day and offset by prefix sums, and the transform runs in blocks of ``block`` positions that also see the
+``HALO`` positions around them. Scales are medians of bin counts, which merge. The block size changes no row.
 
 Defined cases: rows without a reading, a reading in common units or an event time are left out; null
 series columns form a series of their own; zero, negative and oversized readings are impossible whatever
@@ -36,7 +36,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidegrain.session import written
+from tidegrain.session import small, written
 
 LEVELS = 3
 EDGE = 8
@@ -46,7 +46,7 @@ STUCK = 6
 LONGEST = 3
 #: Smallest scale of a series, in natural logarithms, and bins per e-fold in which scales are counted.
 LEAST_SCALE, SCALE_BINS = 0.005, 50
-#: Positions that one task transforms at a time; no result depends on it.
+#: Rows of a series, or positions of a longer one, that one task transforms at a time; no result depends on it.
 BLOCK = 50_000
 #: Positions a core position's result can depend on: all levels' reach, the ends' medians, runs.
 HALO = 2**LEVELS - 1 + EDGE + STUCK
@@ -58,31 +58,47 @@ def series_key(series: Sequence[str]) -> Column:
     return F.concat(*[part(c) for c in series])
 
 
-def positions(rows: DataFrame) -> DataFrame:
-    """``rows (_s, _as_of, _bad, _fix, _observed, _id)`` with their place in the series.
+#: The rows of a block in order: those of a position together, the one that stands for it first.
+ORDER = ("_as_of", "_bad", "_fix", "_observed", "_id")
 
-    Adds ``_pos`` (distinct times so far), ``_u`` (those with a usable reading), ``_n`` (usable ones of the
-    series) and ``_member`` (0 for the row that stands for a position, else 1).
-    """
-    part = ["_s", "_day"]
-    rows = rows.withColumn("_day", F.to_date("_as_of"))
-    order = Window.partitionBy(*part).orderBy("_as_of", "_bad", "_fix", "_observed", "_id")
+
+def numbered(rows: DataFrame, part: Sequence[str]) -> DataFrame:
+    """``rows`` with ``_pos`` (distinct times so far), ``_u`` (those with a usable reading) and ``_stands`` within ``part``."""
+    order = Window.partitionBy(*part).orderBy(*ORDER)
     rows = rows.withColumn("_at", ~F.coalesce(F.lag("_as_of").over(order) == F.col("_as_of"), F.lit(False)))
-    stands = F.col("_at") & ~F.col("_bad")
-    count = lambda c: F.sum(c.cast("bigint"))
-    days = rows.groupBy(*part).agg(count(F.col("_at")).alias("_p"), count(stands).alias("_q"))
+    rows = rows.withColumn("_stands", F.col("_at") & ~F.col("_bad"))
     so_far = order.rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("_pos", count(F.col("_at")).over(so_far)).withColumn("_u", count(stands).over(so_far)).withColumn("_member", F.when(stands, 0).otherwise(1))
+    count = lambda c: F.sum(F.col(c).cast("bigint")).over(so_far)
+    return rows.withColumn("_pos", count("_at")).withColumn("_u", count("_stands"))
+
+
+def whole_series(rows: DataFrame) -> DataFrame:
+    """Usable rows of series that are one block each."""
+    got = numbered(rows.withColumn("_block", F.lit(0).cast("bigint")), ["_s", "_block"]).where("NOT _bad")
+    yes = F.lit(True)
+    return got.withColumn("_core", yes).withColumn("_starts", yes).withColumn("_ends", yes).drop("_at", "_u")
+
+
+def cut_series(rows: DataFrame, block: int) -> DataFrame:
+    """Usable rows of long series, each in its block and in those whose halo it is in."""
+    part = ["_s", "_day"]
+    rows = numbered(rows.withColumn("_day", F.to_date("_as_of")), part)
+    days = rows.groupBy(*part).agg(F.count_if("_at").alias("_p"), F.count_if("_stands").alias("_q"))
     before = Window.partitionBy("_s").orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)  # one row per series and day
     days = days.select(*part, F.coalesce(F.sum("_p").over(before), F.lit(0)).alias("_p"), F.coalesce(F.sum("_q").over(before), F.lit(0)).alias("_q"), F.sum("_q").over(Window.partitionBy("_s")).alias("_n"))
-    placed = rows.join(days, part).withColumn("_pos", F.col("_pos") + F.col("_p")).withColumn("_u", F.col("_u") + F.col("_q"))
-    return placed.drop("_p", "_q", "_day", "_at")
+    rows = rows.where("NOT _bad").join(days, part).withColumn("_pos", F.col("_pos") + F.col("_p")).withColumn("_u", F.col("_u") + F.col("_q"))
+    place = lambda u: F.floor(u / block)
+    lowest, highest = F.greatest(F.col("_u") - 1 - HALO, F.lit(0)), F.least(F.col("_u") - 1 + HALO, F.col("_n") - 1)
+    rows = rows.withColumn("_block", F.explode(F.sequence(place(lowest), place(highest)))).withColumn("_core", F.col("_block") == place(F.col("_u") - 1))
+    return rows.withColumn("_starts", F.col("_block") == 0).withColumn("_ends", F.col("_block") == place(F.col("_n") - 1)).drop("_p", "_q", "_n", "_u", "_day", "_at")
+
+
+_OVER = f"OVER (PARTITION BY _s, _block ORDER BY {', '.join(ORDER)})"
 
 
 def _near(column: str, steps: int) -> Column:
-    """``column`` of the position ``steps`` after (before, if negative) the row's; members of positions hold null."""
-    f = "lead" if steps > 0 else "lag"
-    return F.expr(f"{f}({column}, {abs(steps)}) IGNORE NULLS OVER (PARTITION BY _s, _block ORDER BY _u, _member)")
+    """``column`` of the position ``steps`` after (before, if negative) the row's; rows that only share a position hold null."""
+    return F.expr(f"{'lead' if steps > 0 else 'lag'}({column}, {abs(steps)}) IGNORE NULLS {_OVER}")
 
 
 def _middle(array: str) -> Column:
@@ -91,59 +107,62 @@ def _middle(array: str) -> Column:
     return (F.get(array, F.floor((n - 1) / 2).cast("int")) + F.get(array, F.floor(n / 2).cast("int"))) / 2
 
 
-def transform(rows: DataFrame, block: int = BLOCK) -> DataFrame:
-    """The wavelet over usable rows: ``_detail, _r0.._r2`` (distances that make the scales), ``_run`` and ``_long``."""
-    place = lambda u: F.floor(u / block)
-    lowest, highest = F.greatest(F.col("_u") - 1 - HALO, F.lit(0)), F.least(F.col("_u") - 1 + HALO, F.col("_n") - 1)
-    rows = rows.withColumn("_block", F.explode(F.sequence(place(lowest), place(highest)))).withColumn("_core", F.col("_block") == place(F.col("_u") - 1))
-    stands = F.col("_member") == 0
+def transform(rows: DataFrame) -> DataFrame:
+    """The wavelet over blocks of usable rows.
+
+    Gives ``_detail``, ``_stuck``, ``_long`` and the bins ``_b0.._b2`` of the distances that make the scales, for core rows.
+    """
+    stands = F.col("_stands")
     rows = rows.select("*", *[F.when(stands, F.col(c)).alias(n) for c, n in (("_x", "_y0"), ("_v", "_v0"), ("_pos", "_p0"))])
     near = {f"_e{k}": _near("_y0", k) for k in range(-EDGE + 1, EDGE) if k} | {"_v1": _near("_v0", -1), "_p1": _near("_p0", -1)}
     rows = rows.select("*", *[c.alias(n) for n, c in near.items()])
+    end = {1: ("_head", F.col("_starts") & F.col("_e-1").isNull()), -1: ("_tail", F.col("_ends") & F.col("_e1").isNull())}
+    around = {side: F.when(stands & at, F.array_sort(F.array_compact(F.array("_y0", *[f"_e{side * k}" for k in range(1, EDGE)])))) for side, (_, at) in end.items()}
+    turned = F.when(stands, ~F.coalesce((F.col("_v1") == F.col("_v")) & (F.col("_p1") == F.col("_pos") - 1), F.lit(False)))
+    rows = rows.select(*[c for c in rows.columns if c not in near and c not in ("_pos", "_p0")], turned.alias("_turn"), *[around[side].alias(f"_s{n}") for side, (n, _) in end.items()])
     whole = Window.partitionBy("_s", "_block")
-    ends = {1: (F.lit(1), "_head"), -1: (F.col("_n"), "_tail")}
-    # Sorted, so that the middle of the readings there are is at a fixed place; nulls come first.
-    sorted_end = {side: F.when(stands & (F.col("_u") == at), F.array_sort(F.array_compact(F.array("_y0", *[f"_e{side * k}" for k in range(1, EDGE)])))) for side, (at, _) in ends.items()}
-    turned = F.when(stands & ~F.coalesce((F.col("_v1") == F.col("_v")) & (F.col("_p1") == F.col("_pos") - 1), F.lit(False)), F.col("_u"))
-    rows = rows.select(*[c for c in rows.columns if c not in near], turned.alias("_turn"), *[sorted_end[side].alias(f"_s{n}") for side, (_, n) in ends.items()])
-    rows = rows.select(*[c for c in rows.columns if not c.startswith("_s_")], *[F.max(_middle(f"_s{n}")).over(whole).alias(n) for _, n in ends.values()])
+    rows = rows.select(*[c for c in rows.columns if not c.startswith("_s_")], *[F.max(_middle(f"_s{n}")).over(whole).alias(n) for n, _ in end.values()])
     for j in range(LEVELS):
         step, y = 2**j, F.col(f"_y{j}")
         rows = rows.select("*", F.coalesce(_near(f"_y{j}", -step), "_head", y).alias("_l"), F.coalesce(_near(f"_y{j}", step), "_tail", y).alias("_r"))
         low, high = F.least("_l", "_r"), F.greatest("_l", "_r")
+        away = F.greatest(F.abs(y - (F.col("_l") + F.col("_r")) / 2), F.lit(LEAST_SCALE / 2))
         rows = rows.select(
-            *[c for c in rows.columns if c not in ("_l", "_r")], F.when(F.col("_member") == 0, low).alias(f"_lo{j}"), F.when(F.col("_member") == 0, high).alias(f"_hi{j}"),
-            F.when(y.isNotNull(), F.abs(y - (F.col("_l") + F.col("_r")) / 2)).alias(f"_r{j}"), F.when(y.isNotNull(), F.greatest(low, F.least(high, y))).alias(f"_y{j + 1}"),
+            *[c for c in rows.columns if c not in ("_l", "_r")], F.when(stands, low).alias(f"_lo{j}"), F.when(stands, high).alias(f"_hi{j}"),
+            F.when(y.isNotNull(), F.round(F.log(away) * SCALE_BINS).cast("smallint")).alias(f"_b{j}"), F.when(y.isNotNull(), F.greatest(low, F.least(high, y))).alias(f"_y{j + 1}"),
         )
     rows = rows.withColumn("_d", F.col("_y0") - F.col(f"_y{LEVELS}"))
-    rows = rows.select("*", *[_near("_d", k).alias(f"_d{k}") for k in range(-LONGEST, LONGEST + 1) if k])
-    alike = {k: f"coalesce(`_d{k}` / _d >= 0.5, false)" for k in range(-LONGEST, LONGEST + 1) if k}
+    reach = [k for k in range(-LONGEST, LONGEST + 1) if k]
+    turns = [k for k in range(-STUCK + 2, STUCK) if k]
+    rows = rows.select("*", *[_near("_d", k).alias(f"_d{k}") for k in reach], *[_near("_turn", k).alias(f"_t{k}") for k in turns])
+    alike = {k: f"coalesce(`_d{k}` * _d >= 0.5 * _d * _d, false)" for k in reach}
     longer = F.expr(" OR ".join("(" + " AND ".join(alike[k] for k in range(a, a + LONGEST + 1) if k) + ")" for a in range(-LONGEST, 1)))
-    by = Window.partitionBy("_s", "_block").orderBy("_u", "_member")
-    run_start = F.max("_turn").over(by.rowsBetween(Window.unboundedPreceding, 0))
-    run_end = F.min("_turn").over(Window.partitionBy("_s", "_block").orderBy("_u").rangeBetween(1, STUCK - 1))
-    rows = rows.select("*", F.when(F.col("_d") != 0, longer).alias("_long"), (F.coalesce(run_end, F.least(F.col("_n") + 1, F.col("_u") + STUCK)) - F.coalesce(run_start, F.col("_u") - STUCK)).alias("_run"))
-    # Members are judged against the neighbours of their position, whose row comes first.
-    at = Window.partitionBy("_s", "_block", "_u").orderBy("_member").rowsBetween(Window.unboundedPreceding, 0)
-    own = lambda c: F.first(c).over(at).alias(c)
-    rows = rows.where("_core").select("_s", "_block", "_u", "_member", "_x", "_v", *[f"_r{j}" for j in range(LEVELS)], *[own(f"_{e}{j}") for j in range(LEVELS) for e in ("lo", "hi")], own("_run"), own("_v0"), own("_long"), "_keep", "_id", "_n")
+    # Equal readings before and after: as many as come before the next difference, of which the first reading is one.
+    behind, ahead = F.lit(STUCK - 1), F.lit(STUCK - 1)
+    for k in reversed(range(1, STUCK)):
+        ahead = F.when(F.coalesce(F.col(f"_t{k}"), F.lit(True)), k - 1).otherwise(ahead)
+    for k in reversed(range(0, STUCK - 1)):
+        behind = F.when(F.coalesce(F.col(f"_t{-k}") if k else F.col("_turn"), F.lit(True)), k).otherwise(behind)
+    stuck = 1 + behind + ahead >= STUCK
+    rows = rows.select(*[c for c in rows.columns if not c.startswith(("_t", "_d"))], F.when(stands, F.coalesce(longer, F.lit(False)) & (F.col("_d") != 0)).alias("_long"), F.when(stands, stuck).alias("_run"))
+    # Rows that share a position are judged against its neighbours; the row that stands for it comes before them.
+    at = Window.partitionBy("_s", "_block").orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, 0)
+    own = lambda c: F.last(c, ignorenulls=True).over(at).alias(c)
+    rows = rows.select("_s", "_block", "_core", "_x", "_v", *[f"_b{j}" for j in range(LEVELS)], *[own(f"_{e}{j}") for j in range(LEVELS) for e in ("lo", "hi")], own("_run"), own("_v0"), own("_long"), "_keep", "_id").where("_core")
     left = F.col("_x")
     for j in range(LEVELS):
         left = F.greatest(F.col(f"_lo{j}"), F.least(F.col(f"_hi{j}"), left))
-    return rows.select("_s", "_block", "_n", "_keep", "_id", "_v", *[f"_r{j}" for j in range(LEVELS)], (F.col("_x") - left).alias("_detail"), ((F.col("_run") >= STUCK) & (F.col("_v") == F.col("_v0"))).alias("_stuck"), F.coalesce("_long", F.lit(False)).alias("_long"))
+    return rows.select("_s", "_keep", "_id", "_v", *[f"_b{j}" for j in range(LEVELS)], (F.col("_x") - left).alias("_detail"), (F.col("_run") & (F.col("_v") == F.col("_v0"))).alias("_stuck"), "_long")
 
 
-def scales(transformed: DataFrame, block: int = BLOCK) -> DataFrame:
-    """``(_s, _block, _scale)``: the largest level's robust scale of a series, once per block it has.
+def scales(transformed: DataFrame) -> DataFrame:
+    """``(_s, _scale)``: the largest level's robust scale of a series.
 
     Medians of bin numbers: the buffer holds a count per bin in use, merges before the shuffle, and does
     not depend on how a series was cut.
     """
-    bin_of = lambda c: F.round(F.log(F.greatest(F.col(c), F.lit(LEAST_SCALE / 2))) * SCALE_BINS)
-    middle = [F.percentile(bin_of(f"_r{j}"), F.lit(0.5)) for j in range(LEVELS)]
-    got = transformed.groupBy("_s").agg(F.max("_n").alias("_n"), F.greatest(*middle).alias("_bin"))
-    scale = F.greatest(1.4826 * F.exp(F.col("_bin") / SCALE_BINS), F.lit(LEAST_SCALE))
-    return got.select("_s", scale.alias("_scale"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("_n") - 1) / block))).alias("_block"))
+    got = transformed.groupBy("_s").agg(F.greatest(*[F.percentile(f"_b{j}", F.lit(0.5)) for j in range(LEVELS)]).alias("_bin"))
+    return got.select("_s", F.greatest(1.4826 * F.exp(F.col("_bin") / SCALE_BINS), F.lit(LEAST_SCALE)).alias("_scale"))
 
 
 def flag_readings(rows: DataFrame, *, series: Sequence[str], as_of: str, observed: str, row_id: str, value: str, common: str, correction: str | None = None, keep: Sequence[str] = (), flagged_only: bool = False, upper: float = 500_000.0, block: int = BLOCK) -> DataFrame:
@@ -156,19 +175,26 @@ def flag_readings(rows: DataFrame, *, series: Sequence[str], as_of: str, observe
     c = F.col(common).cast("double")
     rows = rows.where(F.col(value).isNotNull() & F.col(as_of).isNotNull() & F.col(common).isNotNull())
     rows = rows.select(
-        series_key(series).alias("_s"), F.struct(F.lit(0).alias("_"), *keep).alias("_keep"), F.col(row_id).alias("_id"), F.col(as_of).alias("_as_of"), F.col(observed).alias("_observed"),
+        series_key(series).alias("_s"), F.struct(*(keep or [F.lit(0).alias("_")])).alias("_keep"), F.col(row_id).alias("_id"), F.col(as_of).alias("_as_of"), F.col(observed).alias("_observed"),
         F.col(value).cast("double").alias("_v"), fix.alias("_fix"), ((c <= 0) | (c >= upper)).alias("_bad"), F.when((c > 0) & (c < upper), F.log(c)).alias("_x"),
     )
     # ln gives null for what is no number; such readings are impossible too.
     rows = rows.withColumn("_bad", F.col("_bad") | F.col("_x").isNull())
     yes, no = F.lit(True), F.lit(False)
     impossible = rows.where("_bad").select("_keep", "_id", "_v", yes.alias("impossible"), no.alias("stuck"), no.alias("spike"), F.lit(None).cast("double").alias("detail"))
-    done = written(transform(positions(rows).where("NOT _bad"), block))
-    if flagged_only:  # no scale is smaller than the least, so these are sound whatever their series' scale
-        tested = done.where(F.col("_stuck") | (F.abs("_detail") > LIMIT * LEAST_SCALE))
+    hot = rows.groupBy("_s").agg(F.count(F.lit(1)).alias("_c")).where(F.col("_c") > block).select("_s")  # rows / block of them at most
+    if hot.isEmpty():
+        done = transform(whole_series(rows))
+    else:
+        hot = small(written(hot))
+        done = transform(whole_series(rows.join(hot, "_s", "left_anti"))).unionByName(transform(cut_series(rows.join(hot, "_s", "left_semi"), block)))
+    if flagged_only:  # no scale is smaller than the least: what is below it is sound and only counts for the scales
+        maybe = F.col("_stuck") | (F.abs("_detail") > LIMIT * LEAST_SCALE)
+        done = done.select("_s", *[f"_b{j}" for j in range(LEVELS)], *[F.when(maybe, F.col(c)).alias(c) for c in ("_keep", "_id", "_v", "_detail", "_stuck", "_long")], maybe.alias("_maybe"))
     else:
-        tested = done
-    judged = tested.join(scales(done, block), ["_s", "_block"])
+        done = done.withColumn("_maybe", F.lit(True))
+    done = written(done)
+    judged = done.where("_maybe").join(scales(done), "_s")
     spike = (F.abs("_detail") > LIMIT * F.col("_scale")) & ~F.col("_long")
     judged = judged.select("_keep", "_id", "_v", no.alias("impossible"), F.col("_stuck").alias("stuck"), spike.alias("spike"), (F.col("_detail") / F.col("_scale")).alias("detail"))
     got = impossible.unionByName(judged)
