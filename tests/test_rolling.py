@@ -93,3 +93,20 @@ def test_a_state_resumes_from_its_folder(spark, tmp_path):
     later.versions = [1]
     later.advance(2)
     assert got(later.read()) == brute(data)
+
+
+def test_a_version_reads_each_table_once(spark, tmp_path, monkeypatch):
+    """The plan of a version does not repeat its inputs; copies of them made the driver plan hundreds of operators."""
+    from pyspark.sql import DataFrameWriter
+
+    plans, write = [], DataFrameWriter.parquet
+
+    def watched(self, path, *a, **k):
+        plans.append((path, self._df._jdf.queryExecution().optimizedPlan().collectLeaves().size()))
+        return write(self, path, *a, **k)
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", watched)
+    data = some_log(3)
+    assert got(rolling.rolling_totals(frame(spark, data), known_at=("2025-02-01 00:00:00",), folder=str(tmp_path), **NAMED)) == brute(data)
+    leaves = {path.split("/state/")[1]: n for path, n in plans if "/state/" in path}
+    assert leaves == {"1": 1, "2": 3}  # arrivals; and the ends of the entities, stored rows

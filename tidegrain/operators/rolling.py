@@ -3,9 +3,10 @@
 A day's total over the last p days is yesterday's total plus today's arrivals minus the day that expires. The state
 is a table on disk: per entity and day the amount and the totals, one folder per version, only ever appended to.
 :meth:`RollingState.advance` makes a version from what arrived since the one before. It reads that version's arrivals
-(a folder of their own), the first and last stored day of every entity, and of the entities that changed the
-stored rows it needs: the days a correction can touch, which are the changed day and the ones before its amount has
-expired, and the last days before the state's end, whose amounts expire after it. Days after the end follow by the
+(a folder of their own), the first and last day of every entity from the arrivals before, and joins the stored rows
+with the days it needs: the days a correction can touch, which are the changed day and the ones before its amount has
+expired, and the last days before the state's end, whose amounts expire after it. Arrivals and stored rows stand once
+in the plan of a version, so that planning five of them takes little of the driver's memory. Days after the end follow by the
 recurrence from the last stored totals; touched days get the change's own recurrence added to their stored totals. All
 other rows stay as they are.
 
@@ -81,52 +82,57 @@ class RollingState:
         schema = ", ".join([f"entity {self.kind}, day date, amount bigint, n_rows bigint", *[f"total_{p} bigint" for p in self.periods], "version int"])
         return self.spark.read.schema(schema).parquet(*[f"{self.folder}/state/{v}" for v in self.versions])
 
-    def _latest(self, rows: DataFrame) -> DataFrame:
+    def _latest(self, rows: DataFrame, *more: str) -> DataFrame:
         names = ["amount", "n_rows", *[f"total_{p}" for p in self.periods]]
-        best = rows.groupBy("entity", "day").agg(F.max(F.struct("version", *names)).alias("s"))
-        return best.select("entity", "day", "s.version", *[F.col(f"s.{c}").alias(c) for c in names])
+        best = rows.groupBy("entity", "day").agg(F.max(F.struct("version", *names)).alias("s"), *[F.max(c).alias(c) for c in more])
+        return best.select("entity", "day", "s.version", *[F.col(f"s.{c}").alias(c) for c in names], *more)
 
     def advance(self, version: int) -> None:
-        """Write the rows that the arrivals of ``version`` change or add."""
+        """Write the rows that the arrivals of ``version`` change or add.
+
+        Each table is read once in the plan: arrivals become ranges of days, these meet the stored rows in one join.
+        """
         longest, periods = max(self.periods), self.periods
         change = self._changes().where(F.col("version") == version).drop("version")
-        stored = self._stored()
-        ends = stored.groupBy("entity").agg(F.min("day").alias("first"), F.max("day").alias("last")) if stored is not None else None
-        change = change.join(ends, "entity", "left") if ends is not None else change.withColumn("first", F.lit(None).cast("date")).withColumn("last", F.lit(None).cast("date"))
-        # A change reaches up to the day before the next one, if that comes before its amount has expired.
-        follow = F.lead("day").over(Window.partitionBy("entity").orderBy("day"))
-        change = change.withColumn("reach", F.least(F.date_add("day", longest - 1), F.col("last"), F.date_sub(follow, 1)))
-        touched = change.groupBy("entity").agg(F.min("day").alias("lo"), F.max("day").alias("hi"), F.min("first").alias("first"), F.max("last").alias("last"))
-        days = lambda lo, hi: F.when(lo <= hi, F.sequence(lo, hi))
+        if self.versions:  # the stored days of an entity reach from its first changed day to its last
+            earlier = self._changes().where(F.col("version").isin(self.versions))
+            change = change.join(earlier.groupBy("entity").agg(F.min("day").alias("first"), F.max("day").alias("last")), "entity", "left")
+        else:
+            change = change.withColumns({"first": F.lit(None).cast("date"), "last": F.lit(None).cast("date")})
+        w = Window.partitionBy("entity").orderBy("day")
+        so_far = w.rowsBetween(Window.unboundedPreceding, 0)
+        change = change.select("*", F.lag("day").over(w).alias("prior"), F.lead("day").over(w).alias("follow"), F.min("day").over(so_far).alias("lo"))
+        day, amount, last, zero = F.col("day"), F.col("amount"), F.col("last"), F.lit(0).cast("bigint")
+        cols = ["c_amount", "c_rows", *[f"d{p}" for p in periods]]
+
+        def days(lo: Column, hi: Column, on: bool = False, **values: Column) -> Column:
+            return F.struct(lo.alias("lo"), hi.alias("hi"), *[values.get(c, zero).alias(c) for c in cols], F.lit(on).alias("on"))
+
         # The calendar: days whose totals a change reaches, new days after the end, days between a new begin and the old one.
-        reached = change.where("day <= last").select("entity", F.explode(days(F.col("day"), F.col("reach"))).alias("day"))
-        after = touched.select("entity", F.explode(days(F.coalesce(F.date_add("last", 1), F.col("lo")), F.col("hi"))).alias("day"))
-        before = touched.where("lo < first").select("entity", F.explode(days(F.col("lo"), F.date_sub("first", 1))).alias("day"))
-        zero = F.lit(0).cast("bigint")
-        cols = ["amount", "n_rows", *[f"d{p}" for p in periods], *[f"s{p}" for p in periods], *[f"o{p}" for p in periods]]
-
-        def rows(df: DataFrame, **values: Column) -> DataFrame:
-            return df.select("entity", "day", *[values.get(c, zero).cast("bigint").alias(c) for c in cols], values.get("on", F.lit(False)).alias("on"))
-
-        amount = F.col("amount")
-        parts = [rows(reached.unionByName(after).unionByName(before), on=F.lit(True))]
-        parts.append(rows(change, amount=amount, n_rows=F.col("n_rows"), **{f"d{p}": amount for p in periods}))
-        parts += [rows(change.withColumn("day", F.date_add("day", p)), **{f"d{p}": -amount}) for p in periods]
-        if stored is not None:
-            extended = touched.where("hi > last").select("entity", "last")
-            need = reached.unionByName(extended.select("entity", F.explode(F.sequence(F.date_sub("last", longest - 1), F.col("last"))).alias("day"))).distinct()
-            old = self._latest(stored.join(need, ["entity", "day"], "left_semi"))
-            parts.append(rows(old, amount=amount, n_rows=F.col("n_rows"), **{f"o{p}": F.col(f"total_{p}") for p in periods}))
-            leaving = old.join(extended, "entity").where(F.col("day") > F.date_sub("last", longest))
-            parts.append(rows(leaving.where("day = last").withColumn("day", F.date_add("last", 1)), **{f"s{p}": F.col(f"total_{p}") for p in periods}))
-            parts += [rows(leaving.withColumn("day", F.date_add("day", p)).where("day > last"), **{f"s{p}": -amount}) for p in periods]
-        all_of_it = parts[0]
-        for p in parts[1:]:
-            all_of_it = all_of_it.unionByName(p)
-        daily = all_of_it.groupBy("entity", "day").agg(*[F.sum(c).alias(c) for c in cols], F.max("on").alias("on"))
-        w = Window.partitionBy("entity").orderBy("day").rowsBetween(Window.unboundedPreceding, 0)
-        total = lambda p: (F.col(f"o{p}") + F.sum(f"s{p}").over(w) + F.sum(f"d{p}").over(w)).alias(f"total_{p}")
-        out = daily.select("entity", "day", "amount", "n_rows", *[total(p) for p in periods], "on").where("on").drop("on")
+        # A change reaches up to the day before the next one, if that comes before its amount has expired.
+        reach = F.least(F.date_add("day", longest - 1), last, F.date_sub("follow", 1))
+        ends = F.col("follow").isNull()
+        ranges = [
+            days(day, day, c_amount=amount, c_rows=F.col("n_rows"), **{f"d{p}": amount for p in periods}),
+            *[days(F.date_add("day", p), F.date_add("day", p), **{f"d{p}": -amount}) for p in periods],
+            F.when(day <= last, days(day, reach, on=True)),
+            F.when(ends, days(F.coalesce(F.date_add("last", 1), F.col("lo")), day, on=True)),
+            F.when(F.col("prior").isNull() & (day < F.col("first")), days(day, F.date_sub("first", 1), on=True)),
+            F.when(ends & (day > last), days(F.date_sub("last", longest - 1), last)),  # their amounts expire after the end
+        ]
+        spans = change.select("entity", "last", F.explode(F.array(*ranges)).alias("s")).where("s.lo <= s.hi")
+        asked = spans.select("entity", "last", F.explode(F.sequence("s.lo", "s.hi")).alias("day"), *[f"s.{c}" for c in cols], "s.on")
+        asked = asked.groupBy("entity", "day").agg(*[F.sum(c).alias(c) for c in cols], F.max("on").alias("on"), F.max("last").alias("last"))
+        stored = self._stored()
+        if stored is None:
+            rows = asked.withColumns({c: zero for c in ["amount", "n_rows", *[f"total_{p}" for p in periods]]})
+        else:
+            rows = self._latest(asked.join(stored, ["entity", "day"], "left"), *cols, "on", "last")
+            rows = rows.fillna(0, ["amount", "n_rows", *[f"total_{p}" for p in periods]])
+        # After the end the rows are dense from ``longest`` days before it on, so that the day that expires is p rows above.
+        rows = rows.withColumns({f"e{p}": F.when(day == last, F.col(f"total_{p}")).when(day > last, -F.coalesce(F.lag("amount", p).over(w), zero)) for p in periods})
+        total = lambda p: (F.when(day > last, F.sum(f"e{p}").over(so_far)).otherwise(F.col(f"total_{p}")) + F.sum(f"d{p}").over(so_far)).alias(f"total_{p}")
+        out = rows.select("entity", "day", (amount + F.col("c_amount")).alias("amount"), (F.col("n_rows") + F.col("c_rows")).alias("n_rows"), *[total(p) for p in periods], "on").where("on").drop("on")
         out.withColumn("version", F.lit(version)).write.mode("overwrite").parquet(f"{self.folder}/state/{version}")
         self.versions.append(version)
 
