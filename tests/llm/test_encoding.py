@@ -144,3 +144,39 @@ def test_table_with_nulls_empty_long_and_repeated_texts(spark):
     got = E.find_damage(spark.createDataFrame(data, "doc_id bigint, text string, states string")).where("damaged")
     assert [r[0] for r in rows(got.select("doc_id"))] == [3, 4]
     assert E.find_damage(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
+
+
+def same(one, other):
+    return all((getattr(one, n) == getattr(other, n)).all() for n in ("one_key", "pair_key", "before_key", "one", "pair", "before", "total"))
+
+
+def test_every_text_of_a_table_counts(spark):
+    """More texts than any sample: what the table's model knows is what a model of all its texts knows, damaged ones taken off."""
+    texts = [f"{w} {k}" for k in range(70) for w in ("café", "naïve – no", "Größe", "plain", "価格は高い。", "价格很好")] * 10 + [f"Gr{E.garble('ß', 'utf-8', 'cp1252')}e {k}" for k in range(9)] + [f"ab {E.garble('東京の店', *p)} {k}" for k in range(3) for p in E.PAIRS]
+    data = [(i, t) for i, t in enumerate([*texts, None, ""])]
+    got, want = E.fit(spark.createDataFrame(data, "doc_id bigint, text string")), E.Model(texts)
+    assert got.total[0] > 4100 and same(got, want)
+
+
+def test_tally_equals_counts_over_whole_garbled_texts():
+    """Leaving out the middle of ASCII, and spelling out characters once, changes no count."""
+    import random
+    from collections import Counter
+
+    r, alphabet = random.Random(7), ["é", "ß", "’", "→", "я", "日", "ソ", "亂", "カ", "한", "𠀀", "\ud800", "?", "?", "??", "???", "a", "B", "7", " ", "\n", "@", "~", "long words 12", "x" * 12]
+    texts = ["".join(r.choice(alphabet) for _ in range(r.randrange(1, 14))) for _ in range(1500)]
+    texts = [t for t in [*texts, *CLEAN[:14]] if "????" not in t]
+    want = Counter()
+    for t in texts:
+        east = E._EAST.search(t) is not None
+        made = {0: t}
+        if not t.isascii():
+            for k, (true, used, n) in enumerate(E.PAIRS, 1):
+                if (true == "utf-8" or east == (true != "cp1252")) and (east or used not in ("gb18030", "cp932")) and (bad := E.garble(t, true, used, n)) != t:
+                    made[k] = bad
+            made[E.LOST] = t.encode("ascii", "replace").decode() if len(t) % 2 else t.encode("cp1252", "ignore").decode("utf-8", "replace")
+        for k, x in made.items():
+            sym, _, _, at = E.symbols([x])
+            want.update(((k << 42) | (b << 21) | s) for b, s in zip(E._before(sym, at).tolist(), sym.tolist()))
+    keys, n = E.tally(texts)
+    assert dict(zip(keys.tolist(), n.tolist())) == dict(want)

@@ -2,10 +2,11 @@
 
 A hidden Markov model labels the characters of a text with one clean state and one state per pair
 (true encoding, encoding used). Emissions depend on the character before, so that a lone capital A
-tilde and one followed by a continuation character differ. They are fitted on a bounded sample of at
-most ``SAMPLE`` texts: the clean state on the texts as they are, without those in which some run can
+tilde and one followed by a continuation character differ. They are fitted on every text of the table:
+the clean state on the texts as they are, without those in which some run can
 be undone, each pair's state on the same texts sent through the pair, with known labels. Stretches of
-ASCII, which every pair leaves alone, count as their first and last character class. Each labelled
+ASCII, which every pair leaves alone, count as their first and last character class; before a text is sent
+through the pairs their middle is left out, which changes no count. Each labelled
 span then gets its state's inverse transform. Of pairs that read the same bytes in another way, the one
 whose inverse gives the likelier text counts.
 
@@ -21,8 +22,10 @@ inverse: such texts are found, not restored. A short sequence alone inside intac
 quoted, not damaged.
 
 Texts are labelled whole, independently of each other, in one pass without a shuffle. Symbols, emissions and
-paths of an Arrow batch are computed together in arrays. The model, counts per state of the symbols and pairs
-of symbols in the sample, is the only thing sent to the executors and its size follows the sample.
+paths of an Arrow batch are computed together in arrays. The model, counts per state of the pairs of symbols
+that follow each other, is the only thing collected and sent to the executors: it is counted where the texts
+are and summed per pair, so its size follows the characters in use, not the texts. A second pass takes off what
+the texts that the first model finds damaged had added.
 
 Defined cases: null and empty texts are sound; texts of any length are labelled whole; repeated texts
 are labelled alike; an empty table gives an empty result and fits nothing; other columns are ignored.
@@ -33,7 +36,8 @@ from __future__ import annotations
 import codecs
 import html
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -42,8 +46,6 @@ from pyspark.sql import functions as F
 
 from tidegrain.session import spread
 
-#: Texts on which the model is fitted.
-SAMPLE = 4000
 #: Log probabilities of entering a garbled state from elsewhere, leaving it and staying.
 ENTER, LEAVE, STAY = -9.0, -4.0, -0.05
 #: Log likelihood that a restored span must gain, one that cannot be undone, and two readings of one span must differ by.
@@ -102,6 +104,7 @@ def ungarble(text: str, true: str, used: str, times: int = 1) -> str | None:
 _ENTITY = re.compile(r"&([A-Za-z][A-Za-z0-9]{1,7});")
 _QUOTED = re.compile(r"[“\"„«'‘]([^\x00-\x7f]{1,8})[”\"“»'’]")
 _RUNS = re.compile(r"[^\x00-\x7f]+|[\x00-\x7f]+")
+_SURROGATE = re.compile("[\ud800-\udfff]")
 _EAST = re.compile("[\u3040-\u30ff\u3400-\u9fff]")
 
 #: Symbols beyond the code points: classes of ASCII characters and, as contexts, of scripts.
@@ -159,36 +162,119 @@ def symbols(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     return sym, a - shift, b - shift, text_at
 
 
+def _previous(sym: np.ndarray, text_at: np.ndarray) -> np.ndarray:
+    """The symbol before each, a space before a text's first."""
+    previous = np.concatenate([[_SPACE], sym[:-1]]) if len(sym) else sym
+    previous[text_at[:-1][text_at[:-1] < len(sym)]] = _SPACE
+    return previous
+
+
 def _before(sym: np.ndarray, text_at: np.ndarray) -> np.ndarray:
-    before = np.concatenate([[_SPACE], contexts(sym)[:-1]]) if len(sym) else sym
-    before[text_at[:-1][text_at[:-1] < len(sym)]] = _SPACE
-    return before
+    return contexts(_previous(sym, text_at))
 
 
 def _suspicious(text: str) -> bool:
     """Whether some run of the text can be undone, or characters are lost or controls; such texts teach the clean state nothing."""
     if "\ufffd" in text or "????" in text:
         return True
-    for run in re.findall(r"[^\x00-\x7f]+", text):
-        if any("\x80" <= c <= "\x9f" for c in run) or sum("\uff61" <= c <= "\uff9f" for c in run) > 1:
+    return not text.isascii() and any(map(_suspicious_run, set(re.findall(r"[^\x00-\x7f]+", text))))
+
+
+@lru_cache(1 << 14)
+def _suspicious_run(run: str) -> bool:
+    if any("\x80" <= c <= "\x9f" for c in run) or sum("\uff61" <= c <= "\uff9f" for c in run) > 1:
+        return True
+    for t, w, n in PAIRS:
+        if t == "utf-8" and n == 1 and len(run) > 1 and (back := ungarble(run, t, w)) is not None and len(back) < len(run):
             return True
-        for t, w, n in PAIRS:
-            if t == "utf-8" and n == 1 and len(run) > 1 and (back := ungarble(run, t, w)) is not None and len(back) < len(run):
+    if len(run) > 3 and not _EAST.search(run):
+        for w in ("cp1252", "latin-1"):
+            raw = run.encode(w, "ignore")
+            if any(2 * len(_EAST.findall(raw.decode(t, "ignore"))) >= len(run) / 2 for t in EASTERN):
                 return True
-        if len(run) > 3 and not _EAST.search(run):
-            for w in ("cp1252", "latin-1"):
-                raw = run.encode(w, "ignore")
-                if any(2 * len(_EAST.findall(raw.decode(t, "ignore"))) >= len(run) / 2 for t in EASTERN):
-                    return True
     return False
 
 
-def _counted(keys: np.ndarray, mine: np.ndarray) -> np.ndarray:
-    """How often every one of the sorted ``keys`` occurs in ``mine``."""
-    out = np.zeros(len(keys))
-    k, n = np.unique(mine, return_counts=True)
-    out[np.searchsorted(keys, k)] = n
-    return out
+#: Stretches of ASCII of which nothing but the ends can count; the wide one leaves room for lead bytes that take ASCII after them.
+_MIDDLE = re.compile(r"(\?*[\x00-\x3e\x40-\x7f])[\x00-\x7f]+([\x00-\x3e\x40-\x7f]\?*)")
+_WIDE_MIDDLE = re.compile(r"([\x00-\x7f]{4})[\x00-\x7f]{2,}([\x00-\x7f]{4})")
+
+
+def condensed(text: str, wide: bool = False) -> str:
+    """A text without ``????`` that gives in every state the symbols that ``text`` gives, without the middle of ASCII stretches.
+
+    A stretch counts by its first and last character, and by up to three question marks at its ends, which may grow to four where
+    a character is lost. ``wide`` is for readings in two or four bytes: a lead byte at the end of the run before takes at most three more.
+    """
+    return _WIDE_MIDDLE.sub(r"\1a\2", text) if wide else _MIDDLE.sub(r"\1\2", text)
+
+
+#: What occurs how often: sorted keys of state, context and symbol, and their counts.
+Counts = tuple[np.ndarray, np.ndarray]
+
+
+def _key(state: int, before: np.ndarray, sym: np.ndarray) -> np.ndarray:
+    return (state << 42) | (before << 21) | sym
+
+
+def summed(parts: Iterable[Counts]) -> Counts:
+    """Counts added up; keys that add up to nothing are left out."""
+    parts = list(parts) or [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    keys, which = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+    n = np.zeros(len(keys), np.int64)
+    np.add.at(n, which.ravel(), np.concatenate([c for _, c in parts]))
+    return keys[n != 0], n[n != 0]
+
+
+def tally(sound: list[str]) -> Counts:
+    """What each state sees of texts that are not suspicious: the clean one the texts, the others what their pair makes of them."""
+    short = [condensed(t) for t in sound]
+    foreign = [i for i, t in enumerate(sound) if not t.isascii()]
+    east = [i for i in foreign if _EAST.search(short[i])]
+    wide = [condensed(sound[i], True) for i in east]
+    eastern, western = [short[i] for i in east], [short[i] for i in sorted({*foreign} - {*east})]
+    unwritten = [i for i in foreign if _SURROGATE.search(short[i])]
+    sym, _, _, at = symbols(short)
+    previous = _previous(sym, at)
+    seen = [_counted(_key(0, contexts(previous), sym))]
+    of = np.zeros(len(short), bool)
+    of[foreign] = True
+    of[unwritten] = False
+    of = np.repeat(of, np.diff(at))
+    follow = _counted(_key(0, previous[of], sym[of]))
+    states = {}
+    for k, (t, w, n) in enumerate(PAIRS, 1):
+        if t == "utf-8" and w in TABLES:  # changes every character by itself, whatever the text
+            seen.append(_spelled(k, follow))
+            fits = [short[i] for i in unwritten]
+        else:  # the pair's encoding can write the text
+            fits = wide if w not in TABLES else eastern if t in EASTERN else western
+        bad = [(x, garble(x, t, w, n)) for x in fits]
+        states[k] = [g for x, g in bad if g != x]
+    states[LOST] = [short[i].encode("ascii", "replace").decode() if len(sound[i]) % 2 else short[i].encode("cp1252", "ignore").decode("utf-8", "replace") for i in foreign]
+    for k, rows in states.items():
+        sym, _, _, at = symbols(rows)
+        seen.append(_counted(_key(k, _before(sym, at), sym)))
+    return summed(seen)
+
+
+def _counted(keys: np.ndarray) -> Counts:
+    which, own = pd.factorize(keys)
+    return own, np.bincount(which, minlength=len(own))
+
+
+def _spelled(k: int, follow: Counts) -> Counts:
+    """What state ``k``, whose pair makes characters of each one alone, sees of symbols that follow each other so often."""
+    keys, n = follow
+    low = (1 << 21) - 1
+    own, which = np.unique(np.concatenate([keys >> 21, keys & low]), return_inverse=True)
+    p, c = which.ravel()[: len(keys)], which.ravel()[len(keys) :]
+    made = [np.array([x] if x >= _BASE else [ord(g) for g in garble(chr(x), *PAIRS[k - 1])], np.int64) for x in own.tolist()]
+    first, last = (np.array([m[i] for m in made], np.int64) for i in (0, -1))
+    often = np.zeros(len(own), np.int64)
+    np.add.at(often, c, n)
+    inner = [(_key(k, contexts(m[:-1]), m[1:]), np.full(len(m) - 1, o)) for m, o in zip(made, often) if len(m) > 1]
+    return summed([(_key(k, contexts(last[p]), first[c]), n), *inner])
 
 
 class Model:
@@ -197,35 +283,36 @@ class Model:
     def __init__(self, texts: list[str], rounds: int = 2) -> None:
         """Fitted on texts that raise no suspicion, then again without those the model itself finds damaged."""
         sound = [t for t in texts if t and not _suspicious(t)]
-        self._fit(sound)
+        counts = tally(sound)
+        self._fit(counts)
         for _ in range(rounds - 1):
-            sound = [t for t, got in zip(sound, self.read(sound)) if not got[0]]
-            self._fit(sound)
-
-    def _fit(self, sound: list[str]) -> None:
-        foreign = [t for t in sound if not t.isascii()]
-        east = [_EAST.search(t) is not None for t in foreign]
-        states = [sound]
-        for t, w, n in PAIRS:
-            fits = [e for e in east]
-            if t != "utf-8":
-                fits = [e == (t != "cp1252") for e in east]  # the pair's encoding can write the text
-            if w in ("gb18030", "cp932"):
-                fits = [f and e for f, e in zip(fits, east)]
-            elif t == "utf-8":
-                fits = [True] * len(east)
-            bad = [(x, garble(x, t, w, n)) for x, f in zip(foreign, fits) if f]
-            states.append([g for x, g in bad if g != x])
-        states.append([x.encode("ascii", "replace").decode() if len(x) % 2 else x.encode("cp1252", "ignore").decode("utf-8", "replace") for x in foreign])
-        seen = []
-        for rows in states:
-            sym, _, _, at = symbols(rows)
-            seen.append((sym, (_before(sym, at) << 21) | sym, _before(sym, at)))
-        union = lambda i: np.unique(np.concatenate([x[i] for x in seen])) if seen else np.zeros(0, np.int64)
-        self.one_key, self.pair_key, self.before_key = union(0), union(1), union(2)
-        table = lambda i, keys: np.stack([_counted(keys, x[i]) for x in seen], 1).astype(np.float32)
-        self.one, self.pair, self.before = table(0, self.one_key), table(1, self.pair_key), table(2, self.before_key)
-        self.total = self.one.sum(0, dtype=np.float64)
+            found = [got[0] for got in self.read(sound)]
+            keys, n = tally([t for t, f in zip(sound, found) if f])
+            counts = summed([counts, (keys, -n)])
+            sound = [t for t, f in zip(sound, found) if not f]
+            self._fit(counts)
+
+    @classmethod
+    def of(cls, counts: Counts) -> Model:
+        """The model that follows from counts."""
+        model = cls.__new__(cls)
+        model._fit(counts)
+        return model
+
+    def _fit(self, counts: Counts) -> None:
+        keys, n = counts
+        state, low = keys >> 42, (1 << 21) - 1
+
+        def table(part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            own, which = np.unique(part, return_inverse=True)
+            out = np.zeros((len(own), len(STATES)))
+            np.add.at(out, (which.ravel(), state), n)
+            return own, out
+
+        self.one_key, self.one = table(keys & low)
+        self.pair_key, self.pair = table(keys & ((1 << 42) - 1))
+        self.before_key, self.before = table((keys >> 21) & low)
+        self.total = self.one.sum(0)
 
     @staticmethod
     def _rows(keys: np.ndarray, counts: np.ndarray, asked: np.ndarray) -> np.ndarray:
@@ -436,15 +523,36 @@ def _undo(piece: str, k: int) -> tuple[str | None, bool]:
     return ("".join(parts), whole) if any_ok else (None, False)
 
 
-def fit(documents: DataFrame, text: str = "text", key: str = "doc_id", sample: int = SAMPLE) -> Model:
-    """The model, fitted on the ``sample`` texts with the lowest hashes of their keys."""
-    rows = documents.where(F.col(text).isNotNull()).select(F.col(text).alias("t"), F.xxhash64(key).alias("h")).orderBy("h", "t").limit(sample)
-    return Model([r["t"] for r in rows.select("t").collect()])
+def fit(documents: DataFrame, text: str = "text") -> Model:
+    """The model, fitted on all texts as :class:`Model` does it, in two passes that count where the texts are."""
+    texts = spread(documents.select(F.col(text).alias("t")).where("t != ''"))
+    first = _total(texts, tally)
+    shared = documents.sparkSession.sparkContext.broadcast(Model.of(first))
+
+    def damaged(sound: list[str]) -> Counts:
+        return tally([t for t, got in zip(sound, shared.value.read(sound)) if got[0]])
+
+    keys, n = _total(texts, damaged)
+    shared.destroy()
+    return Model.of(summed([first, (keys, -n)]))
+
+
+def _total(texts: DataFrame, count: Callable[[list[str]], Counts]) -> Counts:
+    """The sum of what ``count`` gives for the texts of each Arrow batch that raise no suspicion."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own = summed([])
+        for f in frames:
+            own = summed([own, count([t for t in f["t"] if not _suspicious(t)])])
+        yield pd.DataFrame({"k": own[0], "n": own[1]})
+
+    rows = texts.mapInPandas(run, "k bigint, n bigint").groupBy("k").agg(F.sum("n").alias("n")).toPandas()
+    return summed([(rows["k"].to_numpy(np.int64), rows["n"].to_numpy(np.int64))])
 
 
-def find_damage(documents: DataFrame, text: str = "text", key: str = "doc_id", sample: int = SAMPLE) -> DataFrame:
+def find_damage(documents: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """``(key, damaged, states, restored, lossless)`` for every document."""
-    shared = documents.sparkSession.sparkContext.broadcast(fit(documents, text, key, sample))
+    shared = documents.sparkSession.sparkContext.broadcast(fit(documents, text))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = shared.value
