@@ -177,6 +177,17 @@ def test_tally_equals_counts_over_whole_garbled_texts():
             made[E.LOST] = t.encode("ascii", "replace").decode() if len(t) % 2 else t.encode("cp1252", "ignore").decode("utf-8", "replace")
         for k, x in made.items():
             sym, _, _, at = E.symbols([x])
-            want.update(((k << 42) | (b << 21) | s) for b, s in zip(E._before(sym, at).tolist(), sym.tolist()))
+            pairs = [(b << 21) | s for b, s in zip(E._before(sym, at).tolist(), sym.tolist())]
+            want.update((k << 42) | p for p in pairs)
+            want.update((E.TEXTS << 42) | p for p in (set(pairs) if not k else ()))
+    want[E.TEXTS << 42] = len(texts)
     keys, n = E.tally(texts)
     assert dict(zip(keys.tolist(), n.tolist())) == dict(want)
+
+
+@pytest.mark.parametrize("text", ["The export is in.\n\n————————\nNothing to add.", "In January\nThe Müller collection had 9 boxes.", "At the São Paulo meet-up 7 boxes were sold."])
+def test_damage_that_stands_in_the_fitted_texts_does_not_vouch_for_itself(text):
+    texts = [TEXTS[n].format(n=17 * k + 3) + f" {k}" for k in range(700) for n in ("en", "de", "fr", "pt", "zh")]
+    bad = E.garble(text, "cp1252", "cp437" if "—" in text else "cp850" if "ü" in text else "mac_roman")
+    damaged, _, restored, _ = E.Model([*texts, bad]).read([bad])[0]
+    assert damaged and restored == text

@@ -25,7 +25,8 @@ Texts are labelled whole, independently of each other, in one pass without a shu
 paths of an Arrow batch are computed together in arrays. The model, counts per state of the pairs of symbols
 that follow each other, is the only thing collected and sent to the executors: it is counted where the texts
 are and summed per pair, so its size follows the characters in use, not the texts. A second pass takes off what
-the texts that the first model finds damaged had added.
+the texts that the first model finds damaged had added. As damage that stays unnoticed would vouch for itself, the clean
+state counts a pair of symbols only as far as more than a share of ``RARE`` of the texts have it.
 
 Defined cases: null and empty texts are sound; texts of any length are labelled whole; repeated texts
 are labelled alike; an empty table gives an empty result and fits nothing; other columns are ignored.
@@ -50,6 +51,8 @@ from tidegrain.session import spread
 ENTER, LEAVE, STAY = -9.0, -4.0, -0.05
 #: Log likelihood that a restored span must gain, one that cannot be undone, and two readings of one span must differ by.
 MARGIN, LOST_MARGIN, APART = 9.0, 18.0, 3.0
+#: Share of the texts up to which a pair of symbols is no evidence of soundness.
+RARE = 1 / 2000
 #: Symbols whose paths are searched together.
 TOGETHER = 400_000
 
@@ -63,6 +66,8 @@ PAIRS = (
 )
 EASTERN = ("gb18030", "cp932", "euc_jp")
 LOST = len(PAIRS) + 1
+#: In counts, beside the states: how many texts have a pair of symbols, and at key 0 how many texts there are.
+TEXTS = LOST + 1
 STATES = ("clean", *(f"{t} read as {w}" + " twice" * (n > 1) for t, w, n in PAIRS), "lost")
 
 
@@ -236,7 +241,11 @@ def tally(sound: list[str]) -> Counts:
     unwritten = [i for i in foreign if _SURROGATE.search(short[i])]
     sym, _, _, at = symbols(short)
     previous = _previous(sym, at)
-    seen = [_counted(_key(0, contexts(previous), sym))]
+    key = _key(0, contexts(previous), sym)
+    text = np.repeat(np.arange(len(short)), np.diff(at))
+    pair, own = pd.factorize(key)
+    once = pd.unique(text * len(own) + pair) % max(len(own), 1)
+    seen = [_counted(key), (own | TEXTS << 42, np.bincount(once, minlength=len(own))), (np.array([TEXTS << 42]), np.array([len(sound)]))]
     of = np.zeros(len(short), bool)
     of[foreign] = True
     of[unwritten] = False
@@ -301,7 +310,13 @@ class Model:
 
     def _fit(self, counts: Counts) -> None:
         keys, n = counts
-        state, low = keys >> 42, (1 << 21) - 1
+        state, low, whole = keys >> 42, (1 << 21) - 1, (1 << 42) - 1
+        clean, texts = state == 0, (state == TEXTS) & (keys & whole > 0)
+        most = n[keys == TEXTS << 42].sum() * RARE
+        n = n.astype(float)
+        n[clean] *= np.maximum(1.0 - most / n[texts], 0.0)  # both sorted by pair
+        keys, n = keys[state < TEXTS], n[state < TEXTS]
+        state = state[state < TEXTS]
 
         def table(part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             own, which = np.unique(part, return_inverse=True)
@@ -310,7 +325,7 @@ class Model:
             return own, out
 
         self.one_key, self.one = table(keys & low)
-        self.pair_key, self.pair = table(keys & ((1 << 42) - 1))
+        self.pair_key, self.pair = table(keys & whole)
         self.before_key, self.before = table((keys >> 21) & low)
         self.total = self.one.sum(0)
 
