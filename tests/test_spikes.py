@@ -118,3 +118,23 @@ def test_any_block_gives_the_same_rows_on_whole_tables(spark, sf):
     named = dict(series=("record_table", *problems.SERIES), as_of="as_of", observed="observed_at", row_id="record_id", value="value", common="common", correction="supersedes", keep=["record_table"])
     bad = lambda b: {(x[0], x[1]) for x in spikes.flag_readings(r, block=b, **named).where("impossible OR stuck OR spike").select("record_table", "record_id").collect()}
     assert bad(3) == bad(40) == bad(spikes.BLOCK) != set()
+
+
+def test_a_series_of_one_block_is_judged_where_it_is_sorted(spark):
+    """One exchange, one sort led by a number, seven passes; nothing but flagged rows is written."""
+    from pyspark.sql import functions as F
+
+    from tidegrain import session
+
+    v = noisy(60)
+    v[10], v[20] = 300.0, 0.0
+    rows = spark.createDataFrame([(i, "a", float(x)) for i, x in enumerate(v)], "row_id bigint, s string, v double").select("*", F.expr("timestamp_ntz '2025-01-01 00:00:00' + make_dt_interval(cast(row_id as int))").alias("at"))
+    mine = session._WRITTEN.setdefault(spark.sparkContext.applicationId, [])
+    before = len(mine)
+    got = spikes.flag_readings(rows, series=["s"], as_of="at", observed="at", row_id="row_id", value="v", common="v", flagged_only=True)
+    assert sorted(r["row_id"] for r in got.collect()) == [10, 20]
+    assert sum(spark.read.parquet(p).count() for p in mine[before:]) == 1  # the impossible one is not judged
+
+    usable = rows.select("s", F.col("s").alias("_s"), F.struct("s").alias("_keep"), F.col("row_id").alias("_id"), F.col("at").alias("_as_of"), F.col("at").alias("_observed"), F.col("v").alias("_v"), F.lit(False).alias("_fix"), F.lit(False).alias("_bad"), F.log("v").alias("_x"))
+    plan = spikes.transform(spikes.whole_series(usable))._jdf.queryExecution().executedPlan().toString()
+    assert (plan.count("Exchange "), plan.count("Sort ["), plan.count("Sort [_h#"), plan.count("Window [")) == (1, 1, 1, 7)

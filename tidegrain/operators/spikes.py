@@ -58,31 +58,37 @@ def series_key(series: Sequence[str]) -> Column:
     return F.concat(*[part(c) for c in series])
 
 
+#: A block. The keys of series begin alike, which makes them slow to sort; the hash before the key decides nearly always.
+PART = ("_h", "_s", "_block")
 #: The rows of a block in order: those of a position together, the one that stands for it first.
 ORDER = ("_as_of", "_bad", "_fix", "_observed", "_id")
 
 
+def hashed(rows: DataFrame, *by: str) -> DataFrame:
+    """``rows`` exchanged by ``by``, with ``_h``, a hash of the series' key that is made afterwards: it does not compress."""
+    return rows.repartition(*by).withColumn("_h", F.xxhash64("_s"))
+
+
 def numbered(rows: DataFrame, part: Sequence[str]) -> DataFrame:
-    """``rows`` with ``_pos`` (distinct times so far), ``_u`` (those with a usable reading) and ``_stands`` within ``part``."""
+    """``rows`` with ``_pos`` (distinct times so far), ``_u`` (those with a usable reading), their number ``_n`` and ``_stands`` within ``part``."""
     order = Window.partitionBy(*part).orderBy(*ORDER)
     rows = rows.withColumn("_at", ~F.coalesce(F.lag("_as_of").over(order) == F.col("_as_of"), F.lit(False)))
     rows = rows.withColumn("_stands", F.col("_at") & ~F.col("_bad"))
-    so_far = order.rowsBetween(Window.unboundedPreceding, 0)
-    count = lambda c: F.sum(F.col(c).cast("bigint")).over(so_far)
-    return rows.withColumn("_pos", count("_at")).withColumn("_u", count("_stands"))
+    count = lambda c, until: F.sum(F.col(c).cast("bigint")).over(order.rowsBetween(Window.unboundedPreceding, until))
+    return rows.select("*", count("_at", 0).alias("_pos"), count("_stands", 0).alias("_u"), count("_stands", Window.unboundedFollowing).alias("_n"))
 
 
 def whole_series(rows: DataFrame) -> DataFrame:
     """Usable rows of series that are one block each."""
-    got = numbered(rows.withColumn("_block", F.lit(0).cast("bigint")), ["_s", "_block"]).where("NOT _bad")
+    got = numbered(hashed(rows, "_s").withColumn("_block", F.lit(0).cast("bigint")), PART).where("NOT _bad")
     yes = F.lit(True)
-    return got.withColumn("_core", yes).withColumn("_starts", yes).withColumn("_ends", yes).drop("_at", "_u")
+    return got.withColumn("_core", yes).withColumn("_starts", yes).withColumn("_ends", yes).drop("_at")
 
 
 def cut_series(rows: DataFrame, block: int) -> DataFrame:
     """Usable rows of long series, each in its block and in those whose halo it is in."""
     part = ["_s", "_day"]
-    rows = numbered(rows.withColumn("_day", F.to_date("_as_of")), part)
+    rows = numbered(rows.withColumn("_day", F.to_date("_as_of")), part).drop("_n")
     days = rows.groupBy(*part).agg(F.count_if("_at").alias("_p"), F.count_if("_stands").alias("_q"))
     before = Window.partitionBy("_s").orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)  # one row per series and day
     days = days.select(*part, F.coalesce(F.sum("_p").over(before), F.lit(0)).alias("_p"), F.coalesce(F.sum("_q").over(before), F.lit(0)).alias("_q"), F.sum("_q").over(Window.partitionBy("_s")).alias("_n"))
@@ -90,10 +96,11 @@ def cut_series(rows: DataFrame, block: int) -> DataFrame:
     place = lambda u: F.floor(u / block)
     lowest, highest = F.greatest(F.col("_u") - 1 - HALO, F.lit(0)), F.least(F.col("_u") - 1 + HALO, F.col("_n") - 1)
     rows = rows.withColumn("_block", F.explode(F.sequence(place(lowest), place(highest)))).withColumn("_core", F.col("_block") == place(F.col("_u") - 1))
-    return rows.withColumn("_starts", F.col("_block") == 0).withColumn("_ends", F.col("_block") == place(F.col("_n") - 1)).drop("_p", "_q", "_n", "_u", "_day", "_at")
+    rows = rows.withColumn("_starts", F.col("_block") == 0).withColumn("_ends", F.col("_block") == place(F.col("_n") - 1))
+    return hashed(rows.drop("_p", "_q", "_day", "_at"), "_s", "_block")
 
 
-_OVER = f"OVER (PARTITION BY _s, _block ORDER BY {', '.join(ORDER)})"
+_OVER = f"OVER (PARTITION BY {', '.join(PART)} ORDER BY {', '.join(ORDER)})"
 
 
 def _near(column: str, steps: int) -> Column:
@@ -101,58 +108,55 @@ def _near(column: str, steps: int) -> Column:
     return F.expr(f"{'lead' if steps > 0 else 'lag'}({column}, {abs(steps)}) IGNORE NULLS {_OVER}")
 
 
-def _middle(array: str) -> Column:
-    """The median of a sorted array."""
-    n = F.size(array)
-    return (F.get(array, F.floor((n - 1) / 2).cast("int")) + F.get(array, F.floor(n / 2).cast("int"))) / 2
-
-
 def transform(rows: DataFrame) -> DataFrame:
     """The wavelet over blocks of usable rows.
 
-    Gives ``_detail``, ``_stuck``, ``_long`` and the bins ``_b0.._b2`` of the distances that make the scales, for core rows.
+    Gives ``_detail``, ``_stuck``, ``_long``, the bins ``_b0.._b2`` of the distances that make the scales, and ``_bin``,
+    the largest of their medians over the block, for core rows.
     """
-    stands = F.col("_stands")
-    rows = rows.select("*", *[F.when(stands, F.col(c)).alias(n) for c, n in (("_x", "_y0"), ("_v", "_v0"), ("_pos", "_p0"))])
-    near = {f"_e{k}": _near("_y0", k) for k in range(-EDGE + 1, EDGE) if k} | {"_v1": _near("_v0", -1), "_p1": _near("_p0", -1)}
-    rows = rows.select("*", *[c.alias(n) for n, c in near.items()])
-    end = {1: ("_head", F.col("_starts") & F.col("_e-1").isNull()), -1: ("_tail", F.col("_ends") & F.col("_e1").isNull())}
-    around = {side: F.when(stands & at, F.array_sort(F.array_compact(F.array("_y0", *[f"_e{side * k}" for k in range(1, EDGE)])))) for side, (_, at) in end.items()}
-    turned = F.when(stands, ~F.coalesce((F.col("_v1") == F.col("_v")) & (F.col("_p1") == F.col("_pos") - 1), F.lit(False)))
-    rows = rows.select(*[c for c in rows.columns if c not in near and c not in ("_pos", "_p0")], turned.alias("_turn"), *[around[side].alias(f"_s{n}") for side, (n, _) in end.items()])
-    whole = Window.partitionBy("_s", "_block")
-    rows = rows.select(*[c for c in rows.columns if not c.startswith("_s_")], *[F.max(_middle(f"_s{n}")).over(whole).alias(n) for n, _ in end.values()])
+    stands, x, y = F.col("_stands"), F.col("_x"), F.col("_y")
+    order = Window.partitionBy(*PART).orderBy(*ORDER)
+    whole, so_far = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing), order.rowsBetween(Window.unboundedPreceding, 0)
+    median = lambda c: F.percentile(c, F.lit(0.5)).over(whole)
+    last = lambda c: F.last(c, ignorenulls=True).over(so_far)
+    base = [*PART, *ORDER, "_core", "_stands", "_keep", "_x", "_v"]
+    rows = rows.select(*base, "_pos", "_u", "_n", "_starts", "_ends", F.when(stands, x).alias("_y"), F.when(stands, F.struct("_v", "_pos")).alias("_here"))
+    head, tail = F.col("_starts") & (F.col("_u") <= EDGE), F.col("_ends") & (F.col("_u") > F.col("_n") - EDGE)
+    rows = rows.select(
+        *base, "_pos", "_u", "_n", "_y", median(F.when(head, y)).alias("_head"), median(F.when(tail, y)).alias("_tail"),
+        _near("_here", -1).alias("_before"), _near("_y", -1).alias("_l"), _near("_y", 1).alias("_r"),
+    )
+    # A run is as long as it is from one difference to the next, of which the first reading is one.
+    same = (F.col("_before._v") == F.col("_v")) & (F.col("_before._pos") == F.col("_pos") - 1)
+    rows = rows.withColumn("_turn", F.when(stands & ~F.coalesce(same, F.lit(False)), F.col("_u"))).drop("_before", "_pos")
     for j in range(LEVELS):
-        step, y = 2**j, F.col(f"_y{j}")
-        rows = rows.select("*", F.coalesce(_near(f"_y{j}", -step), "_head", y).alias("_l"), F.coalesce(_near(f"_y{j}", step), "_tail", y).alias("_r"))
-        low, high = F.least("_l", "_r"), F.greatest("_l", "_r")
-        away = F.greatest(F.abs(y - (F.col("_l") + F.col("_r")) / 2), F.lit(LEAST_SCALE / 2))
-        rows = rows.select(
-            *[c for c in rows.columns if c not in ("_l", "_r")], F.when(stands, low).alias(f"_lo{j}"), F.when(stands, high).alias(f"_hi{j}"),
-            F.when(y.isNotNull(), F.round(F.log(away) * SCALE_BINS).cast("smallint")).alias(f"_b{j}"), F.when(y.isNotNull(), F.greatest(low, F.least(high, y))).alias(f"_y{j + 1}"),
-        )
-    rows = rows.withColumn("_d", F.col("_y0") - F.col(f"_y{LEVELS}"))
+        step = 2**j
+        if j:
+            rows = rows.select("*", _near("_y", -step).alias("_l"), _near("_y", step).alias("_r"), *([last("_turn").alias("_from"), _near("_turn", 1).alias("_next")] if j == 1 else []))
+        left, right = F.coalesce("_l", "_head", y), F.coalesce("_r", "_tail", y)
+        low, high = F.least(left, right), F.greatest(left, right)
+        within = lambda c: F.when(stands, F.greatest(low, F.least(high, c)))  # noqa: E731, B023
+        away = F.greatest(F.abs(y - (left + right) / 2), F.lit(LEAST_SCALE / 2))
+        # Confined to one hull after another is confined to one: the ends of the first, confined to the later ones.
+        hull = [F.when(stands, low), F.when(stands, high)] if j == 0 else [within(F.col("_lo")), within(F.col("_hi"))]
+        rows = rows.select(*[c for c in rows.columns if c not in ("_l", "_r", "_lo", "_hi", "_y")], hull[0].alias("_lo"), hull[1].alias("_hi"), F.when(stands, F.round(F.log(away) * SCALE_BINS).cast("smallint")).alias(f"_b{j}"), within(y).alias("_y"))
+    run = F.when(stands, F.coalesce(F.col("_next"), F.col("_n") + 1) - F.col("_from") >= STUCK)
+    bins = [f"_b{j}" for j in range(LEVELS)]
+    rows = rows.select(*base, *bins, "_lo", "_hi", run.alias("_run"), (x - y).alias("_d"))
     reach = [k for k in range(-LONGEST, LONGEST + 1) if k]
-    turns = [k for k in range(-STUCK + 2, STUCK) if k]
-    rows = rows.select("*", *[_near("_d", k).alias(f"_d{k}") for k in reach], *[_near("_turn", k).alias(f"_t{k}") for k in turns])
+    rows = rows.select("*", *[_near("_d", k).alias(f"_d{k}") for k in reach])
     alike = {k: f"coalesce(`_d{k}` * _d >= 0.5 * _d * _d, false)" for k in reach}
     longer = F.expr(" OR ".join("(" + " AND ".join(alike[k] for k in range(a, a + LONGEST + 1) if k) + ")" for a in range(-LONGEST, 1)))
-    # Equal readings before and after: as many as come before the next difference, of which the first reading is one.
-    behind, ahead = F.lit(STUCK - 1), F.lit(STUCK - 1)
-    for k in reversed(range(1, STUCK)):
-        ahead = F.when(F.coalesce(F.col(f"_t{k}"), F.lit(True)), k - 1).otherwise(ahead)
-    for k in reversed(range(0, STUCK - 1)):
-        behind = F.when(F.coalesce(F.col(f"_t{-k}") if k else F.col("_turn"), F.lit(True)), k).otherwise(behind)
-    stuck = 1 + behind + ahead >= STUCK
-    rows = rows.select(*[c for c in rows.columns if not c.startswith(("_t", "_d"))], F.when(stands, F.coalesce(longer, F.lit(False)) & (F.col("_d") != 0)).alias("_long"), F.when(stands, stuck).alias("_run"))
+    rows = rows.select(*base, *bins, "_lo", "_hi", "_run", F.when(stands, F.col("_v")).alias("_v0"), F.when(stands, longer & (F.col("_d") != 0)).alias("_long"))
     # Rows that share a position are judged against its neighbours; the row that stands for it comes before them.
-    at = Window.partitionBy("_s", "_block").orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, 0)
-    own = lambda c: F.last(c, ignorenulls=True).over(at).alias(c)
-    rows = rows.select("_s", "_block", "_core", "_x", "_v", *[f"_b{j}" for j in range(LEVELS)], *[own(f"_{e}{j}") for j in range(LEVELS) for e in ("lo", "hi")], own("_run"), own("_v0"), own("_long"), "_keep", "_id").where("_core")
-    left = F.col("_x")
-    for j in range(LEVELS):
-        left = F.greatest(F.col(f"_lo{j}"), F.least(F.col(f"_hi{j}"), left))
-    return rows.select("_s", "_keep", "_id", "_v", *[f"_b{j}" for j in range(LEVELS)], (F.col("_x") - left).alias("_detail"), (F.col("_run") & (F.col("_v") == F.col("_v0"))).alias("_stuck"), "_long")
+    own = [last(c).alias(c) for c in ("_lo", "_hi", "_run", "_v0", "_long")]
+    rows = rows.select("_s", "_core", "_x", "_v", *bins, *own, "_keep", "_id", *[median(F.col(b)).alias(f"_m{b}") for b in bins]).where("_core")
+    left = F.greatest(F.col("_lo"), F.least(F.col("_hi"), x))
+    return rows.select("_s", "_keep", "_id", "_v", *bins, F.greatest(*[f"_m{b}" for b in bins]).alias("_bin"), (x - left).alias("_detail"), (F.col("_run") & (F.col("_v") == F.col("_v0"))).alias("_stuck"), "_long")
+
+
+def scale(median_bin: Column) -> Column:
+    return F.greatest(1.4826 * F.exp(median_bin / SCALE_BINS), F.lit(LEAST_SCALE)).alias("_scale")
 
 
 def scales(transformed: DataFrame) -> DataFrame:
@@ -162,7 +166,7 @@ def scales(transformed: DataFrame) -> DataFrame:
     not depend on how a series was cut.
     """
     got = transformed.groupBy("_s").agg(F.greatest(*[F.percentile(f"_b{j}", F.lit(0.5)) for j in range(LEVELS)]).alias("_bin"))
-    return got.select("_s", F.greatest(1.4826 * F.exp(F.col("_bin") / SCALE_BINS), F.lit(LEAST_SCALE)).alias("_scale"))
+    return got.select("_s", scale(F.col("_bin")))
 
 
 def flag_readings(rows: DataFrame, *, series: Sequence[str], as_of: str, observed: str, row_id: str, value: str, common: str, correction: str | None = None, keep: Sequence[str] = (), flagged_only: bool = False, upper: float = 500_000.0, block: int = BLOCK) -> DataFrame:
@@ -175,28 +179,33 @@ def flag_readings(rows: DataFrame, *, series: Sequence[str], as_of: str, observe
     c = F.col(common).cast("double")
     rows = rows.where(F.col(value).isNotNull() & F.col(as_of).isNotNull() & F.col(common).isNotNull())
     rows = rows.select(
-        series_key(series).alias("_s"), F.struct(*(keep or [F.lit(0).alias("_")])).alias("_keep"), F.col(row_id).alias("_id"), F.col(as_of).alias("_as_of"), F.col(observed).alias("_observed"),
+        F.xxhash64(*[F.col(s).cast("string") for s in series]).alias("_hash"), series_key(series).alias("_s"), F.struct(*(keep or [F.lit(0).alias("_")])).alias("_keep"), F.col(row_id).alias("_id"), F.col(as_of).alias("_as_of"), F.col(observed).alias("_observed"),
         F.col(value).cast("double").alias("_v"), fix.alias("_fix"), ((c <= 0) | (c >= upper)).alias("_bad"), F.when((c > 0) & (c < upper), F.log(c)).alias("_x"),
     )
     # ln gives null for what is no number; such readings are impossible too.
     rows = rows.withColumn("_bad", F.col("_bad") | F.col("_x").isNull())
     yes, no = F.lit(True), F.lit(False)
     impossible = rows.where("_bad").select("_keep", "_id", "_v", yes.alias("impossible"), no.alias("stuck"), no.alias("spike"), F.lit(None).cast("double").alias("detail"))
-    hot = rows.groupBy("_s").agg(F.count(F.lit(1)).alias("_c")).where(F.col("_c") > block).select("_s")  # rows / block of them at most
+    # Counted by hash, which is quicker to make than the key. Series that share one may be cut without need, which changes no row.
+    hot = rows.groupBy("_hash").agg(F.count(F.lit(1)).alias("_c")).where(F.col("_c") > block).select("_hash")  # rows / block of them at most
     if hot.isEmpty():
-        done = transform(whole_series(rows))
+        cut, done = None, rows
     else:
         hot = small(written(hot))
-        done = transform(whole_series(rows.join(hot, "_s", "left_anti"))).unionByName(transform(cut_series(rows.join(hot, "_s", "left_semi"), block)))
-    if flagged_only:  # no scale is smaller than the least: what is below it is sound and only counts for the scales
-        maybe = F.col("_stuck") | (F.abs("_detail") > LIMIT * LEAST_SCALE)
-        done = done.select("_s", *[f"_b{j}" for j in range(LEVELS)], *[F.when(maybe, F.col(c)).alias(c) for c in ("_keep", "_id", "_v", "_detail", "_stuck", "_long")], maybe.alias("_maybe"))
-    else:
-        done = done.withColumn("_maybe", F.lit(True))
-    done = written(done)
-    judged = done.where("_maybe").join(scales(done), "_s")
+        cut, done = rows.join(hot, "_hash", "left_semi"), rows.join(hot, "_hash", "left_anti")
+    judged = ["_keep", "_id", "_v", "_detail", "_stuck", "_long"]
+    done = transform(whole_series(done)).select(*judged, scale(F.col("_bin")))
+    if cut is not None:
+        cut = transform(cut_series(cut, block)).drop("_bin")
+        if flagged_only:  # no scale is smaller than the least: what is below it is sound and only counts for the scales
+            maybe = F.col("_stuck") | (F.abs("_detail") > LIMIT * LEAST_SCALE)
+            cut = cut.select("_s", *[f"_b{j}" for j in range(LEVELS)], *[F.when(maybe, F.col(c)).alias(c) for c in judged], maybe.alias("_maybe"))
+        else:
+            cut = cut.withColumn("_maybe", F.lit(True))
+        cut = written(cut)
+        done = done.unionByName(cut.where("_maybe").join(scales(cut), "_s").select(*judged, "_scale"))
     spike = (F.abs("_detail") > LIMIT * F.col("_scale")) & ~F.col("_long")
-    judged = judged.select("_keep", "_id", "_v", no.alias("impossible"), F.col("_stuck").alias("stuck"), spike.alias("spike"), (F.col("_detail") / F.col("_scale")).alias("detail"))
+    done = done.select("_keep", "_id", "_v", no.alias("impossible"), F.col("_stuck").alias("stuck"), spike.alias("spike"), (F.col("_detail") / F.col("_scale")).alias("detail"))
+    judged = written(done.where("stuck OR spike") if flagged_only else done)
     got = impossible.unionByName(judged)
-    got = got.where("impossible OR stuck OR spike") if flagged_only else got
     return got.select(*[F.col(f"_keep.{k}").alias(k) for k in keep], F.col("_id").alias(row_id), F.col("_v").alias("value"), "impossible", "stuck", "spike", "detail")
