@@ -138,3 +138,17 @@ def test_a_series_of_one_block_is_judged_where_it_is_sorted(spark):
     usable = rows.select("s", F.col("s").alias("_s"), F.struct("s").alias("_keep"), F.col("row_id").alias("_id"), F.col("at").alias("_as_of"), F.col("at").alias("_observed"), F.col("v").alias("_v"), F.lit(False).alias("_fix"), F.lit(False).alias("_bad"), F.log("v").alias("_x"))
     plan = spikes.transform(spikes.whole_series(usable))._jdf.queryExecution().executedPlan().toString()
     assert (plan.count("Exchange "), plan.count("Sort ["), plan.count("Sort [_h#"), plan.count("Window [")) == (1, 1, 1, 7)
+
+
+def test_a_short_last_block_and_short_blocks_see_both_ends(spark):
+    """The neighbours of readings next to a block's end may lie beyond the end of the series, in any block."""
+    for n, block in ((27, 25), (31, 25), (53, 25), (40, 3)):
+        v = noisy(n, 5)
+        v[2], v[block - 1], v[n - 4], v[n - 1] = 300.0, 30.0, 290.0, 310.0
+        assert details(spark, v, block) == details(spark, v)
+
+
+def details(spark, values, block=spikes.BLOCK):
+    base = t("2025-01-01")
+    df = spark.createDataFrame([(i, "a", base + dt.timedelta(days=i), v) for i, v in enumerate(values)], "row_id bigint, s string, at timestamp_ntz, v double")
+    return sorted(map(tuple, spikes.flag_readings(df, series=["s"], as_of="at", observed="at", row_id="row_id", value="v", common="v", block=block).collect()))

@@ -96,7 +96,8 @@ def cut_series(rows: DataFrame, block: int) -> DataFrame:
     place = lambda u: F.floor(u / block)
     lowest, highest = F.greatest(F.col("_u") - 1 - HALO, F.lit(0)), F.least(F.col("_u") - 1 + HALO, F.col("_n") - 1)
     rows = rows.withColumn("_block", F.explode(F.sequence(place(lowest), place(highest)))).withColumn("_core", F.col("_block") == place(F.col("_u") - 1))
-    rows = rows.withColumn("_starts", F.col("_block") == 0).withColumn("_ends", F.col("_block") == place(F.col("_n") - 1))
+    # A block that sees an end of the series needs what it continues at, not only the block that holds the end.
+    rows = rows.withColumn("_starts", F.col("_block") * block <= HALO).withColumn("_ends", (F.col("_block") + 1) * block + HALO >= F.col("_n"))
     return hashed(rows.drop("_p", "_q", "_day", "_at"), "_s", "_block")
 
 
